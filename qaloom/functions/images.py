@@ -4,35 +4,39 @@ from __future__ import annotations
 
 import numpy as np
 
-# fixed values: luma weights for blue, green, red
-LUMA_BGR = (0.114, 0.587, 0.299)
+# fixed values: luma weights for blue, green, red, in thousandths (whole numbers keep ties exact)
+LUMA_BGR = (114, 587, 299)
 
 
 def to_gray(px, h: int, w: int, channels: int) -> np.ndarray:
-    a = np.asarray(px, dtype=np.float64).reshape(h, w, channels) if channels > 1 else np.asarray(px, dtype=np.float64).reshape(h, w)
-    return np.floor(a[..., :3] @ np.array(LUMA_BGR) + 0.5) if channels > 1 else a
+    a = np.asarray(px, dtype=np.float64).reshape((h, w, channels) if channels > 1 else (h, w))
+    if channels == 1:
+        return a
+    b, g, r = (a[..., i] * weight for i, weight in enumerate(LUMA_BGR))
+    return np.floor((b + g + r + 500) / 1000)
 
 
 def _taps(n_in: int, n_out: int):
-    pos = np.clip((np.arange(n_out) + 0.5) * n_in / n_out - 0.5, 0, n_in - 1)
-    lo = np.floor(pos).astype(int)
-    hi = np.minimum(lo + 1, n_in - 1)
-    return lo, hi, pos - lo
+    """Neighbours and whole-number weights (out of 2 * n_out) of every output position."""
+    den = 2 * n_out
+    num = np.clip((2 * np.arange(n_out) + 1) * n_in - n_out, 0, (n_in - 1) * den)
+    lo = num // den
+    return lo, np.minimum(lo + 1, n_in - 1), num - lo * den, den
 
 
 def resize_bilinear(img: np.ndarray, h: int, w: int) -> np.ndarray:
-    """Pixel-centre bilinear resize, rounded half up to whole values."""
+    """Pixel-centre bilinear resize of whole-number pixels, rounded half up; integer arithmetic keeps ties exact."""
     if img.shape[:2] == (h, w):
         return img
-    y0, y1, fy = _taps(img.shape[0], h)
-    x0, x1, fx = _taps(img.shape[1], w)
-    if img.ndim == 3:
-        fx, fy = fx[:, None], fy[:, None, None]
-    else:
-        fy = fy[:, None]
-    top = img[y0][:, x0] * (1 - fx) + img[y0][:, x1] * fx
-    low = img[y1][:, x0] * (1 - fx) + img[y1][:, x1] * fx
-    return np.floor(top * (1 - fy) + low * fy + 0.5)
+    a = img.astype(np.int64)
+    y0, y1, fy, dy = _taps(a.shape[0], h)
+    x0, x1, fx, dx = _taps(a.shape[1], w)
+    tail = (1,) * (a.ndim - 2)
+    fx, fy = fx.reshape(-1, *tail), fy.reshape(-1, 1, *tail)
+    top = a[y0][:, x0] * (dx - fx) + a[y0][:, x1] * fx
+    low = a[y1][:, x0] * (dx - fx) + a[y1][:, x1] * fx
+    whole = dx * dy
+    return ((2 * (top * (dy - fy) + low * fy) + whole) // (2 * whole)).astype(np.float64)
 
 
 def resized_gray(px, h: int, w: int, channels: int, out_h: int, out_w: int) -> np.ndarray:

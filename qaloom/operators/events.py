@@ -13,7 +13,7 @@ def parse_events(lines: DataFrame, schema: StructType, required=(), value: str =
     """(good, bad). A line that is no JSON object or lacks a required field goes to bad with a reason; one bad line
     never fails a batch."""
     corrupt = "_corrupt"
-    full = StructType(schema.fields).add(corrupt, "string")
+    full = StructType(list(schema.fields)).add(corrupt, "string")
     parsed = lines.withColumn(
         "_e", F.from_json(F.col(value).cast("string"), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
     )
