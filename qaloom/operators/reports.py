@@ -31,52 +31,45 @@ def visual_issue(diff: dict[str, Column], mode: str) -> Column:
 
 
 # --- severity ----------------------------------------------------------------------------------------------------
+#
+# facts: one wide row per (run, attempt) with the outcome (passed, error, error_context, ...) and, where a comparison
+# was made, the diff (page, difference_percent, verdict, needs_review). An attempt has exactly one result and at most one
+# diff, so everything below is a column of that row and needs no shuffle.
 
 
-def failure_details(results: DataFrame) -> DataFrame:
-    """One text per (run, attempt): a line per failed result. results: run_id, attempt, passed, error,
-    error_context, n (position in the result list). A result list is the outcome of one attempt and short."""
-    line = F.concat(
+def _failure_line() -> Column:
+    return F.concat(
         F.lit("- "), or_none(F.col("error")), F.lit(" (context: "), or_none(F.col("error_context")), F.lit(")")
     )
-    return (
-        results.filter(failed(F.col("passed")))
-        .groupBy("run_id", "attempt")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("n"), line.alias("line")))).alias("_l"))
-        .select("run_id", "attempt", F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("details"))
-    )
+
+
+def failure_details(facts: DataFrame) -> DataFrame:
+    """The failure line of every failed attempt: run_id, attempt, details. Nulls read 'None'."""
+    return facts.filter(failed(F.col("passed"))).select("run_id", "attempt", _failure_line().alias("details"))
 
 
 def severity(failures: Column, issues: Column) -> Column:
     return F.when((failures == 0) & (issues == 0), "info").when(failures > 0, "critical").otherwise("warning")
 
 
-def run_severity(results: DataFrame, diffs: DataFrame, mode: str = "observed") -> DataFrame:
-    """Per (run, attempt): failure and visual-issue counts, severity, fixed recommendation when clean."""
-    flag = visual_issue({"verdict": F.col("verdict"), "needs_review": F.col("needs_review")}, mode)
-    f = results.groupBy("run_id", "attempt").agg(F.count_if(failed(F.col("passed"))).alias("failures"))
-    d = diffs.groupBy("run_id", "attempt").agg(F.count_if(flag).alias("visual_issues"))
-    sev = severity(F.col("failures"), F.col("visual_issues"))
+def with_severity(facts: DataFrame, mode: str = "observed") -> DataFrame:
+    """Add failures, visual_issues, severity and the fixed recommendation of clean attempts."""
+    issue = visual_issue({"verdict": F.col("verdict"), "needs_review": F.col("needs_review")}, mode)
     return (
-        f.join(d, ["run_id", "attempt"], "left")
-        .withColumn("visual_issues", F.coalesce("visual_issues", F.lit(0).cast("bigint")))
-        .withColumn("severity", sev)
+        facts.withColumns({
+            "failures": failed(F.col("passed")).cast("bigint"),
+            "visual_issues": F.coalesce(issue, F.lit(False)).cast("bigint"),
+        })
+        .withColumn("severity", severity(F.col("failures"), F.col("visual_issues")))
         .withColumn("recommendation", F.when(F.col("severity") == "info", t.CLEAN_RECOMMENDATION))
     )
 
 
-def analysis_requests(severities: DataFrame, details: DataFrame) -> DataFrame:
-    """Prompts for an external reviewer, only for attempts with something to explain."""
-    return (
-        severities.filter(F.col("severity") != "info")
-        .join(details, ["run_id", "attempt"], "left")
-        .select(
-            "run_id", "attempt",
-            render(
-                t.ANALYSIS_PROMPT, failure_details=F.coalesce("details", F.lit("")), visual_issues=F.col("visual_issues")
-            ).alias("prompt"),
-        )
-    )
+def analysis_requests(facts: DataFrame) -> DataFrame:
+    """Prompts for an external reviewer, only for attempts with something to explain. facts with severity."""
+    details = F.when(failed(F.col("passed")), _failure_line()).otherwise("")
+    text = render(t.ANALYSIS_PROMPT, failure_details=details, visual_issues=F.col("visual_issues"))
+    return facts.filter(F.col("severity") != "info").select("run_id", "attempt", text.alias("prompt"))
 
 
 def with_analysis(severities: DataFrame, answers: DataFrame) -> DataFrame:
@@ -92,15 +85,13 @@ def with_analysis(severities: DataFrame, answers: DataFrame) -> DataFrame:
 # --- report rows -------------------------------------------------------------------------------------------------
 
 
-def report_summary(results: DataFrame, diffs: DataFrame, by: list[str] | None = None) -> DataFrame:
+def report_summary(facts: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Tests run, passed, failed, diffs to review."""
-    by = by or ["run_id"]
     ok = F.coalesce("passed", F.lit(False))
-    r = results.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("tests"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed")
+    return facts.groupBy(*(by or ["run_id"])).agg(
+        F.count(F.lit(1)).alias("tests"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"),
+        F.count_if("needs_review").alias("diffs"),
     )
-    d = diffs.groupBy(*by).agg(F.count_if("needs_review").alias("diffs"))
-    return r.join(d, by, "left").withColumn("diffs", F.coalesce("diffs", F.lit(0).cast("bigint")))
 
 
 def report_key(tenant: Column, project: Column, run: Column) -> Column:
@@ -140,68 +131,57 @@ def label(c: Column) -> Column:
 
 
 def report_fragments(
-    runs: DataFrame, results: DataFrame, diffs: DataFrame, severities: DataFrame, console: DataFrame,
-    timestamp: str, mode: str = "observed", endpoint: str = DEFAULT_ENDPOINT, bucket: str = ARTIFACTS,
+    facts: DataFrame, timestamp: str, mode: str = "observed", endpoint: str = DEFAULT_ENDPOINT, bucket: str = ARTIFACTS
 ) -> DataFrame:
-    """Report content as ordered text lines per attempt: run_id, attempt, section, ord, line.
+    """Report content as ordered text lines: run_id, attempt, section, ord, line.
 
-    Each section is computed from tables of one row per (run, attempt), so nothing here grows with a run's history.
-    `timestamp` is a job parameter: a rerun writes the same report. console: run_id, attempt, text.
+    facts with severity, plus url, the artifact keys and console_text. The lines of a report come out of its own row.
+    `timestamp` is a job parameter: a rerun writes the same report.
     """
-    intended = _check(mode)
-    key = ["run_id", "attempt"]
-    head = severities.join(runs.select("run_id", "url"), "run_id").select(
-        *key, F.lit(0).alias("section"),
-        F.posexplode(F.array(
-            F.concat(F.lit("Run ID: "), F.col("run_id").cast("string")),
-            F.lit("Status: " + ("COMPLETED" if intended else "ANALYZING")),
-            F.concat(F.lit("URL: "), F.coalesce("url", F.lit("Unknown"))),
-            F.lit(f"Executed: {timestamp}"),
-        )).alias("ord", "line"),
-    )
-    ok = F.coalesce("passed", F.lit(False))
-    link = lambda name, c: F.concat(F.lit(f"{name}: {endpoint}/{bucket}/"), F.col(c))
-    execution = results.join(console, key, "left").select(
-        *key, F.lit(1).alias("section"),
-        F.posexplode(F.filter(F.array(
-            F.concat(F.col("pageUrl"), F.when(ok, " ✓ PASSED").otherwise(" ✗ FAILED")),
-            F.concat(F.lit("Error: "), F.nullif(F.col("error"), F.lit(""))),
-            F.when(F.col("error") != "", F.concat(F.lit("Context: "), F.nullif(F.col("error_context"), F.lit("")))),
-            link("Screenshot", "screenshot_s3_path"), link("DOM", "dom_s3_path"), F.col("text"),
-        ), lambda x: x.isNotNull())).alias("ord", "line"),
+    return facts.select("run_id", "attempt", F.posexplode(_sections(timestamp, mode, endpoint, bucket)).alias("section", "l")).select(
+        "run_id", "attempt", "section", F.posexplode("l").alias("ord", "line")
     )
-    visual = diffs.select(
-        *key, F.lit(2).alias("section"),
-        F.posexplode(F.array(
-            F.col("page"),
-            F.concat(F.lit("Pixel Difference: "), F.col("difference_percent").cast("string"), F.lit("%")),
-            label(F.col("verdict")),
-        )).alias("ord", "line"),
-    )
-    advice = severities.select(
-        *key, F.lit(3).alias("section"), F.lit(0).alias("ord"),
-        F.concat(F.lit("Recommendation: "), F.coalesce("recommendation", F.lit(t.REPORT_RECOMMENDATION))).alias("line"),
-    )
-    totals = report_summary(results, diffs, key).join(severities.select(*key, "severity"), key)
-    number = lambda name, c: F.concat(F.lit(f"{name}: "), F.col(c).cast("string"))
-    summary = totals.select(
-        *key, F.lit(4).alias("section"),
-        F.posexplode(F.array(
-            F.concat(F.lit("Severity Level: "), F.upper(F.coalesce("severity", F.lit("info")))),
-            number("Tests Run", "tests"), number("Passed", "passed"), number("Failed", "failed"),
-            number("Visual Diffs", "diffs"),
-        )).alias("ord", "line"),
-    )
-    return head.unionByName(execution).unionByName(visual).unionByName(advice).unionByName(summary)
 
 
-def report_documents(fragments: DataFrame) -> DataFrame:
-    """One text per attempt from its fragments (a few dozen lines at most)."""
-    return fragments.groupBy("run_id", "attempt").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("section", "ord", "line"))), lambda x: x["line"]), "\n"
-        ).alias("body")
-    )
+def report_documents(
+    facts: DataFrame, timestamp: str, mode: str = "observed", endpoint: str = DEFAULT_ENDPOINT, bucket: str = ARTIFACTS
+) -> DataFrame:
+    """The same lines as one text per (run, attempt): body."""
+    body = F.array_join(F.flatten(_sections(timestamp, mode, endpoint, bucket)), "\n")
+    return facts.select("run_id", "attempt", body.alias("body"))
+
+
+def _sections(timestamp: str, mode: str, endpoint: str, bucket: str) -> Column:
+    ok = F.coalesce("passed", F.lit(False))
+    text = lambda name, c: F.concat(F.lit(f"{name}: "), c.cast("string"))
+    link = lambda name, c: F.concat(F.lit(f"{name}: {endpoint}/{bucket}/"), F.nullif(F.col(c), F.lit("")))
+    flag = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    error = F.nullif(F.col("error"), F.lit(""))
+    compared = F.col("verdict").isNotNull()
+    lines = [
+        [
+            text("Run ID", F.col("run_id")),
+            F.lit("Status: " + ("COMPLETED" if _check(mode) else "ANALYZING")),
+            text("URL", F.coalesce("url", F.lit("Unknown"))),
+            F.lit(f"Executed: {timestamp}"),
+        ],
+        [
+            F.concat(F.col("url"), F.when(ok, " ✓ PASSED").otherwise(" ✗ FAILED")),
+            text("Error", error),
+            F.when(error.isNotNull(), text("Context", F.nullif(F.col("error_context"), F.lit("")))),
+            link("Screenshot", "screenshot_s3_path"), link("DOM", "dom_s3_path"), F.col("console_text"),
+        ],
+        [
+            F.when(compared, F.col("page")),
+            F.concat(text("Pixel Difference", F.col("difference_percent")), F.lit("%")), label(F.col("verdict")),
+        ],
+        [text("Recommendation", F.coalesce("recommendation", F.lit(t.REPORT_RECOMMENDATION)))],
+        [
+            text("Severity Level", F.upper(F.coalesce("severity", F.lit("info")))), F.lit("Tests Run: 1"),
+            text("Passed", flag(ok)), text("Failed", flag(~ok)), text("Visual Diffs", flag(F.col("needs_review"))),
+        ],
+    ]
+    return F.array(*[F.filter(F.array(*part), lambda x: x.isNotNull()) for part in lines])
 
 
 # --- events ------------------------------------------------------------------------------------------------------

@@ -125,12 +125,13 @@ def difference_percent(score: Column) -> Column:
 
 
 def verdict(diffs: DataFrame, score: str = "score") -> DataFrame:
-    """Add difference_percent, verdict, needs_review, severity and ask_model."""
+    """Add difference_percent, verdict, needs_review, diff_severity and ask_model; all null where nothing was compared."""
     d = F.col("difference_percent")
     return diffs.withColumn("difference_percent", difference_percent(F.col(score))).withColumns({
-        "verdict": F.when(d < NO_CHANGE_BELOW, "no_change").when(d < MINOR_BELOW, "minor_change").otherwise("significant_change"),
+        "verdict": F.when(d < NO_CHANGE_BELOW, "no_change").when(d < MINOR_BELOW, "minor_change")
+        .when(d.isNotNull(), "significant_change"),
         "needs_review": d >= NO_CHANGE_BELOW,
-        "severity": F.when(d < MINOR_BELOW, "info").otherwise("warning"),
+        "diff_severity": F.when(d < MINOR_BELOW, "info").when(d.isNotNull(), "warning"),
         "ask_model": (d >= NO_CHANGE_BELOW) & (d > ASK_ABOVE),
     })
 

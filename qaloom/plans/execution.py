@@ -98,9 +98,10 @@ def classified(spark, d):
     return execution.classify_errors(view(spark, d, "fx_attempts"))
 
 
-def explained(spark, d):
+def explained(spark, d, attempts=None):
+    attempts = view(spark, d, "fx_attempts") if attempts is None else attempts
     return execution.error_contexts(
-        classified(spark, d), view(spark, d, "fx_runs"), view(spark, d, "fx_console"), view(spark, d, "fx_requests"))
+        execution.classify_errors(attempts), view(spark, d, "fx_runs"), view(spark, d, "fx_console"), view(spark, d, "fx_requests"))
 
 
 @query("error_classify", with_views("SELECT run_id, attempt, passed, error, error_type, status FROM classified", CLASSIFIED))
@@ -172,7 +173,8 @@ carried AS (SELECT k.*, attempt > 1 AS is_retry, lag(attempt) OVER w AS attempt_
 
 
 def carried(spark, d):
-    return runs.retry_context(with_artifacts(spark, d, explained(spark, d)), unique=True)
+    eff = runs.effective_attempts(view(spark, d, "fx_attempts"), unique=True)
+    return runs.retry_context(with_artifacts(spark, d, explained(spark, d, eff)), unique=True)
 
 
 @query("retry_context", with_views("""

@@ -32,41 +32,38 @@ reported AS (SELECT s.*, r.tenant_id, r.project_id, concat_ws('/', r.tenant_id,
   sha256(concat_ws('|', s.run_id, s.attempt)) AS id FROM sev s JOIN fx_runs r USING (run_id))"""
 
 
-def results(spark, d):
-    """Outcomes of effective attempts with error texts and artifact keys. Narrow flags decide which attempts count
-    before the texts are joined."""
-    eff = runs.effective_attempts(explained(spark, d), unique=True).filter("pipeline_error is null")
-    keyed = with_artifacts(spark, d, eff)
-    return keyed.join(view(spark, d, "fx_runs").select("run_id", F.col("url").alias("pageUrl")), "run_id")
+def outcomes(spark, d):
+    """Effective attempts that did not crash, with the diff of the passed ones: the wide row, without texts."""
+    eff = runs.effective_attempts(view(spark, d, "fx_attempts"), unique=True).filter("pipeline_error is null")
+    compared = runs.route(eff).withColumn("score", F.when(F.col("route") == "visual_analysis", F.lit(1.0) - F.col("tax")))
+    return visual.verdict(compared.drop("tax", "route"))
 
 
-def outcomes(spark, d):
-    """The same rows without texts, for counting."""
-    return runs.effective_attempts(view(spark, d, "fx_attempts"), unique=True).filter("pipeline_error is null")
+def with_page(spark, d, facts):
+    return facts.join(view(spark, d, "fx_runs").select("run_id", F.col("url").alias("page")), "run_id")
 
 
-def diffs(spark, d):
-    passed = runs.route(outcomes(spark, d)).filter("route = 'visual_analysis'")
-    pages = passed.join(view(spark, d, "fx_runs").select("run_id", F.col("url").alias("page")), "run_id")
-    return visual.verdict(pages.select("run_id", "attempt", "page", (F.lit(1.0) - F.col("tax")).alias("score")))
+def explained_outcomes(spark, d):
+    return explained(spark, d, outcomes(spark, d))
 
 
 @query("verdict", with_views("""
-SELECT run_id, attempt, page, difference_percent, verdict, needs_review, diff_severity AS severity, ask_model FROM diffs""",
+SELECT run_id, attempt, page, difference_percent, verdict, needs_review, diff_severity, ask_model FROM diffs""",
     _RESULTS.rstrip(",")))
 def verdict(spark, d):
-    return diffs(spark, d).drop("score")
+    return with_page(spark, d, outcomes(spark, d).filter("score is not null")).select(
+        "run_id", "attempt", "page", "difference_percent", "verdict", "needs_review", "diff_severity", "ask_model")
 
 
 @query("visual_requests", with_views(
     f"SELECT run_id, attempt, {filled(t.VISUAL_PROMPT, page_url='page', difference_percent='difference_percent')} AS prompt FROM diffs WHERE ask_model",
     _RESULTS.rstrip(",")))
 def visual_requests(spark, d):
-    return visual.visual_requests(diffs(spark, d)).select("run_id", "attempt", "prompt")
+    return visual.visual_requests(with_page(spark, d, outcomes(spark, d).filter("ask_model"))).select("run_id", "attempt", "prompt")
 
 
 def severities(spark, d, mode="observed"):
-    return reports.run_severity(outcomes(spark, d), diffs(spark, d), mode)
+    return reports.with_severity(outcomes(spark, d), mode)
 
 
 for _mode, _suffix in (("observed", ""), ("intended", "_intended")):
@@ -75,7 +72,8 @@ for _mode, _suffix in (("observed", ""), ("intended", "_intended")):
 SELECT run_id, attempt, failures, visual_issues, severity,
   CASE WHEN severity = 'info' THEN '{t.CLEAN_RECOMMENDATION}' END AS recommendation FROM sev""", _severity_ctes(_mode)))
     def run_severity(spark, d, mode=_mode):
-        return severities(spark, d, mode)
+        return severities(spark, d, mode).select(
+            "run_id", "attempt", "failures", "visual_issues", "severity", "recommendation")
 
     @query("report_rows" + _suffix, with_views(f"""
 SELECT id, tenant_id, project_id, run_id, attempt, '{"completed" if _mode == "intended" else "analyzing"}' AS status, severity,
@@ -97,20 +95,16 @@ SELECT run_id, attempt, concat('- ', coalesce(error, 'None'), ' (context: ', coa
 FROM results WHERE NOT passed"""
 
 
-def details(spark, d):
-    return reports.failure_details(results(spark, d).withColumn("n", F.lit(0)))
-
-
 @query("failure_details", with_views(_DETAILS, _RESULTS.rstrip(",")))
 def failure_details(spark, d):
-    return details(spark, d)
+    return reports.failure_details(explained_outcomes(spark, d))
 
 
 @query("analysis_requests", with_views(f"""
 SELECT s.run_id, s.attempt, {filled(t.ANALYSIS_PROMPT, failure_details="coalesce(x.details, '')", visual_issues="s.visual_issues")} AS prompt
 FROM sev s LEFT JOIN ({_DETAILS}) x USING (run_id, attempt) WHERE s.severity <> 'info'""", _severity_ctes("intended")))
 def analysis_requests(spark, d):
-    return reports.analysis_requests(severities(spark, d, "intended"), details(spark, d))
+    return reports.analysis_requests(reports.with_severity(explained_outcomes(spark, d), "intended"))
 
 
 @query("report_summary", with_views("""
@@ -118,7 +112,7 @@ SELECT r.run_id, count(*) AS tests, count(*) FILTER (r.passed) AS passed, count(
   count(*) FILTER (coalesce(d.needs_review, false)) AS diffs
 FROM results r LEFT JOIN diffs d USING (run_id, attempt) GROUP BY r.run_id""", _RESULTS.rstrip(",")))
 def report_summary(spark, d):
-    return reports.report_summary(outcomes(spark, d), diffs(spark, d))
+    return reports.report_summary(outcomes(spark, d))
 
 
 _CONSOLE_TEXT = """
@@ -142,10 +136,35 @@ SELECT r.run_id, r.attempt, array_to_string(list_filter([
 FROM results r JOIN sev s USING (run_id, attempt) LEFT JOIN diffs d USING (run_id, attempt) LEFT JOIN top c ON c.run_id = r.run_id""",
     _severity_ctes("observed") + "," + _CONSOLE_TEXT))
 def report_documents(spark, d):
-    keys = outcomes(spark, d).select("run_id", "attempt")
-    console = keys.join(execution.console_top(view(spark, d, "fx_console")).select("run_id", "text"), "run_id")
-    return reports.report_documents(reports.report_fragments(
-        view(spark, d, "fx_runs"), results(spark, d), diffs(spark, d), severities(spark, d), console, STAMP))
+    return reports.report_documents(report_facts(spark, d), STAMP)
+
+
+def report_facts(spark, d):
+    """The wide row with texts, artifact keys and the console part. The console table has one row per run."""
+    top = execution.console_top(view(spark, d, "fx_console")).select("run_id", F.col("text").alias("console_text"))
+    facts = with_page(spark, d, with_artifacts(spark, d, explained_outcomes(spark, d)))
+    return reports.with_severity(facts.withColumn("url", F.col("page")).join(top, "run_id", "left"))
+
+
+@query("report_fragments", with_views(f"""
+SELECT r.run_id, r.attempt, 4 AS section, u.ord, u.line FROM results r JOIN sev s USING (run_id, attempt) LEFT JOIN diffs d USING (run_id, attempt),
+  LATERAL (SELECT unnest([0, 1, 2, 3, 4]) AS ord, unnest([concat('Severity Level: ', upper(s.severity)), 'Tests Run: 1',
+    concat('Passed: ', CASE WHEN r.passed THEN 1 ELSE 0 END), concat('Failed: ', CASE WHEN r.passed THEN 0 ELSE 1 END),
+    concat('Visual Diffs: ', CASE WHEN coalesce(d.needs_review, false) THEN 1 ELSE 0 END)]) AS line) u
+UNION ALL SELECT run_id, attempt, 0, 0, concat('Run ID: ', run_id) FROM results
+UNION ALL SELECT run_id, attempt, 0, 1, 'Status: ANALYZING' FROM results
+UNION ALL SELECT run_id, attempt, 0, 2, concat('URL: ', url) FROM results
+UNION ALL SELECT run_id, attempt, 0, 3, 'Executed: {STAMP}' FROM results
+UNION ALL SELECT run_id, attempt, 3, 0, concat('Recommendation: ', CASE WHEN severity = 'info' THEN {quoted(t.CLEAN_RECOMMENDATION)} ELSE {quoted(t.REPORT_RECOMMENDATION)} END) FROM sev
+UNION ALL SELECT run_id, attempt, 2, 0, page FROM diffs
+UNION ALL SELECT run_id, attempt, 2, 1, 'Pixel Difference: ' || CAST(difference_percent AS VARCHAR) || '%' FROM diffs
+UNION ALL SELECT run_id, attempt, 2, 2, upper(replace(verdict, '_', ' ')) FROM diffs
+UNION ALL SELECT r.run_id, r.attempt, 1, CAST(row_number() OVER (PARTITION BY r.run_id, r.attempt ORDER BY l.k) AS INT) - 1, l.line FROM results r LEFT JOIN top c ON c.run_id = r.run_id,
+  LATERAL (SELECT unnest(range(6)) AS k, unnest([concat(r.url, CASE WHEN r.passed THEN ' ✓ PASSED' ELSE ' ✗ FAILED' END), 'Error: ' || r.error, 'Context: ' || r.error_context,
+    'Screenshot: http://localhost:4566/artifacts/' || r.screenshot_s3_path, 'DOM: http://localhost:4566/artifacts/' || r.dom_s3_path, c.text]) AS line) l
+  WHERE l.line IS NOT NULL""", _severity_ctes("observed") + "," + _CONSOLE_TEXT))
+def report_fragments(spark, d):
+    return reports.report_fragments(report_facts(spark, d), STAMP)
 
 
 # --- events, lookups, updates ------------------------------------------------------------------------------------

@@ -27,7 +27,7 @@ def build_session(app: str = "qaloom", master: str | None = None, shuffle: int |
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if master:
-        b = b.master(master).config("spark.ui.enabled", "false")
+        b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle))
     return b.getOrCreate()
