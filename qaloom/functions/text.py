@@ -11,17 +11,16 @@ SPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE_CLASS = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-
-
 def strip(c: Column) -> Column:
     """Trim with an explicit character set: linear in the text, unlike an anchored regex on long blank runs."""
     return F.btrim(c, F.lit(SPACE))
 
 
 def words(c: Column) -> Column:
-    s = strip(c)
-    return F.filter(F.split(s, SPACE_CLASS + "+"), lambda w: w != "")
+    """Words between any whitespace. All of it becomes the plain space first: splitting on one character is far
+    cheaper than on a character class."""
+    plain = F.translate(c, SPACE, " " * len(SPACE))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def word_count(c: Column) -> Column:

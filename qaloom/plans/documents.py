@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from qaloom.functions.text import SPACE, SPACE_CLASS
+from qaloom.functions.text import SPACE
 from qaloom.operators import chunking, events, quality, vectors
 from qaloom.operators.prompts import CONTEXT_K, CONTEXT_TYPES
 from qaloom.plans.registry import query, quoted
 from qaloom.plans.views import view, with_views
 
 TRIM = quoted(SPACE)
+SPACE_CLASS = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 DIM = 64
 
 # --- chunks ------------------------------------------------------------------------------------------------------
