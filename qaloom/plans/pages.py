@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from qaloom.operators import dom, visual
 from qaloom.operators.skew import lookup_join
-from qaloom.plans.registry import query
+from qaloom.plans.registry import CHECKS, query
 from qaloom.plans.views import view, with_views
 
 # --- structure ---------------------------------------------------------------------------------------------------
@@ -69,6 +69,11 @@ def element_attrs(spark, d):
     return e.withColumn("attributes", F.array_join(pairs, ";"))
 
 
+@query("dom_map_parser", CHECKS["dom_map"])
+def dom_map_parser(spark, d):
+    return dom.dom_map(dom.parse_pages(view(spark, d, "fx_captures"), engine="parser")).select("page_id", "dom_map")
+
+
 # the same map for pages with forms; the SQL derives the expected text from the columns the page was built from
 _FORM_MAP = """
 SELECT p_partkey AS page_id, array_to_string(list_concat(
