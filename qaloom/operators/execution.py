@@ -44,16 +44,18 @@ def first_errors(messages: DataFrame, n: int = 3) -> DataFrame:
     )
 
 
-def console_top(messages: DataFrame, n: int = 3) -> DataFrame:
-    """The report's console text: a heading, the first n errors and an overflow line."""
-    f = first_errors(messages, n)
+def console_text() -> Column:
+    """The report's console text from errors, first, more: a heading, the first errors and an overflow line."""
     bullets = F.array_join(F.transform("first", lambda m: F.concat(F.lit("• "), m)), "\n")
     more = F.when(F.col("more") > 0, F.concat(F.lit("\n... and "), F.col("more").cast("string"), F.lit(" more")))
-    return f.select(
-        "run_id", "errors", F.array_join("first", "\n").alias("first3"), "more",
-        F.concat(
-            F.lit("Console Errors ("), F.col("errors").cast("string"), F.lit("):\n"), bullets, F.coalesce(more, F.lit(""))
-        ).alias("text"),
+    return F.concat(
+        F.lit("Console Errors ("), F.col("errors").cast("string"), F.lit("):\n"), bullets, F.coalesce(more, F.lit(""))
+    )
+
+
+def console_top(messages: DataFrame, n: int = 3) -> DataFrame:
+    return first_errors(messages, n).select(
+        "run_id", "errors", F.array_join("first", "\n").alias("first3"), "more", console_text().alias("text")
     )
 
 
@@ -131,17 +133,14 @@ def classify_errors(attempts: DataFrame) -> DataFrame:
     })
 
 
-def error_contexts(
-    attempts: DataFrame, urls: DataFrame, messages: DataFrame, requests: DataFrame
-) -> DataFrame:
-    """Add error_context. attempts may carry page_size and traceback; urls: run_id, url.
+def error_contexts(attempts: DataFrame, logs: DataFrame, requests: DataFrame) -> DataFrame:
+    """Add error_context and console_text to attempts with url, and page_size and traceback where known.
 
-    The counts and the first console error come from the message logs, reduced to one row per run before the join.
+    logs: `first_errors` of the console messages; requests: `failed_request_counts`. Both have one row per run.
     """
     have = set(attempts.columns)
     opt = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
-    logs = first_errors(messages, 1).select("run_id", "errors", F.col("first")[0].alias("first_error"))
-    side = logs.join(failed_request_counts(requests), "run_id", "full")
+    first_error = F.col("first")[0]
     cls, msg = F.col("exc_class"), F.coalesce("raw_error", F.lit(""))
     k = _kinds(cls, msg)
     zero = F.lit(0)
@@ -151,7 +150,7 @@ def error_contexts(
             t.TIMEOUT_CONTEXT,
             url=F.col("url"), page_size=F.coalesce(opt("page_size"), F.lit("0")),
             errors=F.coalesce("errors", zero), failed_requests=F.coalesce("failed_requests", zero),
-            first_error=F.coalesce(F.concat(F.lit("First error: "), F.col("first_error")), F.lit("")),
+            first_error=F.coalesce(F.concat(F.lit("First error: "), first_error), F.lit("")),
         )),
         (k["assertion"], render(t.ASSERTION_CONTEXT, message=msg)),
         (k["crash"], render(
@@ -162,10 +161,10 @@ def error_contexts(
             traceback=F.right(F.coalesce(opt("traceback"), F.lit("")), F.lit(500)))),
     )
     return (
-        attempts.join(urls.select("run_id", "url"), "run_id", "left")
-        .join(side, "run_id", "left")
-        .withColumn("error_context", context)
-        .drop("url", "errors", "first_error", "failed_requests")
+        attempts.join(logs, "run_id", "left")
+        .join(requests, "run_id", "left")
+        .withColumns({"error_context": context, "console_text": console_text()})
+        .drop("errors", "first", "more", "failed_requests")
     )
 
 

@@ -44,7 +44,8 @@ def unique_first(df: DataFrame, key: list[str], row_id: str, order: list[str]) -
     Winners come from a partial-aggregated minimum; the split joins on the unique row id, so a key with many rows
     never gathers in one task.
     """
-    winners = df.groupBy(*key).agg(F.min(F.struct(*order, row_id)).alias("_w")).select(F.col(f"_w.{row_id}").alias(row_id))
+    first = F.min(F.struct(*order, row_id))[row_id] if order else F.min(row_id)  # a plain minimum stays in a hash aggregate
+    winners = df.groupBy(*key).agg(first.alias(row_id)).select(row_id)
     kept = df.join(winners, row_id, "left_semi")
     rejects = df.join(winners, row_id, "left_anti")
     return kept, rejects.withColumn("reason", F.lit("duplicate " + ",".join(key)))

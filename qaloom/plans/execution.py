@@ -98,10 +98,16 @@ def classified(spark, d):
     return execution.classify_errors(view(spark, d, "fx_attempts"))
 
 
-def explained(spark, d, attempts=None):
-    attempts = view(spark, d, "fx_attempts") if attempts is None else attempts
-    return execution.error_contexts(
-        execution.classify_errors(attempts), view(spark, d, "fx_runs"), view(spark, d, "fx_console"), view(spark, d, "fx_requests"))
+def with_run(spark, d, attempts):
+    """Attempts with url, tenant_id and project_id of their run: one join, right after the attempts are cut down."""
+    return attempts.join(view(spark, d, "fx_runs").select("run_id", "url", "prompt", "tenant_id", "project_id"), "run_id")
+
+
+def explained(spark, d, attempts):
+    """attempts with url, plus error texts and the console part of a report."""
+    logs = execution.first_errors(view(spark, d, "fx_console"))
+    requests = execution.failed_request_counts(view(spark, d, "fx_requests"))
+    return execution.error_contexts(execution.classify_errors(attempts), logs, requests)
 
 
 @query("error_classify", with_views("SELECT run_id, attempt, passed, error, error_type, status FROM classified", CLASSIFIED))
@@ -111,7 +117,7 @@ def error_classify(spark, d):
 
 @query("error_context", with_views("SELECT run_id, attempt, error_context FROM explained", CLASSIFIED))
 def error_context(spark, d):
-    return explained(spark, d).select("run_id", "attempt", "error_context")
+    return explained(spark, d, with_run(spark, d, view(spark, d, "fx_attempts"))).select("run_id", "attempt", "error_context")
 
 
 @query("element_find", with_views("""
@@ -147,9 +153,12 @@ def should_retry(spark, d):
     return runs.should_retry(view(spark, d, "fx_attempts"), unique=True).select("run_id", "attempt", "retry")
 
 
-def with_artifacts(spark, d, attempts):
-    keyed = attempts.join(view(spark, d, "fx_runs").select("run_id", "tenant_id", "project_id"), "run_id")
-    return execution.artifact_keys(keyed, ~F.coalesce(F.col("exc_class") == "crash", F.lit(False)))
+def effective(spark, d):
+    return runs.effective_attempts(view(spark, d, "fx_attempts"), unique=True)
+
+
+def with_artifacts(attempts):
+    return execution.artifact_keys(attempts, ~F.coalesce(F.col("exc_class") == "crash", F.lit(False)))
 
 
 _ARTIFACTS = """
@@ -162,7 +171,7 @@ keyed AS (SELECT e.*, r.tenant_id, r.project_id,
 @query("artifact_keys", with_views(
     "SELECT run_id, attempt, screenshot_s3_path, dom_s3_path FROM keyed", CLASSIFIED + "," + _ARTIFACTS))
 def artifact_keys(spark, d):
-    return with_artifacts(spark, d, runs.effective_attempts(view(spark, d, "fx_attempts"), unique=True)).select(
+    return with_artifacts(with_run(spark, d, effective(spark, d))).select(
         "run_id", "attempt", "screenshot_s3_path", "dom_s3_path")
 
 
@@ -173,8 +182,7 @@ carried AS (SELECT k.*, attempt > 1 AS is_retry, lag(attempt) OVER w AS attempt_
 
 
 def carried(spark, d):
-    eff = runs.effective_attempts(view(spark, d, "fx_attempts"), unique=True)
-    return runs.retry_context(with_artifacts(spark, d, explained(spark, d, eff)), unique=True)
+    return runs.retry_context(with_artifacts(explained(spark, d, with_run(spark, d, effective(spark, d)))), unique=True)
 
 
 @query("retry_context", with_views("""
@@ -189,7 +197,7 @@ def retry_context(spark, d):
 @query("route", with_views("""
 SELECT run_id, attempt, CASE WHEN passed THEN 'visual_analysis' ELSE 'analysis' END AS route FROM eff""", CLASSIFIED))
 def route(spark, d):
-    return runs.route(runs.effective_attempts(view(spark, d, "fx_attempts"), unique=True)).select("run_id", "attempt", "route")
+    return runs.route(effective(spark, d)).select("run_id", "attempt", "route")
 
 
 @query("run_failures", with_views("SELECT run_id, attempt, error FROM eff WHERE NOT passed", CLASSIFIED))
@@ -236,7 +244,6 @@ def prompt_rows(spark, d):
     errors = execution.error_lines(view(spark, d, "fx_console"))
     rows = (
         carried(spark, d)
-        .join(view(spark, d, "fx_runs").select("run_id", "url", "prompt"), "run_id")
         .join(context, "run_id", "left").join(errors, "run_id", "left")
         .withColumn("context_block", F.coalesce("context_block", F.lit("(no project documents indexed)")))
         .withColumns({

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qaloom.functions import templates as t
-from qaloom.operators import execution, reports, runs, visual
-from qaloom.plans.execution import _ARTIFACTS, CLASSIFIED, explained, with_artifacts
+from qaloom.operators import reports, runs, visual
+from qaloom.plans.execution import _ARTIFACTS, CLASSIFIED, effective, explained, with_artifacts, with_run
 from qaloom.plans.registry import filled, query, quoted
 from qaloom.plans.views import view, with_views
 
@@ -34,17 +34,17 @@ reported AS (SELECT s.*, r.tenant_id, r.project_id, concat_ws('/', r.tenant_id,
 
 def outcomes(spark, d):
     """Effective attempts that did not crash, with the diff of the passed ones: the wide row, without texts."""
-    eff = runs.effective_attempts(view(spark, d, "fx_attempts"), unique=True).filter("pipeline_error is null")
+    eff = effective(spark, d).filter("pipeline_error is null")
     compared = runs.route(eff).withColumn("score", F.when(F.col("route") == "visual_analysis", F.lit(1.0) - F.col("tax")))
     return visual.verdict(compared.drop("tax", "route"))
 
 
 def with_page(spark, d, facts):
-    return facts.join(view(spark, d, "fx_runs").select("run_id", F.col("url").alias("page")), "run_id")
+    return with_run(spark, d, facts).withColumn("page", F.col("url"))
 
 
 def explained_outcomes(spark, d):
-    return explained(spark, d, outcomes(spark, d))
+    return explained(spark, d, with_page(spark, d, outcomes(spark, d)))
 
 
 @query("verdict", with_views("""
@@ -140,10 +140,8 @@ def report_documents(spark, d):
 
 
 def report_facts(spark, d):
-    """The wide row with texts, artifact keys and the console part. The console table has one row per run."""
-    top = execution.console_top(view(spark, d, "fx_console")).select("run_id", F.col("text").alias("console_text"))
-    facts = with_page(spark, d, with_artifacts(spark, d, explained_outcomes(spark, d)))
-    return reports.with_severity(facts.withColumn("url", F.col("page")).join(top, "run_id", "left"))
+    """The wide row with texts, artifact keys and the console part. Console and request logs have one row per run by then."""
+    return reports.with_severity(with_artifacts(explained_outcomes(spark, d)))
 
 
 @query("report_fragments", with_views(f"""

@@ -39,10 +39,10 @@ SELECT run_id, attempt, passed,
     ELSE concat('failure ', CAST(suppkey AS STRING)) END AS raw_error,
   CASE WHEN NOT passed AND k = 5 AND suppkey % 10 = 7 THEN concat('pipeline ', CAST(suppkey AS STRING)) END AS pipeline_error,
   l_tax AS tax
-FROM (SELECT l_orderkey AS run_id,
-    CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS attempt,
-    l_returnflag <> 'R' AS passed, CAST(l_quantity AS INT) % 6 AS k, l_partkey AS partkey, l_suppkey AS suppkey, l_tax
-  FROM lineitem) t
+FROM (SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY linenumber, partkey, suppkey) AS INT) AS attempt,
+    passed, k, partkey, suppkey, l_tax
+  FROM (SELECT l_orderkey AS run_id, l_linenumber AS linenumber, l_partkey AS partkey, l_suppkey AS suppkey,
+      l_returnflag <> 'R' AS passed, CAST(l_quantity AS INT) % 6 AS k, l_tax FROM lineitem) r) t
 WHERE attempt <= 3"""
 
 VIEWS["fx_strategies"] = """

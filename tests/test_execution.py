@@ -62,7 +62,9 @@ def test_timeout_context_has_counts_and_first_error(spark, console):
     ).withColumn("traceback", F.lit("T" * 600))
     urls = spark.createDataFrame([(i, f"http://u{i}") for i in range(1, 5)], "run_id int, url string")
     req = spark.createDataFrame([(1, 3, "u", "f"), (1, 4, "u", "f")], "run_id int, event_id int, url string, failure string")
-    got = {r.run_id: r.error_context for r in x.error_contexts(a, urls, console, req).collect()}
+    rows = x.error_contexts(a.join(urls, "run_id"), x.first_errors(console), x.failed_request_counts(req)).collect()
+    got = {r.run_id: r.error_context for r in rows}
+    assert {r.run_id: r.console_text for r in rows}[1].startswith("Console Errors (5):\n• m1")
     assert "- Page URL: http://u1\n- Page size: 77 bytes\n- Errors on page: 5\n- Failed requests: 2\n\nFirst error: m1\n" in got[1]
     assert got[2].endswith("- Errors on page: 0\n- Failed requests: 0\n\n\n")
     assert got[3] == "ValueError: boom\n\nTraceback (last 500 chars):\n" + "T" * 500 + "\n"
