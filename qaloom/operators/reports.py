@@ -135,10 +135,11 @@ def report_fragments(
 ) -> DataFrame:
     """Report content as ordered text lines: run_id, attempt, section, ord, line.
 
-    facts with severity, plus url, the artifact keys and console_text. The lines of a report come out of its own row.
+    facts with severity, plus url, the artifact keys, console_text and, where a reviewer answered, ai_analysis. The
+    lines of a report come out of its own row.
     `timestamp` is a job parameter: a rerun writes the same report.
     """
-    return facts.select("run_id", "attempt", F.posexplode(_sections(timestamp, mode, endpoint, bucket)).alias("section", "l")).select(
+    return facts.select("run_id", "attempt", F.posexplode(_sections(facts, timestamp, mode, endpoint, bucket)).alias("section", "l")).select(
         "run_id", "attempt", "section", F.posexplode("l").alias("ord", "line")
     )
 
@@ -147,11 +148,11 @@ def report_documents(
     facts: DataFrame, timestamp: str, mode: str = "observed", endpoint: str = DEFAULT_ENDPOINT, bucket: str = ARTIFACTS
 ) -> DataFrame:
     """The same lines as one text per (run, attempt): body."""
-    body = F.array_join(F.flatten(_sections(timestamp, mode, endpoint, bucket)), "\n")
+    body = F.array_join(F.flatten(_sections(facts, timestamp, mode, endpoint, bucket)), "\n")
     return facts.select("run_id", "attempt", body.alias("body"))
 
 
-def _sections(timestamp: str, mode: str, endpoint: str, bucket: str) -> Column:
+def _sections(facts: DataFrame, timestamp: str, mode: str, endpoint: str, bucket: str) -> Column:
     ok = F.coalesce("passed", F.lit(False))
     text = lambda name, c: F.concat(F.lit(f"{name}: "), c.cast("string"))
     link = lambda name, c: F.concat(F.lit(f"{name}: {endpoint}/{bucket}/"), F.nullif(F.col(c), F.lit("")))
@@ -174,6 +175,8 @@ def _sections(timestamp: str, mode: str, endpoint: str, bucket: str) -> Column:
         [
             F.when(compared, F.col("page")),
             F.concat(text("Pixel Difference", F.col("difference_percent")), F.lit("%")), label(F.col("verdict")),
+            text("AI Analysis", F.nullif(F.col("ai_analysis"), F.lit("")))
+            if "ai_analysis" in facts.columns else F.lit(None).cast("string"),
         ],
         [text("Recommendation", F.coalesce("recommendation", F.lit(t.REPORT_RECOMMENDATION)))],
         [

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from qaloom.functions import templates as t
 from qaloom.functions.images import resized_gray, ssim_score
+from qaloom.functions.numbers import py_round
 from qaloom.functions.text import blank, host_key, key_path, render
 from qaloom.operators.skew import first_n, lookup_join
 
@@ -39,6 +40,11 @@ def new_baselines(captures: DataFrame, existing: DataFrame, order: list[str], ke
     return first_baselines(captures, order, key).join(existing.select(*key), key, "left_anti")
 
 
+def readable(captures: DataFrame, error: str = "baseline_error") -> tuple[DataFrame, DataFrame]:
+    """(usable, rejects): where the baseline store failed other than by 'not found' nothing is compared or saved."""
+    return captures.filter(F.col(error).isNull()), captures.filter(F.col(error).isNotNull())
+
+
 def split_baseline(
     captures: DataFrame, baselines: DataFrame, row_id: list[str], key: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +127,7 @@ ASK_ABOVE = 2.0
 
 
 def difference_percent(score: Column) -> Column:
-    return F.round((F.lit(1.0) - score) * 100, 2)
+    return py_round((F.lit(1.0) - score) * 100, 2)
 
 
 def verdict(diffs: DataFrame, score: str = "score") -> DataFrame:
@@ -136,8 +142,19 @@ def verdict(diffs: DataFrame, score: str = "score") -> DataFrame:
     })
 
 
+REVIEW_TEMPERATURE = 0.3
+REVIEW_MAX_TOKENS = 100
+
+
 def visual_requests(diffs: DataFrame) -> DataFrame:
-    """Prompts for an external reviewer, for differences above the limit. diffs: page, difference_percent, ask_model."""
-    return diffs.filter("ask_model").withColumn(
-        "prompt", render(t.VISUAL_PROMPT, page_url=F.col("page"), difference_percent=F.col("difference_percent"))
-    )
+    """Requests for an external reviewer, for differences above the limit. diffs: page, difference_percent, ask_model."""
+    prompt = render(t.VISUAL_PROMPT, page_url=F.col("page"), difference_percent=F.col("difference_percent"))
+    return diffs.filter("ask_model").withColumns({
+        "prompt": prompt, "temperature": F.lit(REVIEW_TEMPERATURE), "max_tokens": F.lit(REVIEW_MAX_TOKENS),
+    })
+
+
+def with_review(diffs: DataFrame, answers: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """Join the reviewer's answers as ai_analysis; diffs that were not asked about, or whose call failed, keep null."""
+    key = key or ["run_id", "attempt"]
+    return diffs.join(answers.select(*key, F.col("answer").alias("ai_analysis")), key, "left")

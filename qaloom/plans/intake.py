@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qaloom import schemas
-from qaloom.functions.text import decode_lenient
 from qaloom.operators import events, quality
 from qaloom.plans.registry import query
 from qaloom.plans.views import view, with_views
@@ -120,16 +119,37 @@ def upload_register(spark, d):
     return documents.drop("created_at").join(uploaded, "id")
 
 
-@query("run_register", with_views("""
-SELECT sha256(CAST(run_id AS VARCHAR)) AS id, tenant_id, project_id, CASE WHEN run_source = 'ui' THEN 'ui' ELSE run_source END AS run_source, url, prompt, 'queued' AS status
-FROM fx_runs WHERE run_id % 7 <> 0"""))
-def run_register(spark, d):
-    r = view(spark, d, "fx_runs").select(
+def run_requests(spark, d):
+    """Run requests: 'ui' runs leave their source empty, a part has no prompt."""
+    return view(spark, d, "fx_runs").select(
         F.col("run_id").alias("request_id"), "tenant_id", "project_id",
         F.when(F.col("run_source") == "ui", "").otherwise(F.col("run_source")).alias("run_source"), "url",
-        F.when(F.col("run_id") % 7 == 0, "").otherwise(F.col("prompt")).alias("prompt"), "created_at",
-        F.lit("c").alias("correlation_id"))
-    return quality.register_runs(r)[0].drop("created_at", "completed_at")
+        F.when(F.col("run_id") % 7 == 0, "").otherwise(F.col("prompt")).alias("prompt"),
+        F.lit("2024-01-02 03:04:05.678").cast("timestamp_ntz").alias("created_at"),
+        F.concat(F.lit("corr-"), F.col("run_id").cast("string")).alias("correlation_id"))
+
+
+_RUN_REQUESTS = """
+requests AS (SELECT *, sha256(CAST(run_id AS VARCHAR)) AS id, CASE WHEN run_id % 7 = 0 THEN '' ELSE prompt END AS given FROM fx_runs)"""
+
+
+@query("run_register", with_views("""
+SELECT id, tenant_id, project_id, run_source, url, prompt, 'queued' AS status FROM requests WHERE given <> ''""", _RUN_REQUESTS))
+def run_register(spark, d):
+    return quality.register_runs(run_requests(spark, d))[0].drop("created_at", "completed_at")
+
+
+@query("run_rejects", with_views("SELECT run_id AS request_id, 'prompt' AS missing FROM requests WHERE given = ''", _RUN_REQUESTS))
+def run_rejects(spark, d):
+    return quality.register_runs(run_requests(spark, d))[2].select("request_id", "missing")
+
+
+@query("event_test_requested", with_views("""
+SELECT id, concat('{"eventType":"test.requested","tenantId":"', tenant_id, '","projectId":"', project_id, '","runId":"', id, '","url":"', url,
+  '","prompt":"', prompt, '","runSource":"', run_source, '","correlationId":"corr-', run_id, '","timestamp":"2024-01-02T03:04:05.678Z"}') AS value
+FROM requests WHERE given <> ''""", _RUN_REQUESTS))
+def event_test_requested(spark, d):
+    return quality.register_runs(run_requests(spark, d))[1]
 
 
 @query("blob_manifest", with_views("""

@@ -128,3 +128,19 @@ def test_parse_events(spark):
     assert [r.documentId for r in good.collect()] == ["d1"]
     assert sorted(r.reason for r in bad.collect())[:1] == ["malformed"] and bad.count() == 5
     assert len(DOCUMENT_UPLOADED.fields) == 7
+
+
+def test_analysis_requests_and_answers(spark):
+    sev = reports.with_severity(facts(spark), "intended")
+    ask = {r.run_id: r.prompt for r in reports.analysis_requests(sev).collect()}
+    assert set(ask) == {"r2", "r3", "r4"} and ask["r4"].startswith("Test failures detected:\n- E (context: None)\n\nVisual issues: 0 found\n")
+    assert ask["r2"].startswith("Test failures detected:\n\n\nVisual issues: 1 found")
+    ans = spark.createDataFrame([("r1", 1, "ignored"), ("r4", 1, "because")], "run_id string, attempt int, answer string")
+    got = {r.run_id: (r.root_cause, r.recommendation) for r in reports.with_analysis(sev, ans).collect()}
+    assert got == {"r1": (None, "No issues detected. All checks passed."), "r2": (None, None), "r3": (None, None), "r4": ("because", "because")}
+
+
+def test_reviewer_text_in_the_report(spark):
+    f = reports.with_severity(facts(spark)).withColumn("ai_analysis", F.when(F.col("run_id") == "r2", "real_bug"))
+    body = {r.run_id: r.body for r in reports.report_documents(f, "2024").collect()}
+    assert "MINOR CHANGE\nAI Analysis: real_bug\n" in body["r2"] and "AI Analysis" not in body["r1"]

@@ -147,3 +147,24 @@ def test_tables_append_update_and_events(spark, tmp_path):
     assert {f: os.path.getmtime(f"{path}/tenant_id=t1/{f}") for f in os.listdir(f"{path}/tenant_id=t1")} == untouched
     writers.write_events(spark.createDataFrame([('{"a":1}',)], "value string"), str(tmp_path / "ev"))
     assert [r.value for r in spark.read.text(str(tmp_path / "ev")).collect()] == ['{"a":1}']
+
+
+def test_requests_become_prompts(spark, tmp_path):
+    from qaloom.operators import vectors
+    from qaloom.streaming import requests
+
+    chunks = spark.createDataFrame(
+        [("t", "p", "d1", 0, "login page needs an email"), ("t", "p", "d2", 0, "cart shows totals"), ("t", "q", "d3", 0, "login of another project")],
+        "tenant_id string, project_id string, document_id string, chunk_index int, text string")
+    vectors.make_points(chunks, hash_embedder(32)).write.parquet(str(tmp_path / "points"))
+    pages = spark.createDataFrame([("r1", "MAP", "T", (800, 600))], "run_id string, page_structure string, page_title string, viewport struct<width:int,height:int>")
+    put(str(tmp_path / "in"), "1.json", [
+        {"runId": "r1", "tenantId": "t", "projectId": "p", "url": "http://u", "prompt": "login page"},
+        {"runId": "r2", "tenantId": "t", "projectId": "none", "url": "http://v", "prompt": "x"}, "{bad"])
+    good, _ = parse_events(readers.stream_lines(spark, str(tmp_path / "in")), schemas.TEST_REQUESTED, ["runId", "url", "prompt"])
+    drain(requests.start_prompts(
+        good, lambda: spark.read.parquet(str(tmp_path / "points")), lambda: pages, hash_embedder(32), str(tmp_path / "out"), str(tmp_path / "ck"), once=True))
+    got = {r.run_id: r.user_prompt for r in spark.read.parquet(str(tmp_path / "out" / "prompts")).collect()}
+    assert "- login page needs an email\n- cart shows totals\n" in got["r1"] and "another project" not in got["r1"]
+    assert "MAP" in got["r1"] and "Viewport: 800x600" in got["r1"]
+    assert "(no project documents indexed)" in got["r2"] and "(could not fetch page structure)" in got["r2"]

@@ -80,3 +80,27 @@ def test_baselines(spark):
 def test_candidates(spark):
     df = spark.createDataFrame([(1, "k"), (2, ""), (3, None)], "run_id int, screenshot_s3_path string")
     assert [r.run_id for r in visual.visual_candidates(df).collect()] == [1]
+
+
+def test_python_rounding(spark):
+    import random
+
+    from qaloom.functions.numbers import py_round
+
+    rng = random.Random(5)
+    xs = [2.675, 0.125, 0.375, 1.005, 0.005, 2.5, 99.995, 0.0, 4.995, 1.115, -0.125, -2.675, 5.000000000000004, 1.015, 8.345]
+    xs += [rng.randint(0, 20000) / 200 for _ in range(300)] + [rng.uniform(0, 200) for _ in range(300)] + [rng.randint(-999, 99999) / 1000 for _ in range(300)]
+    got = [r.r for r in spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x double").orderBy("i").select(py_round(F.col("x")).alias("r")).collect()]
+    assert got == [round(x, 2) for x in xs]
+    assert spark.createDataFrame([(None,)], "x double").select(py_round(F.col("x"))).first()[0] is None
+
+
+def test_review_answers_and_unreadable_baselines(spark):
+    d = spark.createDataFrame([(1, 1, "u", 0.9), (2, 1, "v", 0.999)], "run_id int, attempt int, page string, score double")
+    ask = visual.visual_requests(visual.verdict(d)).collect()
+    assert [(r.run_id, r.temperature, r.max_tokens) for r in ask] == [(1, 0.3, 100)] and "URL: u\nVisual Difference: 10.0%\n" in ask[0].prompt
+    ans = spark.createDataFrame([(1, 1, "real_bug")], "run_id int, attempt int, answer string")
+    assert {r.run_id: r.ai_analysis for r in visual.with_review(visual.verdict(d), ans).collect()} == {1: "real_bug", 2: None}
+    c = spark.createDataFrame([(1, None), (2, "timeout")], "id int, baseline_error string")
+    good, bad = visual.readable(c)
+    assert [r.id for r in good.collect()] == [1] and [r.id for r in bad.collect()] == [2]
