@@ -24,6 +24,18 @@ def hot_keys(df: DataFrame, on: list[str], rows_per_part: int = ROWS_PER_PART, m
     )
 
 
+def widen(scan: DataFrame, row_id: str) -> DataFrame:
+    """Spread a scan that has fewer splits than the cluster has cores, in front of work that is heavy per row.
+
+    A few big row groups would otherwise keep a few cores busy with all of it. Where there are enough splits, as with
+    any large table, this does nothing. Rows go by a hash of their unique id, so a repeated task places them alike.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.isStreaming or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, row_id)
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from qaloom.functions.text import SPACE
 from qaloom.operators import chunking, events, quality, vectors
 from qaloom.operators.prompts import CONTEXT_K, CONTEXT_TYPES
+from qaloom.operators.skew import widen
 from qaloom.plans.registry import query, quoted
 from qaloom.plans.views import view, with_views
 
@@ -39,13 +40,13 @@ cut AS (
 
 @query("chunks", with_views("SELECT doc_id, chunk_index, n_words, text FROM cut", chunk_ctes(), recursive=True))
 def chunks(spark, d):
-    return chunking.chunk_documents(view(spark, d, "documents"), "doc_id", "text", sep="\n")
+    return chunking.chunk_documents(widen(view(spark, d, "documents"), "doc_id"), "doc_id", "text", sep="\n")
 
 
 @query("chunk_counts", with_views(
     "SELECT doc_id, CAST(count(*) AS INT) AS chunks FROM cut GROUP BY doc_id", chunk_ctes(), recursive=True))
 def chunk_counts(spark, d):
-    return chunking.chunk_counts(view(spark, d, "documents"), "doc_id", "text", sep="\n")
+    return chunking.chunk_counts(widen(view(spark, d, "documents"), "doc_id"), "doc_id", "text", sep="\n")
 
 
 WEIGHTS = f"""
@@ -65,7 +66,8 @@ def hash_embed(spark, d):
 
 
 def accepted_uploads(spark, d):
-    return quality.file_gate(view(spark, d, "fx_uploads"), F.split_part("s3_path", F.lit("/"), F.lit(-1)))[0]
+    uploads = widen(view(spark, d, "fx_uploads"), "document_id")
+    return quality.file_gate(uploads, F.split_part("s3_path", F.lit("/"), F.lit(-1)))[0]
 
 
 def document_chunks(spark, d):
@@ -184,3 +186,53 @@ def context_block(spark, d):
     hits = vectors.knn_topk(q, p, CONTEXT_K, CONTEXT_TYPES, exclude_self=True, prune=False)
     texts = view(spark, d, "documents").select(F.col("doc_id").alias("point_id"), "text")
     return vectors.context_block(hits, q, texts)
+
+
+# --- documents to prompt context, end to end ---------------------------------------------------------------------
+
+
+def _vectors_sql(name: str, source: str) -> str:
+    return f"""
+{name} AS (SELECT id, dim, CAST(CAST(c / sqrt(sum(c * c) OVER (PARTITION BY id)) AS FLOAT) AS DOUBLE) AS w
+  FROM (SELECT id, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % {DIM} AS INT) AS dim, CAST(count(*) AS DOUBLE) AS c
+    FROM (SELECT id, unnest(string_split_regex(trim(text, {TRIM}), '{SPACE_CLASS}+')) AS w FROM {source} WHERE trim(text, {TRIM}) <> '') GROUP BY ALL)),
+{name}_norm AS (SELECT id, sqrt(sum(w * w)) AS norm FROM {name} GROUP BY id)"""
+
+
+_RETRIEVAL = (
+    chunk_ctes("(SELECT * FROM fx_uploads WHERE lower(s3_path) LIKE '%.txt')", "document_id")
+    + """,
+points AS MATERIALIZED (SELECT sha256(concat_ws('|', CAST(c.doc_id AS VARCHAR), CAST(chunk_index AS VARCHAR))) AS id,
+  concat(u.tenant_id, '_', u.project_id) AS collection, c.text FROM cut c JOIN fx_uploads u ON u.document_id = c.doc_id),
+questions AS (SELECT query_id AS id, collection, text FROM fx_questions),"""
+    + _vectors_sql("pw", "points") + "," + _vectors_sql("qw", "questions")
+    + f""",
+dots AS (SELECT qw.id AS query_id, pw.id AS point_id, sum(qw.w * pw.w) AS dot FROM qw JOIN questions q ON q.id = qw.id
+  JOIN points p ON p.collection = q.collection JOIN pw ON pw.id = p.id AND pw.dim = qw.dim GROUP BY ALL),
+ranked AS (SELECT q.id AS query_id, p.id AS point_id, p.text, round(coalesce(d.dot / (qn.norm * pn.norm), 0), 6) AS score,
+  row_number() OVER (PARTITION BY q.id ORDER BY round(coalesce(d.dot / (qn.norm * pn.norm), 0), 6) DESC, p.id) AS rank
+  FROM questions q JOIN points p ON p.collection = q.collection LEFT JOIN dots d ON d.query_id = q.id AND d.point_id = p.id
+  LEFT JOIN pw_norm pn ON pn.id = p.id LEFT JOIN qw_norm qn ON qn.id = q.id QUALIFY rank <= {CONTEXT_K})"""
+)
+
+
+def retrieval(spark, d):
+    embedder = vectors.hash_embedder(DIM)
+    points = vectors.make_points(document_chunks(spark, d), embedder).withColumnRenamed("id", "point_id")
+    asked = vectors.embed(view(spark, d, "fx_questions"), embedder).select("query_id", "collection", "vector")
+    return vectors.knn_topk(asked, points, CONTEXT_K, CONTEXT_TYPES), asked, points
+
+
+@query("prompt_retrieval", with_views(
+    "SELECT query_id, CAST(rank AS INT) AS rank, point_id, score FROM ranked", _RETRIEVAL, recursive=True))
+def prompt_retrieval(spark, d):
+    return retrieval(spark, d)[0]
+
+
+@query("prompt_context", with_views(f"""
+SELECT q.id AS query_id, CAST(count(r.point_id) AS INT) AS n,
+  coalesce(string_agg(concat('- ', r.text), chr(10) ORDER BY r.rank) FILTER (r.point_id IS NOT NULL), '{vectors.NO_CONTEXT}') AS block
+FROM questions q LEFT JOIN ranked r ON r.query_id = q.id GROUP BY q.id""", _RETRIEVAL, recursive=True))
+def prompt_context(spark, d):
+    hits, asked, points = retrieval(spark, d)
+    return vectors.context_block(hits, asked, points.select("point_id", "text"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qaloom.operators import dom, visual
-from qaloom.operators.skew import lookup_join
+from qaloom.operators.skew import lookup_join, widen
 from qaloom.plans.registry import CHECKS, query
 from qaloom.plans.views import view, with_views
 
@@ -35,8 +35,12 @@ map_lines AS (
   SELECT page_id, 'headings', i + 1, concat('  <', tag, '> ', substr(text, 1, 60)) FROM heads WHERE i <= 10)"""
 
 
+def pages(spark, d, name="fx_captures"):
+    return widen(view(spark, d, name), "page_id")
+
+
 def parsed(spark, d, name="fx_captures"):
-    return dom.parse_pages(view(spark, d, name))
+    return dom.parse_pages(pages(spark, d, name))
 
 
 @query("dom_counts", with_views("""
@@ -44,7 +48,7 @@ SELECT page_id, CAST(0 AS INT) AS forms, CAST(0 AS INT) AS buttons, CAST(0 AS IN
   CAST((SELECT count(*) FROM links l WHERE l.page_id = c.page_id) AS INT) AS links,
   CAST((SELECT count(*) FROM heads l WHERE l.page_id = c.page_id) AS INT) AS headings FROM clean c""", _PAGE))
 def dom_counts(spark, d):
-    return dom.dom_counts(view(spark, d, "fx_captures"), "page_id")
+    return dom.dom_counts(pages(spark, d), "page_id")
 
 
 @query("dom_sections", with_views("SELECT page_id, section, CAST(ord AS INT) AS ord, line FROM map_lines", _PAGE))
@@ -71,7 +75,7 @@ def element_attrs(spark, d):
 
 @query("dom_map_parser", CHECKS["dom_map"])
 def dom_map_parser(spark, d):
-    return dom.dom_map(dom.parse_pages(view(spark, d, "fx_captures"), engine="parser")).select("page_id", "dom_map")
+    return dom.dom_map(dom.parse_pages(pages(spark, d), engine="parser")).select("page_id", "dom_map")
 
 
 # the same map for pages with forms; the SQL derives the expected text from the columns the page was built from
@@ -101,7 +105,7 @@ def dom_map_forms(spark, d):
 @query("dom_counts_forms", """
 SELECT p_partkey AS page_id, 2 AS forms, CAST(1 + p_size % 20 AS INT) AS buttons, CAST(p_size + 2 AS INT) AS inputs, 2 AS links, 2 AS headings FROM part""")
 def dom_counts_forms(spark, d):
-    return dom.dom_counts(view(spark, d, "fx_form_pages"), "page_id")
+    return dom.dom_counts(pages(spark, d, "fx_form_pages"), "page_id")
 
 
 _ERROR = "CASE WHEN length(html) % 5 = 0 THEN 'net::ERR_TIMED_OUT' END"
@@ -114,7 +118,7 @@ SELECT c.page_id, CASE WHEN {_ERROR} IS NOT NULL THEN concat('ERROR: Could not v
 FROM fx_captures c JOIN titles t USING (page_id) JOIN (SELECT page_id, concat(string_agg(line, chr(10) ORDER BY CASE section WHEN 'head' THEN 0 WHEN 'links' THEN 1 ELSE 2 END, ord),
   chr(10), chr(10), repeat('=', 60)) AS dom_map FROM map_lines GROUP BY page_id) m USING (page_id)""", _PAGE))
 def page_structure(spark, d):
-    log = view(spark, d, "fx_captures").withColumns({
+    log = pages(spark, d).withColumns({
         "error": F.expr(_ERROR), "page_title": F.lit(None).cast("string"),
         "viewport": F.struct(F.lit(1280).alias("width"), F.lit(720).alias("height")),
     })

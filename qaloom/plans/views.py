@@ -83,6 +83,12 @@ SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN concat('```python', chr(10), tex
   WHEN 1 THEN concat('```', chr(10), text, '```') ELSE text END AS raw
 FROM conversations WHERE role = 'assistant'"""
 
+# questions put to the documents: what users say, each in one project's collection
+VIEWS["fx_questions"] = """
+SELECT conv_id * 1000 + turn AS query_id, concat('src', CAST(conv_id % 20 AS STRING), '_',
+  CASE conv_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END) AS collection, text
+FROM conversations WHERE role = 'user'"""
+
 # pages with forms, built from the rows of a table, so that their number grows with it
 VIEWS["fx_form_pages"] = """
 SELECT p_partkey AS page_id, concat(
