@@ -8,8 +8,14 @@ import numpy as np
 LUMA_BGR = (114, 587, 299)
 
 
+def pixels(px, h: int, w: int, channels: int) -> np.ndarray:
+    """Row-major values of 0-255, as numbers or as bytes (a quarter of the size)."""
+    flat = np.frombuffer(px, dtype=np.uint8) if isinstance(px, (bytes, bytearray)) else np.asarray(px)
+    return flat.astype(np.float64).reshape((h, w, channels) if channels > 1 else (h, w))
+
+
 def to_gray(px, h: int, w: int, channels: int) -> np.ndarray:
-    a = np.asarray(px, dtype=np.float64).reshape((h, w, channels) if channels > 1 else (h, w))
+    a = px if isinstance(px, np.ndarray) and px.ndim > 1 else pixels(px, h, w, channels)
     if channels == 1:
         return a
     b, g, r = (a[..., i] * weight for i, weight in enumerate(LUMA_BGR))
@@ -41,9 +47,7 @@ def resize_bilinear(img: np.ndarray, h: int, w: int) -> np.ndarray:
 
 def resized_gray(px, h: int, w: int, channels: int, out_h: int, out_w: int) -> np.ndarray:
     """Resize first, channel by channel, then convert to gray."""
-    a = np.asarray(px, dtype=np.float64).reshape((h, w, channels) if channels > 1 else (h, w))
-    a = resize_bilinear(a, out_h, out_w)
-    return to_gray(a, out_h, out_w, channels)
+    return to_gray(resize_bilinear(pixels(px, h, w, channels), out_h, out_w), out_h, out_w, channels)
 
 
 def _box_mean(a: np.ndarray, win: int) -> np.ndarray:

@@ -40,10 +40,10 @@ def dedup_stream(events: DataFrame, key: list[str], ts: str, delay: str) -> Data
 
 
 def event_windows(events: DataFrame, ts: str, size: str, by: list[str], watermark: str | None = None) -> DataFrame:
-    """Counts per time window and group."""
-    src = events.withColumn(ts, F.col(ts).cast("timestamp"))
+    """Counts per time window and group. A watermark needs a time with zone; without one the column stays as it is."""
+    src = events
     if watermark:
-        src = src.withWatermark(ts, watermark)
+        src = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark)
     return src.groupBy(F.window(ts, size).alias("w"), *by).agg(F.count(F.lit(1)).alias("n")).select(
         F.col("w.start").alias("window_start"), *by, "n"
     )

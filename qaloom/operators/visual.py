@@ -59,9 +59,10 @@ def split_baseline(
 
 
 def ssim_images(pairs: DataFrame, win: int = 7, data_range: float = 255.0) -> DataFrame:
-    """Score whole images. pairs: image_id, cur and ref, each struct<h int, w int, channels int, px array<int>>
-    (row-major; channels 3 is blue-green-red, 1 is gray). The current image is resized to the reference when shapes
-    differ. One image pair is one row, so tasks hold an Arrow batch of images; images under `win` pixels get null."""
+    """Score whole images. pairs: image_id, cur and ref, each struct<h int, w int, channels int, px array<int> or
+    binary> (row-major; channels 3 is blue-green-red, 1 is gray). The current image is resized to the reference when
+    shapes differ; images under `win` pixels get null. One pair is one row; Spark limits Arrow batches by bytes as well as
+    rows, so big screenshots come a few at a time."""
 
     @F.pandas_udf("double")
     def score(cur: pd.DataFrame, ref: pd.DataFrame) -> pd.Series:

@@ -189,7 +189,7 @@ def shadowed_uploads(spark, d):
 SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def event_windows(spark, d):
     w = events.event_windows(view(spark, d, "events"), "ts", "1 day", ["event_type"])
-    return w.select(F.col("window_start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+    return w.select(F.col("window_start").alias("day"), "event_type", "n")
 
 
 @query("dedup_events", """

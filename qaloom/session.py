@@ -34,12 +34,17 @@ def build_session(app: str = "qaloom", master: str | None = None, shuffle: int |
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's checkpoint folder; fall back to a temporary one only where none is set."""
+    """The cluster's checkpoint folder (`spark.checkpoint.dir`). A temporary one is used only in local mode, as in
+    tests: on a cluster every executor must see the folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    path = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="qaloom-ckpt-")
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        path = tempfile.mkdtemp(prefix="qaloom-ckpt-")
     sc.setCheckpointDir(path)
     return path
 

@@ -54,6 +54,15 @@ def test_size_mismatch_is_resized_to_the_reference(spark):
     assert visual.ssim_images(df).first().score == pytest.approx(1.0)
 
 
+def test_pixels_as_bytes(spark):
+    img = "struct<h:int,w:int,channels:int,px:binary>"
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, 256, (12, 10, 3)).astype(np.uint8) for _ in range(2))
+    df = spark.createDataFrame([(1, (12, 10, 3, bytearray(a.tobytes())), (12, 10, 3, bytearray(b.tobytes())))], f"image_id int, cur {img}, ref {img}")
+    want = ssim_score(to_gray(a.ravel(), 12, 10, 3), to_gray(b.ravel(), 12, 10, 3))
+    assert visual.ssim_images(df).first().score == pytest.approx(want)
+
+
 @pytest.mark.parametrize("diff,want", [
     (0.99, ("no_change", False, "info", False)), (1.0, ("minor_change", True, "info", False)), (2.0, ("minor_change", True, "info", False)),
     (2.01, ("minor_change", True, "info", True)), (4.99, ("minor_change", True, "info", True)), (5.0, ("significant_change", True, "warning", True)),
