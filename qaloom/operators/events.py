@@ -49,10 +49,10 @@ def event_windows(events: DataFrame, ts: str, size: str, by: list[str], watermar
     )
 
 
-def pending_index(uploads: DataFrame, indexed: DataFrame, now: Column, within: Column) -> DataFrame:
-    """Batch form: uploads older than `within` that have no indexed event. uploads: document_id, uploaded_at."""
-    late = uploads.filter(F.col("uploaded_at") + within < now)
-    return late.join(indexed.select("document_id").distinct(), "document_id", "left_anti")
+def unanswered(causes: DataFrame, effects: DataFrame, key: str, ts: str, now: Column, within: Column) -> DataFrame:
+    """Batch form: causes older than `within` without an effect of the same key. `streaming.lineage` has the stream form."""
+    late = causes.filter(F.col(ts) + within < now)
+    return late.join(effects.select(key).distinct(), key, "left_anti")
 
 
 def document_status(uploads: DataFrame, indexed: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from qaloom.functions import templates as t
 from qaloom.operators import execution, prompts, runs
@@ -221,6 +221,30 @@ def status_progress(spark, d):
     return runs.current_status(runs.status_log(view(spark, d, "fx_attempts"), unique=True))
 
 
+_STEPS = """
+steps AS (SELECT run_id, attempt, pipeline_error, passed, unnest(CASE WHEN pipeline_error IS NOT NULL THEN ['queued']
+    ELSE ['queued', 'scenario_generated', CASE WHEN passed THEN 'passed' ELSE 'failed' END, 'analyzing', 'completed'] END) AS status,
+  unnest(CASE WHEN pipeline_error IS NOT NULL THEN [0] ELSE [0, 1, 2, 3, 4] END) AS step FROM eff)"""
+
+
+@query("status_log", with_views("SELECT run_id, attempt, step, status FROM steps", CLASSIFIED + "," + _STEPS))
+def status_log(spark, d):
+    return runs.status_log(view(spark, d, "fx_attempts"), unique=True)
+
+
+# the log with the analysis of failed attempts and the first state of third attempts left out
+@query("illegal_jumps", with_views("""
+SELECT run_id, attempt, step, status, CASE step WHEN 4 THEN 'failed' END AS previous FROM steps
+WHERE (step = 4 AND NOT passed) OR (step = 1 AND attempt = 3)""", CLASSIFIED + "," + _STEPS))
+def illegal_jumps(spark, d):
+    log = runs.status_log(view(spark, d, "fx_attempts"), unique=True)
+    w = W.partitionBy("run_id", "attempt")
+    ended_badly = F.bool_or(F.col("status") == "failed").over(w)
+    cut = log.withColumn("bad", ended_badly).filter(
+        "NOT (status = 'analyzing' AND bad) AND NOT (attempt = 3 AND step = 0 AND status = 'queued')")
+    return runs.illegal_jumps(cut.drop("bad"))
+
+
 # --- prompts and scripts -----------------------------------------------------------------------------------------
 
 

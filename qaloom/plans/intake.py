@@ -234,7 +234,17 @@ def pending_index(spark, d):
     uploads = e.select(F.col("event_id").alias("document_id"), F.col("ts").alias("uploaded_at"))
     done = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("document_id"))
     now = F.expr("TIMESTAMP_NTZ '2024-01-30 00:00:00'")
-    return events.pending_index(uploads, done, now, F.expr("INTERVAL '3' HOUR")).select("document_id")
+    return events.unanswered(uploads, done, "document_id", "uploaded_at", now, F.expr("INTERVAL '3' HOUR")).select("document_id")
+
+
+# run requests older than a day without a finished attempt
+@query("unreported_runs", with_views("""
+SELECT run_id FROM fx_runs WHERE created_at + INTERVAL 24 HOUR < TIMESTAMP '1998-01-01 00:00:00'
+  AND run_id NOT IN (SELECT run_id FROM fx_attempts WHERE passed)"""))
+def unreported_runs(spark, d):
+    done = view(spark, d, "fx_attempts").filter("passed")
+    now = F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")
+    return events.unanswered(view(spark, d, "fx_runs"), done, "run_id", "created_at", now, F.expr("INTERVAL '24' HOUR")).select("run_id")
 
 
 @query("document_status", """

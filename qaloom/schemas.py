@@ -33,6 +33,11 @@ REPORTS = _struct(
     ("format", _s, False), ("critical_count", _i, True), ("warning_count", _i, True), ("created_at", _ts, True),
 )
 
+TABLES = {"tenants": TENANTS, "projects": PROJECTS, "documents": DOCUMENTS, "test_runs": TEST_RUNS, "reports": REPORTS}
+
+# fixed value: the tenant every installation starts with
+SEED_TENANT = ("11111111-1111-1111-1111-111111111111", "Demo Company", "demo-co", None)
+
 # foreign keys: child table, child column, parent table, parent column
 FOREIGN_KEYS = (
     ("projects", "tenant_id", "tenants", "id"),

@@ -10,10 +10,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 def start(
     stream: DataFrame, path: str, checkpoint: str, mode: str = "append", fmt: str = "parquet", once: bool = False,
-    every: str = "10 seconds", partition_by: list[str] | None = None,
+    every: str = "10 seconds", partition_by: list[str] | None = None, **options,
 ) -> StreamingQuery:
-    """Write a stream to files. `checkpoint` plays the part of a consumer group: a restart goes on where it ended."""
-    w = stream.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint).option("path", path)
+    """Write a stream to files, or to the topic `path` with fmt='kafka' (a `value` column). `checkpoint` plays the part
+    of a consumer group: a restart goes on where it ended."""
+    w = stream.writeStream.format(fmt).outputMode(mode).option("checkpointLocation", checkpoint).options(**options)
+    w = w.option("topic" if fmt == "kafka" else "path", path)
     if partition_by:
         w = w.partitionBy(*partition_by)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()

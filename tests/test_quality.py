@@ -64,3 +64,19 @@ def test_manifest(spark):
     keys = ["t/p/documents/f.txt", "t/p/r1/screenshot_attempt_2.png", "t/p/r1/dom_attempt_10.html", "t/p/baselines/h.com.png", "t/p/r1/report.html"]
     got = [tuple(r)[3:] for r in q.blob_manifest(spark.createDataFrame([(k,) for k in keys], "key string")).collect()]
     assert got == [(None, "document", None), ("r1", "screenshot", 2), ("r1", "dom", 10), (None, "baseline", None), ("r1", "report", None)]
+
+
+def test_schemas_seed_and_references(spark):
+    from qaloom import schemas
+
+    assert {n: len(t.fields) for n, t in schemas.TABLES.items()} == {"tenants": 4, "projects": 6, "documents": 8, "test_runs": 9, "reports": 12}
+    tables = {n: spark.createDataFrame([schemas.SEED_TENANT] if n == "tenants" else [], t) for n, t in schemas.TABLES.items()}
+    assert tables["tenants"].first().name == "Demo Company"
+    project = spark.createDataFrame([("p1", "other", "N", "s", "other_p1", None)], schemas.PROJECTS)
+    tables["projects"] = project
+    found = []
+    for child, column, parent, key in schemas.FOREIGN_KEYS:
+        rows = q.fk_violations(tables[child], column, "id", tables[parent], key, f"{child}.{column}")
+        found += [tuple(r) for r in rows.collect()]
+    assert found == [("p1", "projects.tenant_id")]
+    assert q.list_projects(project, "other").count() == 1 and q.list_projects(project, "none").count() == 0
