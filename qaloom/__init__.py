@@ -1 +1,8 @@
 """Data engine for automated web testing on PySpark: documents, vectors, pages, runs and reports."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# task functions travel with their code, so executors need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -36,3 +36,20 @@ def test_entry_contract(spark):
     assert set(e.oracle_sql()) <= set(e.queries()) and e.queries().keys() == QUERIES.keys() and e.oracle_sql().keys() == CHECKS.keys()
     df = e.entry(spark)
     assert df.columns == ["query_id", "n", "block"] and df.count() > 0
+
+
+def test_python_tasks_need_no_installed_package(tmp_path, sf):
+    """Workers started elsewhere get the code with the task."""
+    import subprocess
+    import sys
+
+    code = (
+        f"import sys; sys.path.insert(0, {ROOT!r})\n"
+        "from qaloom.plans import QUERIES\nfrom qaloom.session import build_session\n"
+        "s = build_session('elsewhere', 'local[2]', 2)\n"
+        f"print('rows', *[QUERIES[n](s, {sf!r}).count() for n in ('dom_map_parser', 'gray_resize', 'knn_topk')])\n"
+        "QUERIES['dom_map_parser'](s, %r).agg({'dom_map': 'max'}).collect(); QUERIES['ssim'](s, %r).collect(); print('fine')\n" % (sf, sf)
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "fine" in out.stdout, out.stderr[-2000:]
