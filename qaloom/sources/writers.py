@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from qaloom.operators.vectors import upsert_points
 from qaloom.session import ensure_checkpoint_dir
 
 
@@ -21,13 +23,35 @@ def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None,
 def overwrite_touched(spark: SparkSession, updated: DataFrame, touched: DataFrame, path: str, partition_by: str) -> None:
     """Replace only the partitions that hold updated rows.
 
-    updated: the whole new table (lazily built); touched: the partition values with changes. The replacement is
-    checkpointed first, since it is derived from the files it replaces.
+    updated: the whole new table (lazily built); touched: the partition values with changes.
     """
+    rows = updated.join(touched.select(partition_by).distinct(), partition_by, "left_semi")
+    _replace_partitions(spark, rows, path, partition_by)
+
+
+def upsert_table(
+    spark: SparkSession, incoming: DataFrame, path: str, key: str = "id", version: str = "version", partition_by: str = "collection"
+) -> None:
+    """Upsert into a partitioned table: only partitions named by the incoming rows are read, merged and replaced, so the
+    cost follows the batch and not the table. A key belongs to one partition for good, as a point does to its collection.
+    """
+    try:
+        table = spark.read.schema(incoming.schema).parquet(path)
+        table.schema  # noqa: B018
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        table = incoming.limit(0)
+    touched = incoming.select(partition_by).distinct()
+    existing = table.join(touched, partition_by, "left_semi").select(*incoming.columns)
+    _replace_partitions(spark, upsert_points(existing, incoming, key, version), path, partition_by)
+
+
+def _replace_partitions(spark: SparkSession, rows: DataFrame, path: str, partition_by: str) -> None:
+    """Dynamic partition overwrite from a checkpoint, since the rows come from the files they replace."""
     ensure_checkpoint_dir(spark)
-    rows = updated.join(touched.select(partition_by).distinct(), partition_by, "left_semi").checkpoint()
     (
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.checkpoint().write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_by).parquet(path)
     )
 

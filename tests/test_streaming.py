@@ -168,3 +168,15 @@ def test_requests_become_prompts(spark, tmp_path):
     assert "- login page needs an email\n- cart shows totals\n" in got["r1"] and "another project" not in got["r1"]
     assert "MAP" in got["r1"] and "Viewport: 800x600" in got["r1"]
     assert "(no project documents indexed)" in got["r2"] and "(could not fetch page structure)" in got["r2"]
+
+
+def test_upsert_replaces_only_touched_collections(spark, tmp_path):
+    path = str(tmp_path / "points")
+    cols = "id string, collection string, version long, text string"
+    writers.upsert_table(spark, spark.createDataFrame([("a", "7", 1, "x"), ("b", "8", 1, "y")], cols), path)
+    kept = {f: os.path.getmtime(f"{path}/collection=8/{f}") for f in os.listdir(f"{path}/collection=8")}
+    writers.upsert_table(spark, spark.createDataFrame([("a", "7", 2, "new"), ("c", "7", 1, "z")], cols), path)
+    writers.upsert_table(spark, spark.createDataFrame([("a", "7", 1, "stale")], cols), path)
+    rows = {(r.id, r.collection, r.text) for r in spark.read.schema(cols).parquet(path).collect()}
+    assert rows == {("a", "7", "new"), ("b", "8", "y"), ("c", "7", "z")}
+    assert {f: os.path.getmtime(f"{path}/collection=8/{f}") for f in os.listdir(f"{path}/collection=8")} == kept
