@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from qaloom.llm import contamination, language_id
+from qaloom.llm import contamination, jaccard_join, language_id
 
-MODULES = (language_id, contamination)
+MODULES = (language_id, contamination, jaccard_join)
 
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 CHECKS = {name: sql for m in MODULES for name, sql in getattr(m, "CHECKS", {}).items()}
