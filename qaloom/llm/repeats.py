@@ -226,10 +226,14 @@ def repeated_windows(
     return whole.unionByName(judged).unionByName(hot_found)
 
 
+def spans_of(found: DataFrame) -> DataFrame:
+    """(doc, spans): the found runs of windows of each text, at most one for each of its units."""
+    return found.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+
+
 def per_text(keyed: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, text, spans) for every row of `keyed`; spans are the found runs of windows of that text."""
-    spans = found.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    return keyed.join(spans, "doc", "left").select("doc_id", "text", "spans")
+    """(doc_id, text, spans) for every row of `keyed`."""
+    return keyed.join(spans_of(found), "doc", "left").select("doc_id", "text", "spans")
 
 
 def covered(length: int, spans: list[dict] | None, window: int) -> np.ndarray:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from qaloom.llm.common import Words, as_bytes
-from qaloom.llm.repeats import Unit, covered, per_text, repeated_windows, with_key
+from qaloom.llm.repeats import Unit, covered, per_text, repeated_windows, spans_of, with_key
 
 WINDOW = 35
 ANCHOR = 10
@@ -123,6 +123,33 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
 
 
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, k: int = ANCHOR) -> DataFrame:
+    """`docs` with repeated passages taken out of the text; a text that loses nothing is left exactly as it is."""
+    unit = Unit(words=True, window=window, k=k)
+    keyed = with_key(docs, doc_id, text)
+    spans = spans_of(repeated_windows(keyed, unit, lambda pieces, n: repeated_in_bucket(pieces, n, window)))
+    names, at = docs.columns, docs.columns.index(text)
+    rows = docs.select(F.xxhash64(F.col(doc_id), F.col(text)).alias("doc"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+
+    def strip(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for b in batches:
+            columns = b.columns
+            kept = [
+                b" ".join(kept_words(t, s, window)[1]) if s else t
+                for t, s in zip(as_bytes(columns[at]), columns[-1].to_pylist(), strict=True)
+            ]
+            column = pa.array(kept, pa.binary()).cast(pa.string())
+            columns[at] = pc.if_else(columns[at].is_null(), pa.scalar(None, pa.string()), column)
+            yield pa.record_batch(columns[:-1], names=[f"c{i}" for i in range(len(names))])
+
+    shaped = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).schema
+    out = rows.join(spans, "doc", "left").drop("doc").mapInArrow(strip, shaped)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+
+
 def op6_suffix_tree_dedup(spark, sf_dir: str) -> DataFrame:
     """Repeated passages of 35 words in all documents."""
     from qaloom.session import table
