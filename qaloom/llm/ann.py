@@ -171,7 +171,7 @@ def search(
     """(query_id, rank, vec_id, score): the k nearest rows of each row for which `is_query` (of the column vec_id) holds."""
     good = valid_vectors(rows, vec_id, vector)
     chosen = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()  # the bounded sample
-    x = np.array(chosen.column("v").to_pylist(), dtype=np.float64).reshape(len(chosen), -1)
+    x = np.array(chosen.column("v").to_pylist(), dtype=np.float64) if len(chosen) else np.zeros((0, 1))
     router, visits = learn_partitions(x, parts, target=target)
     spark = rows.sparkSession
     held = spark.sparkContext.broadcast(router)  # its size depends on `parts` and the length of a vector

@@ -247,7 +247,8 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, text: str = "t
         for b in batches:
             x = np.array([features(t or "", matches) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, FEATURES)
             z = x @ weights[:-1] + weights[-1]
-            p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+            with np.errstate(over="ignore"):
+                p = 1 / (1 + np.exp(-z))
             yield pa.record_batch([*b.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*b.schema.names[:-1], "score", "predicted"])
 
     schema = rows.drop("__text").withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
