@@ -45,6 +45,7 @@ BITS = 14  # bits of the filter for each entry
 PROBES = 10
 SEGMENT = 1 << 16
 DISCOUNT = 0.75
+FINER = 64.0  # b(h) is held in smaller units, as it may be less than the least count in the filter
 _END = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0x2545F4914F6CDD1D)
 
@@ -158,7 +159,7 @@ class Model:
         some = np.flatnonzero(index[at_h] >= 0)
         before = index[at_h[some]]
         heads, back = np.unique(before, return_inverse=True)
-        rest = self.filter.count(self.filter.levels(rest_key(heads)))[back]
+        rest = self.filter.count(self.filter.levels(rest_key(heads)))[back] / FINER
         joint = np.zeros(len(some))
         seen = np.flatnonzero(index[at_w[some]] >= 0)
         pairs, which = np.unique(pair(before[seen], index[at_w[some]][seen]), return_inverse=True)
@@ -271,7 +272,7 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     spent = bigrams.groupBy(F.shiftrightunsigned("code", 20).alias("code")).agg(F.sum(F.col("c") - DISCOUNT).alias("spent"))
     spark = texts.sparkSession
     heads = spark.createDataFrame([(int(i), float(c)) for i, c in enumerate(model.often_count)], "code long, total double")
-    rest = heads.join(spent, "code", "left").select("code", F.greatest(F.col("total") - F.coalesce("spent", F.lit(0.0)), F.lit(floor)).alias("c"), F.lit(2).alias("kind"))
+    rest = heads.join(spent, "code", "left").select("code", F.greatest((F.col("total") - F.coalesce("spent", F.lit(0.0))) * FINER, F.lit(floor)).alias("c"), F.lit(2).alias("kind"))
     hashed = bigrams.select("code", "c", F.lit(1).alias("kind")).unionByName(rest).mapInArrow(keyed, "key long, c double")
     ngrams = kept.select("key", F.col("c").cast("double").alias("c")).unionByName(hashed)
     model.filter = _filter_of(stored(ngrams, "ngrams"), floor)
