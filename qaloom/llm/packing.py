@@ -2,7 +2,7 @@
 
 1. Texts become token ids, each document with an end id. Whole windows of a document are sequences of their own; what is left of
    it (its tail) is packed with the tails of other documents.
-2. Tails are dealt over tasks by a hash and sorted by a signature of their document's tokens, so that lexically close documents
+2. Tails are dealt over tasks by a hash and sorted by the token that weighs most in their document, so that lexically close documents
    are near each other. Every `SHARD` tails in that order are one shard of the index: an inverted index from token to
    BM25 weights, over the whole documents and not only their tails.
 3. A seed, the first unused tail, asks the index with all tokens of its document. Its unused neighbours, best first, fill the
@@ -18,6 +18,7 @@ null; an empty table gives no rows; ties of scores go to the earlier tail; other
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,17 +31,19 @@ WINDOW = 1024
 SHARD = 1024
 END = 0
 K1, B = 1.2, 0.75
-CACHE = 600_000
-_ODD = re.compile(r" \s| $")
+CACHE = 700_000
+# how a byte-level tokenizer splits text before its merges
+_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _CUT = re.compile(r"(?= \S)")
-_START = re.compile(r" \S")
+_STOPS = re.compile(r"[0-9A-Za-z\u00df-\u024f]([.,;:!?]+)$")
 
 
 class Encoder:
-    """Token ids of texts, with the ids of parts that occurred before kept.
+    """Token ids of texts, with the ids of units that occurred before kept.
 
-    A blank before a character that isn't white space always starts a token of a byte-level BPE, so the text between two
-    such blanks can be encoded alone.
+    In a byte-level BPE a token starts at every blank before a character that isn't white space, before and after a single line
+    feed between two such characters, and at stops that follow a Latin letter or a digit. So what lies between is encoded
+    alone; new units are encoded many at a time, as lines. Texts with other white space are cut before blanks only.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -49,33 +52,114 @@ class Encoder:
         self.model = Tokenizer.from_str(tokenizer_json)
         self.model.encode_special_tokens = True
         self.kind = np.dtype("<u2") if self.model.get_vocab_size() <= 65_536 else np.dtype("<u4")
-        self.first: dict[str, bytes] = {}  # parts at the start of a text
-        self.later: dict[str, bytes] = {}  # parts after a blank
-
-    def _learn(self, known: dict[str, bytes], parts: set[str], before: str) -> None:
-        new = list(parts.difference(known))
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list(parts)
-        for p, e in zip(new, self.model.encode_batch_fast([before + p for p in new], add_special_tokens=False), strict=True):
-            known[p] = np.array(e.ids, dtype=self.kind).tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        split = []
-        for t in texts:
-            if _ODD.search(t):  # runs of blanks stay with the part before them
-                parts = [p for p in _CUT.split(t) if p]
-                head = parts.pop(0) if parts and not _START.match(parts[0]) else ""
-                split.append((head, [p[1:] for p in parts]))
+        self.fast = self._ranked(tokenizer_json)
+        self.feed = self.ids("\n")
+        self.known: dict[str, bytes] = {}
+        self.odd: dict[str, bytes] = {}
+
+    @staticmethod
+    def _ranked(tokenizer_json: str):
+        """The same merges for tiktoken, which is several times as fast, where the vocabulary allows it: a plain byte-level BPE
+        whose ids are in the order of its merges. None otherwise."""
+        import tiktoken
+        from tokenizers import pre_tokenizers
+
+        spec = json.loads(tokenizer_json)
+        model, split = spec["model"], spec.get("pre_tokenizer") or {}
+        same = model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+        if not same or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
+            return None
+        visible = [c for c in map(chr, [*range(33, 127), *range(161, 173), *range(174, 256)])]
+        letters = dict(zip(visible, map(ord, visible), strict=True))
+        letters |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if chr(b) not in letters)}
+        if set(letters) != set(pre_tokenizers.ByteLevel.alphabet()):
+            return None
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if all(c in letters for c in token)}
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+        first = [model["vocab"][m] for m in merged]
+        if first != sorted(first) or len(ranks) != len(set(ranks.values())) or (first and first[0] < 256):
+            return None
+        return tiktoken.Encoding("ranked", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.fast is not None:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.kind)
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+
+    def _learn(self, units: list[str]) -> None:
+        known, cut, simple = self.known, {}, set()
+        for u in units:
+            stop = None if u[-1].isalnum() else _STOPS.search(u)
+            if stop:
+                cut[u] = pieces = (u[: stop.start(1)], stop[1])
+                simple.update(pieces)
             else:
-                head, *rest = t.split(" ")
-                split.append((head, rest))
-        self._learn(self.first, {h for h, _ in split if h}, "")
-        self._learn(self.later, {p for _, rest in split for p in rest}, " ")
-        for head, rest in split:
-            start = self.first[head] if head else b""
-            yield np.frombuffer(start + b"".join(map(self.later.__getitem__, rest)), dtype=self.kind)
+                simple.add(u)
+        simple.difference_update(known)
+        lines = []
+        for x in simple:
+            w = x.split()
+            if len(w) == 1 and (len(w[0]) == len(x) or len(w[0]) + 1 == len(x) and x[0] == " "):
+                lines.append(x)
+            else:
+                known[x] = self.ids(x).tobytes()
+        size = self.kind.itemsize
+        for lo in range(0, len(lines), 100):
+            some = lines[lo : lo + 100]
+            ids = self.ids("\n".join(some))
+            ends = np.flatnonzero(ids == self.feed[0]).tolist()
+            if len(self.feed) != 1 or len(ends) != len(some) - 1:  # a vocabulary that joins line feeds with their neighbours
+                known.update((x, self.ids(x).tobytes()) for x in some)
+                continue
+            raw, at = ids.tobytes(), 0
+            for x, end in zip(some, [*ends, len(ids)], strict=True):
+                known[x] = raw[at * size : end * size]
+                at = end + 1
+        for u, (stem, stops) in cut.items():
+            known[u] = known[stem] + known[stops]
+
+    def _other(self, text: str) -> bytes:
+        out = []
+        for u in _CUT.split(text):
+            if u not in self.odd:
+                self.odd[u] = self.ids(u).tobytes()
+            out.append(self.odd[u])
+        return b"".join(out)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
+        if len(self.known) + len(self.odd) > CACHE:
+            self.known, self.odd = {}, {}
+        plain = ["" if "\0" in t else t.replace(" ", "\0 ").replace("\n", "\0\n\0") for t in texts]
+        parts = pc.split_pattern(pa.array(plain, pa.large_string()), "\0")
+        bounds, coded = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
+        unit, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        known = self.known
+        known["\n"], known[""] = self.feed.tobytes(), b""
+        new = [u for u in names if u not in known]
+        strange = {u for u in new if u[-1].isspace() or (u[0] != " " and u[0].isspace())}
+        self._learn([u for u in new if u not in strange])
+        size = self.kind.itemsize
+        ids = [known.get(u, b"") for u in names]
+        count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // size
+        start = np.cumsum(count) - count
+        each = count[unit]
+        total = np.concatenate([[0], np.cumsum(each)])
+        flat = np.frombuffer(b"".join(ids), dtype=self.kind)[np.arange(total[-1]) + np.repeat(start[unit] - total[:-1], each)]
+        # other white space: a unit that can't be cut so, or nothing between two units (but at the ends of a text)
+        wrong = np.array([u in strange for u in names], dtype=bool)[unit]
+        nothing = np.array([u == "" for u in names], dtype=bool)[unit]
+        nothing[bounds[:-1]] = nothing[bounds[1:] - 1] = False
+        wrong = np.add.reduceat((wrong | nothing).astype(np.int64), bounds[:-1]) > 0 if len(texts) else ()
+        out = []
+        for i, t in enumerate(texts):
+            if wrong[i] or (t and not plain[i]):
+                out.append(np.frombuffer(self._other(t), dtype=self.kind))
+            else:
+                out.append(flat[total[bounds[i]] : total[bounds[i + 1]]])
+        return out
 
 
 class Tail:
@@ -102,12 +186,14 @@ class Index:
         order = np.argsort(terms, kind="stable")
         self.terms, start, df = np.unique(terms[order], return_index=True, return_counts=True)
         self.bounds, self.who, self.n = np.append(start, len(terms)), who[order], n
+        self.stop = df > max(8, n // 2)  # tokens of most tails tell them apart little and have the longest lists
         idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), df)
         norm = k1 * (1 - b + b * length / length.mean())
         self.weight = idf * tf[order] * (k1 + 1) / (tf[order] + norm[self.who])
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
         t = np.searchsorted(self.terms, terms)
+        t = t[~self.stop[t]]
         lo, size = self.bounds[t], self.bounds[t + 1] - self.bounds[t]
         at = np.arange(size.sum()) + np.repeat(lo - (np.cumsum(size) - size), size)
         return np.bincount(self.who[at], self.weight[at], minlength=self.n)
@@ -165,11 +251,16 @@ def powers_of_two(n: int) -> list[int]:
     return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
 
 
-def signature(terms: np.ndarray, tf: np.ndarray, signs: np.ndarray) -> int:
-    """Bits that lexically close documents tend to share: signs of random sums over tokens, rarer ones (later merges) weighing more."""
-    weight = np.log1p(tf) * np.log1p(terms.astype(np.float64))
-    bits = weight @ signs[terms.astype(np.int64) % len(signs)] > 0
-    return int(bits @ (1 << np.arange(len(bits))))
+def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, sorted, and how often each occurs."""
+    ids = np.sort(ids)
+    last = np.flatnonzero(np.append(ids[1:] != ids[:-1], True))
+    return ids[last], np.diff(last, prepend=-1)
+
+
+def signature(terms: np.ndarray, tf: np.ndarray) -> int:
+    """The token that weighs most in a document: frequent there, and rare in general (a late merge of the tokenizer)."""
+    return int(terms[np.argmax(tf / (tf + K1) * np.log1p(terms))])
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -202,10 +293,9 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         from qaloom.llm.common import chunks
 
         encoder, part, made = Encoder(model), TaskContext.get().partitionId(), 0
-        signs = np.random.default_rng(7).choice(np.array([-1.0, 1.0]), (65_536, 12))
         for b in batches:
             names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in chunks([len(t) for t in texts]):
+            for lo, hi in chunks([len(t) for t in texts], 4_000_000):
                 rows, tails = [], []
                 for name, ids in zip(names[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
                     ids = np.append(ids, np.array([end], dtype=encoder.kind))
@@ -216,9 +306,9 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                         tails.append((None, None, None, None))
                         made += 1
                     if whole < len(ids):
-                        terms, tf = np.unique(ids, return_counts=True)
+                        terms, tf = counted(ids)
                         rows.append((name, whole, None, None, len(ids), None, None, ids[whole:].tobytes()))
-                        tails.append((signature(terms, tf, signs), terms.tobytes(), tf.astype("<u4").tobytes(), encoder.kind.str))
+                        tails.append((signature(terms, tf), terms.tobytes(), tf.astype("<u4").tobytes(), encoder.kind.str))
                 columns = list(zip(*tails, strict=True)) if tails else [[], [], [], []]
                 yield pa.record_batch(
                     [*_pieces(rows), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.string())],
