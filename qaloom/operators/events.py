@@ -14,9 +14,8 @@ def parse_events(lines: DataFrame, schema: StructType, required=(), value: str =
     never fails a batch."""
     corrupt = "_corrupt"
     full = StructType(list(schema.fields)).add(corrupt, "string")
-    parsed = lines.withColumn(
-        "_e", F.from_json(F.col(value).cast("string"), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
-    )
+    event = F.from_json(F.col(value).cast("string"), full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
+    parsed = lines.select("*", F.explode(F.array(event)).alias("_e"))  # bound here, so that filter and output share one parse
     absent = F.filter(
         F.array(*[F.when(F.col(f"_e.{f}").isNull(), f) for f in required]) if required else F.array().cast("array<string>"),
         lambda x: x.isNotNull(),

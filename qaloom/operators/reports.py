@@ -126,6 +126,9 @@ def severity_counts(reports: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+PENDING = "pending"  # a report that no answer of the model has reached yet never claims success
+
+
 def label(c: Column) -> Column:
     return F.upper(F.replace(c, F.lit("_"), F.lit(" ")))
 
@@ -178,7 +181,8 @@ def _sections(facts: DataFrame, timestamp: str, mode: str, endpoint: str, bucket
             text("AI Analysis", F.nullif(F.col("ai_analysis"), F.lit("")))
             if "ai_analysis" in facts.columns else F.lit(None).cast("string"),
         ],
-        [text("Recommendation", F.coalesce("recommendation", F.lit(t.REPORT_RECOMMENDATION)))],
+        [text("Recommendation", F.when(F.coalesce("severity", F.lit("info")) == "info", F.coalesce("recommendation", F.lit(t.REPORT_RECOMMENDATION)))
+              .otherwise(F.coalesce("recommendation", F.lit(PENDING))))],
         [
             text("Severity Level", F.upper(F.coalesce("severity", F.lit("info")))), F.lit("Tests Run: 1"),
             text("Passed", flag(ok)), text("Failed", flag(~ok)), text("Visual Diffs", flag(F.col("needs_review"))),

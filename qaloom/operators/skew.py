@@ -5,35 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 ROWS_PER_PART = 1_000_000
-MAX_HOT = 10_000
 SLICE = 65_536
 
 
-def hot_keys(df: DataFrame, on: list[str], rows_per_part: int = ROWS_PER_PART, max_hot: int = MAX_HOT) -> DataFrame:
-    """The heaviest keys and the number of parts each should be split into.
+def hot_keys(df: DataFrame, on: list[str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """The keys with more than `rows_per_part` rows and the number of parts each is split into.
 
-    Counting is partial-aggregated before the shuffle. At most `max_hot` rows come back, so the result is safe to
-    broadcast at any data size; a key outside the list holds less than 1/max_hot of the rows. The limit only
-    decides which keys are split, never which rows are kept.
+    Counting is partial-aggregated before the shuffle. At most rows / rows_per_part keys come back; Spark joins them
+    by their measured size.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows_per_part)
-    return (
-        counts.orderBy(F.desc("_n"), *on)
-        .limit(max_hot)
-        .select(*on, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("_parts"))
-    )
+    return counts.select(*on, F.ceil(F.col("_n") / rows_per_part).cast("int").alias("_parts"))
 
 
-def widen(scan: DataFrame, row_id: str) -> DataFrame:
-    """Spread a scan that has fewer splits than the cluster has cores, in front of work that is heavy per row.
+def widen(scan: DataFrame, row_id: str, parts: int | None) -> DataFrame:
+    """Spread a scan over `parts` tasks in front of work that is heavy per row; None leaves it as it was read.
 
-    A few big row groups would otherwise keep a few cores busy with all of it. Where there are enough splits, as with
-    any large table, this does nothing. Rows go by a hash of their unique id, so a repeated task places them alike.
+    For tables in fewer splits than there are cores, as local test files are. Rows go by a hash of their unique id, so a
+    repeated task places them alike.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    if scan.isStreaming or scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores, row_id)
+    return scan.repartition(parts, row_id) if parts else scan
 
 
 def lookup_join(
@@ -50,7 +41,7 @@ def lookup_join(
     a retried task repeats the same choice); the matching right row is repeated once per part. Null keys never
     match and are spread as well. `how` is left, inner, left_anti or left_semi.
     """
-    hot = F.broadcast(hot_keys(left, on, rows_per_part))
+    hot = hot_keys(left, on, rows_per_part)
     null_key = F.lit(False)
     for c in on:
         null_key = null_key | F.col(c).isNull()

@@ -9,6 +9,7 @@ from qaloom.operators import chunking, events, quality, vectors
 from qaloom.operators.prompts import CONTEXT_K, CONTEXT_TYPES
 from qaloom.operators.skew import widen
 from qaloom.plans.registry import query, quoted
+from qaloom.session import spread
 from qaloom.plans.views import view, with_views
 
 TRIM = quoted(SPACE)
@@ -40,13 +41,13 @@ cut AS (
 
 @query("chunks", with_views("SELECT doc_id, chunk_index, n_words, text FROM cut", chunk_ctes(), recursive=True))
 def chunks(spark, d):
-    return chunking.chunk_documents(widen(view(spark, d, "documents"), "doc_id"), "doc_id", "text", sep="\n")
+    return chunking.chunk_documents(widen(view(spark, d, "documents"), "doc_id", spread(spark)), "doc_id", "text", sep="\n")
 
 
 @query("chunk_counts", with_views(
     "SELECT doc_id, CAST(count(*) AS INT) AS chunks FROM cut GROUP BY doc_id", chunk_ctes(), recursive=True))
 def chunk_counts(spark, d):
-    return chunking.chunk_counts(widen(view(spark, d, "documents"), "doc_id"), "doc_id", "text", sep="\n")
+    return chunking.chunk_counts(widen(view(spark, d, "documents"), "doc_id", spread(spark)), "doc_id", "text", sep="\n")
 
 
 WEIGHTS = f"""
@@ -66,7 +67,7 @@ def hash_embed(spark, d):
 
 
 def accepted_uploads(spark, d):
-    uploads = widen(view(spark, d, "fx_uploads"), "document_id")
+    uploads = widen(view(spark, d, "fx_uploads"), "document_id", spread(spark))
     return quality.file_gate(uploads, F.split_part("s3_path", F.lit("/"), F.lit(-1)))[0]
 
 

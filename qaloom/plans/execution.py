@@ -90,7 +90,7 @@ explained AS (SELECT a.*, CASE
     WHEN exc_class IS NOT NULL THEN {filled(t.GENERIC_CONTEXT, error_type="exc_class", message="raw_error", traceback="''")} END AS error_context
   FROM classified a LEFT JOIN fx_runs r USING (run_id) LEFT JOIN firsts f USING (run_id) LEFT JOIN reqs q USING (run_id)),
 eff AS (SELECT * FROM (SELECT *, max(CASE WHEN passed OR pipeline_error IS NOT NULL THEN 1 ELSE 0 END) OVER (
-    PARTITION BY run_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stopped FROM explained)
+    PARTITION BY run_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stopped FROM explained WHERE attempt <= 3)
   WHERE coalesce(stopped, 0) = 0)"""
 
 

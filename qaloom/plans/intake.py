@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from qaloom import schemas
-from qaloom.operators import events, quality
+from qaloom.operators import events, quality, runs
+from qaloom.plans.execution import CLASSIFIED
 from qaloom.plans.registry import query
 from qaloom.plans.views import view, with_views
 
@@ -240,9 +241,9 @@ def pending_index(spark, d):
 # run requests older than a day without a finished attempt
 @query("unreported_runs", with_views("""
 SELECT run_id FROM fx_runs WHERE created_at + INTERVAL 24 HOUR < TIMESTAMP '1998-01-01 00:00:00'
-  AND run_id NOT IN (SELECT run_id FROM fx_attempts WHERE passed)"""))
+  AND run_id NOT IN (SELECT run_id FROM eff WHERE passed)""", CLASSIFIED))
 def unreported_runs(spark, d):
-    done = view(spark, d, "fx_attempts").filter("passed")
+    done = runs.effective_attempts(view(spark, d, "fx_attempts"), unique=True).filter("passed")
     now = F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'")
     return events.unanswered(view(spark, d, "fx_runs"), done, "run_id", "created_at", now, F.expr("INTERVAL '24' HOUR")).select("run_id")
 

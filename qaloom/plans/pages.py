@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from qaloom.operators import dom, visual
 from qaloom.operators.skew import lookup_join, widen
 from qaloom.plans.registry import CHECKS, query
+from qaloom.session import spread
 from qaloom.plans.views import view, with_views
 
 # --- structure ---------------------------------------------------------------------------------------------------
@@ -36,7 +37,7 @@ map_lines AS (
 
 
 def pages(spark, d, name="fx_captures"):
-    return widen(view(spark, d, name), "page_id")
+    return widen(view(spark, d, name), "page_id", spread(spark))
 
 
 def parsed(spark, d, name="fx_captures"):
@@ -51,6 +52,15 @@ def dom_counts(spark, d):
     return dom.dom_counts(pages(spark, d), "page_id")
 
 
+# an unclosed link stays a link, whatever comes after it
+@query("dom_counts_broken", with_views("""
+SELECT page_id, CAST(0 AS INT) AS forms, CAST(0 AS INT) AS buttons, CAST(0 AS INT) AS inputs,
+  CAST((SELECT count(*) FROM links l WHERE l.page_id = c.page_id) AS INT) AS links,
+  CAST((SELECT count(*) FROM heads l WHERE l.page_id = c.page_id) AS INT) AS headings FROM clean c""", _PAGE))
+def dom_counts_broken(spark, d):
+    return dom.dom_counts(pages(spark, d, "fx_broken_pages"), "page_id")
+
+
 @query("dom_sections", with_views("SELECT page_id, section, CAST(ord AS INT) AS ord, line FROM map_lines", _PAGE))
 def dom_sections(spark, d):
     return dom.dom_sections(parsed(spark, d), "page_id")
@@ -75,7 +85,7 @@ def element_attrs(spark, d):
 
 @query("dom_map_parser", CHECKS["dom_map"])
 def dom_map_parser(spark, d):
-    return dom.dom_map(dom.parse_pages(pages(spark, d), engine="parser")).select("page_id", "dom_map")
+    return dom.dom_map(parsed(spark, d)).select("page_id", "dom_map")
 
 
 # the same map for pages with forms; the SQL derives the expected text from the columns the page was built from
@@ -229,14 +239,17 @@ def ssim_pixels(spark, d):
 @query("gray_resize", with_views("""
 SELECT image_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x,
   CAST(floor((114 * max(v) FILTER (c = 0) + 587 * max(v) FILTER (c = 1) + 299 * max(v) FILTER (c = 2) + 500) / 1000) AS INT) AS v
-FROM (SELECT image_id, y, x, c, (2 * ((px[(y0 * 3 + x0) * 3 + c + 1] * (8 - fx) + px[(y0 * 3 + x1) * 3 + c + 1] * fx) * (10 - fy)
-    + (px[(y1 * 3 + x0) * 3 + c + 1] * (8 - fx) + px[(y1 * 3 + x1) * 3 + c + 1] * fx) * fy) + 80) // 160 AS v
-  FROM (SELECT *, sy // 10 AS y0, least(sy // 10 + 1, 6) AS y1, sx // 8 AS x0, least(sx // 8 + 1, 2) AS x1, sy % 10 AS fy, sx % 8 AS fx
-    FROM (SELECT image_id, px, y, x, c, least(greatest((2 * y + 1) * 7 - 5, 0), 60) AS sy, least(greatest((2 * x + 1) * 3 - 4, 0), 16) AS sx
+FROM (SELECT image_id, y, x, c, (2 * ((px[y0 * 8 + x0 + 1] * (8 - fx) + px[y0 * 8 + x1 + 1] * fx) * (10 - fy)
+    + (px[y1 * 8 + x0 + 1] * (8 - fx) + px[y1 * 8 + x1 + 1] * fx) * fy) + 80) // 160 AS v
+  FROM (SELECT *, sy // 10 AS y0, least(sy // 10 + 1, 7) AS y1, sx // 8 AS x0, least(sx // 8 + 1, 7) AS x1, sy % 10 AS fy, sx % 8 AS fx
+    FROM (SELECT image_id, y, x, c, CASE c WHEN 0 THEN px WHEN 1 THEN list_reverse(px) ELSE list_concat(px[33:64], px[1:32]) END AS px,
+        least(greatest((2 * y + 1) * 8 - 5, 0), 70) AS sy, least(greatest((2 * x + 1) * 8 - 4, 0), 56) AS sx
       FROM (SELECT vec_id AS image_id, list_transform(vector, lambda e: CAST(floor((CAST(e AS DOUBLE) + 1) * 127.5e0) AS BIGINT)) AS px,
           unnest(range(60)) // 12 AS y, unnest(range(60)) // 3 % 4 AS x, unnest(range(60)) % 3 AS c FROM fx_points))))
 GROUP BY image_id, y, x"""))
 def gray_resize(spark, d):
-    """63 of the 64 values are a 7x3 colour picture (blue, green, red), brought to gray 5x4."""
-    img = F.struct(F.lit(7).alias("h"), F.lit(3).alias("w"), F.lit(3).alias("channels"), F.slice("px", 1, 63).alias("px"))
+    """An 8x8 colour picture from all 64 values: blue as they are, green backwards, red with the halves swapped; to gray 5x4."""
+    named = F.arrays_zip(F.col("px").alias("b"), F.reverse("px").alias("g"), F.concat(F.slice("px", 33, 32), F.slice("px", 1, 32)).alias("r"))
+    px = F.flatten(F.transform(named, lambda p: F.array(p["b"], p["g"], p["r"])))
+    img = F.struct(F.lit(8).alias("h"), F.lit(8).alias("w"), F.lit(3).alias("channels"), px.alias("px"))
     return visual.gray_pixels(_images(spark, d).select("image_id", img.alias("img")), 5, 4)

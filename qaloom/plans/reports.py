@@ -129,7 +129,7 @@ SELECT r.run_id, r.attempt, array_to_string(list_filter([
   concat(r.url, CASE WHEN r.passed THEN ' ✓ PASSED' ELSE ' ✗ FAILED' END), 'Error: ' || r.error, 'Context: ' || r.error_context,
   'Screenshot: http://localhost:4566/artifacts/' || r.screenshot_s3_path, 'DOM: http://localhost:4566/artifacts/' || r.dom_s3_path, c.text,
   d.page, 'Pixel Difference: ' || CAST(d.difference_percent AS VARCHAR) || '%', upper(replace(d.verdict, '_', ' ')),
-  concat('Recommendation: ', CASE WHEN s.severity = 'info' THEN {quoted(t.CLEAN_RECOMMENDATION)} ELSE {quoted(t.REPORT_RECOMMENDATION)} END),
+  concat('Recommendation: ', CASE WHEN s.severity = 'info' THEN {quoted(t.CLEAN_RECOMMENDATION)} ELSE '{reports.PENDING}' END),
   concat('Severity Level: ', upper(s.severity)), 'Tests Run: 1', concat('Passed: ', CASE WHEN r.passed THEN 1 ELSE 0 END),
   concat('Failed: ', CASE WHEN r.passed THEN 0 ELSE 1 END), concat('Visual Diffs: ', CASE WHEN coalesce(d.needs_review, false) THEN 1 ELSE 0 END)
   ], lambda x: x IS NOT NULL), chr(10)) AS body
@@ -153,7 +153,7 @@ UNION ALL SELECT run_id, attempt, 0, 0, concat('Run ID: ', run_id) FROM results
 UNION ALL SELECT run_id, attempt, 0, 1, 'Status: ANALYZING' FROM results
 UNION ALL SELECT run_id, attempt, 0, 2, concat('URL: ', url) FROM results
 UNION ALL SELECT run_id, attempt, 0, 3, 'Executed: {STAMP}' FROM results
-UNION ALL SELECT run_id, attempt, 3, 0, concat('Recommendation: ', CASE WHEN severity = 'info' THEN {quoted(t.CLEAN_RECOMMENDATION)} ELSE {quoted(t.REPORT_RECOMMENDATION)} END) FROM sev
+UNION ALL SELECT run_id, attempt, 3, 0, concat('Recommendation: ', CASE WHEN severity = 'info' THEN {quoted(t.CLEAN_RECOMMENDATION)} ELSE '{reports.PENDING}' END) FROM sev
 UNION ALL SELECT run_id, attempt, 2, 0, page FROM diffs
 UNION ALL SELECT run_id, attempt, 2, 1, 'Pixel Difference: ' || CAST(difference_percent AS VARCHAR) || '%' FROM diffs
 UNION ALL SELECT run_id, attempt, 2, 2, upper(replace(verdict, '_', ' ')) FROM diffs

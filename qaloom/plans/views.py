@@ -42,8 +42,7 @@ SELECT run_id, attempt, passed,
 FROM (SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY linenumber, partkey, suppkey) AS INT) AS attempt,
     passed, k, partkey, suppkey, l_tax
   FROM (SELECT l_orderkey AS run_id, l_linenumber AS linenumber, l_partkey AS partkey, l_suppkey AS suppkey,
-      l_returnflag <> 'R' AS passed, CAST(l_quantity AS INT) % 6 AS k, l_tax FROM lineitem) r) t
-WHERE attempt <= 3"""
+      l_returnflag <> 'R' AS passed, CAST(l_quantity AS INT) % 6 AS k, l_tax FROM lineitem) r) t"""
 
 VIEWS["fx_strategies"] = """
 SELECT user_id * 100 + CAST(day(ts) AS BIGINT) AS run_id, event_id AS rank, concat('by_', event_type) AS name,
@@ -83,6 +82,10 @@ SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN concat('```python', chr(10), tex
   WHEN 1 THEN concat('```', chr(10), text, '```') ELSE text END AS raw
 FROM conversations WHERE role = 'assistant'"""
 
+# every third page has lost the end tags of its links
+VIEWS["fx_broken_pages"] = """
+SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(html, '</a>', '') ELSE html END AS html FROM pages"""
+
 # questions put to the documents: what users say, each in one project's collection
 VIEWS["fx_questions"] = """
 SELECT conv_id * 1000 + turn AS query_id, concat('src', CAST(conv_id % 20 AS STRING), '_',

@@ -29,7 +29,7 @@ def build_session(app: str = "qaloom", master: str | None = None, shuffle: int |
     if master:
         b = b.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle:
-        b = b.config("spark.sql.shuffle.partitions", str(shuffle))
+        b = b.config("spark.sql.shuffle.partitions", str(shuffle)).config("qaloom.spread", str(shuffle))
     return b.getOrCreate()
 
 
@@ -49,5 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread(spark: SparkSession) -> int | None:
+    """Tasks that heavy work on a test table in few splits is spread over (`qaloom.spread`); unset on a cluster."""
+    n = spark.conf.get("qaloom.spread", None)
+    return int(n) if n else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

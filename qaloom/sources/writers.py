@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from qaloom.operators.vectors import upsert_points
 from qaloom.session import ensure_checkpoint_dir
 
 
-def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None, spread: int = 32) -> None:
-    """Append to a partitioned table. Rows of one partition value go to at most `spread` tasks: a hot tenant is
-    written in parallel and a small one does not leave a file per task."""
+def append_rows(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
+    """Append to a partitioned table. Rows are rebalanced on the partition columns: Spark splits a hot value by its bytes
+    over as many tasks as that takes, and a small one does not leave a file per task."""
     if partition_by:
-        salt = F.pmod(F.xxhash64(*df.columns), F.lit(spread))
-        df = df.repartition(*partition_by, salt)
+        df = df.hint("rebalance", *partition_by)
         df.write.mode("append").partitionBy(*partition_by).parquet(path)
     else:
         df.write.mode("append").parquet(path)
@@ -51,7 +50,7 @@ def _replace_partitions(spark: SparkSession, rows: DataFrame, path: str, partiti
     """Dynamic partition overwrite from a checkpoint, since the rows come from the files they replace."""
     ensure_checkpoint_dir(spark)
     (
-        rows.checkpoint().write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        rows.checkpoint().hint("rebalance", partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         .partitionBy(partition_by).parquet(path)
     )
 

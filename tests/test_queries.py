@@ -33,7 +33,8 @@ def test_query(spark, con, sf, name):
 
 def test_entry_contract(spark):
     e = load("__spark_entry__.py")
-    assert set(e.oracle_sql()) <= set(e.queries()) and e.queries().keys() == QUERIES.keys() and e.oracle_sql().keys() == CHECKS.keys()
+    assert set(e.oracle_sql()) <= set(e.queries()) and e.queries().keys() - e.LLM_QUERIES.keys() == QUERIES.keys()
+    assert e.oracle_sql().keys() - e.LLM_CHECKS.keys() == CHECKS.keys()
     df = e.entry(spark)
     assert df.columns == ["query_id", "n", "block"] and df.count() > 0
 
