@@ -67,9 +67,12 @@ def file_gate(files: DataFrame, name: Column) -> tuple[DataFrame, DataFrame]:
 
 
 def extract_text(files: DataFrame, name: str = "name", content: str = "content") -> tuple[DataFrame, DataFrame]:
-    """(good, rejects): accepted files with their text, invalid bytes dropped."""
-    good, rejects = file_gate(files, F.col(name))
-    return good.withColumn("text", decode_lenient(F.col(content))).drop(content), rejects.drop(content)
+    """(good, rejects): accepted files with their text, invalid bytes dropped. A file whose content is missing is rejected, too."""
+    accepted, rejects = file_gate(files, F.col(name))
+    found = F.col(content).isNotNull()
+    absent = accepted.filter(~found).withColumn("reason", F.concat(F.lit("No content found for '"), F.col(name), F.lit("'.")))
+    good = accepted.filter(found).withColumn("text", decode_lenient(F.col(content))).drop(content)
+    return good, rejects.unionByName(absent).drop(content)
 
 
 def orphans(manifest: DataFrame, rows: DataFrame, key: str) -> DataFrame:

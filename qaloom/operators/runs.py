@@ -27,10 +27,12 @@ def failed(passed: Column) -> Column:
     return ~F.coalesce(passed, F.lit(True))
 
 
-def dedupe_attempts(attempts: DataFrame) -> DataFrame:
-    """One row per (run, attempt). Copies are cut per input partition before the shuffle."""
+def dedupe_attempts(attempts: DataFrame, newest: str | None = None) -> DataFrame:
+    """One row per (run, attempt), cut per input partition before the shuffle. Where copies disagree the one with the largest
+    `newest` wins; without such a column the choice is arbitrary but the same in every run."""
     rest = [c for c in attempts.columns if c not in ("run_id", "attempt")]
-    return first_n(attempts, ["run_id", "attempt"], [F.xxhash64(*rest)], 1)
+    order = ([F.desc_nulls_last(newest)] if newest else []) + [F.xxhash64(*rest)]
+    return first_n(attempts, ["run_id", "attempt"], order, 1)
 
 
 def effective_attempts(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, unique: bool = False) -> DataFrame:

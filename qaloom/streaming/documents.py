@@ -10,14 +10,15 @@ from qaloom.operators.chunking import chunk_documents, pack_paragraphs
 from qaloom.operators.events import dedup_stream, indexed_events
 from qaloom.operators.quality import extract_text
 from qaloom.operators.vectors import make_points
-from qaloom.streaming.sinks import start_many
+from qaloom.streaming.sinks import start, start_many
 
 
 def uploads_with_content(uploads: DataFrame, blobs: DataFrame, delay: str = "10 minutes", dedup: bool = True) -> DataFrame:
     """Upload events joined with their blob by key; repeated deliveries of a document are dropped.
 
     uploads: parsed document.uploaded events. blobs: key, content; a stream of new files (then also with `modified`) or
-    a table. With two streams both sides are bounded by the watermark.
+    a table. With two streams both sides are bounded by the watermark. An upload without a blob comes out with null content (from
+    two streams once the watermark has passed it), which `start_indexing` writes to its rejects.
     """
     events = uploads.withColumn("uploaded_at", F.to_timestamp("timestamp"))
     events = dedup_stream(events, ["documentId"], "uploaded_at", delay) if dedup else events
@@ -26,7 +27,7 @@ def uploads_with_content(uploads: DataFrame, blobs: DataFrame, delay: str = "10
         blobs = blobs.withWatermark("modified", delay)
         gap = F.expr(f"INTERVAL {delay}")
         same = same & F.col("modified").between(F.col("uploaded_at") - gap, F.col("uploaded_at") + gap)
-    return events.join(blobs, same).select(
+    return events.join(blobs, same, "left").select(
         F.col("documentId").alias("document_id"), F.col("tenantId").alias("tenant_id"),
         F.col("projectId").alias("project_id"), F.col("correlationId").alias("correlation_id"),
         basename(F.col("s3Path")).alias("name"), "content",
@@ -49,5 +50,11 @@ def start_indexing(
         count: Column = F.size(pack_paragraphs(F.col("text"), max_words, sep))
         return indexed_events(good(batch).withColumn("chunks", count))
 
+    # rejects: files of other types and uploads without a blob, with reasons
     outputs = {"points": points, "knowledge_indexed": indexed, "rejects": lambda b: extract_text(b)[1]}
     return start_many(documents, outputs, root, checkpoint, once=once)
+
+
+def start_rejected_lines(bad: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """Write the bad half of `parse_events`, the line and its reason, so that no message vanishes."""
+    return start(bad.select("value", "reason"), path, checkpoint, once=once)

@@ -144,3 +144,9 @@ def test_reviewer_text_in_the_report(spark):
     f = reports.with_severity(facts(spark)).withColumn("ai_analysis", F.when(F.col("run_id") == "r2", "real_bug"))
     body = {r.run_id: r.body for r in reports.report_documents(f, "2024").collect()}
     assert "MINOR CHANGE\nAI Analysis: real_bug\n" in body["r2"] and "AI Analysis" not in body["r1"]
+
+
+def test_newest_copy_of_an_attempt_wins(spark):
+    log = spark.createDataFrame([("r", 1, False, 5), ("r", 1, True, 7), ("r", 1, False, None), ("s", 1, True, 1)], "run_id string, attempt int, passed boolean, seen int")
+    got = {(r.run_id, r.passed, r.seen) for r in runs.dedupe_attempts(log, "seen").collect()}
+    assert got == {("r", True, 7), ("s", True, 1)}

@@ -53,6 +53,20 @@ def test_documents_end_to_end_with_duplicates_bad_lines_and_restart(spark, tmp_p
     assert spark.read.parquet(f"{root}/points").count() == 3
 
 
+def test_nothing_is_lost(spark, tmp_path):
+    """Uploads without a blob and bad lines both end in a table, with reasons."""
+    blobs, events, root, ck = (str(tmp_path / x) for x in ("blobs", "events", "out", "ck"))
+    put(f"{blobs}/t/p/documents", "0_a.txt", ["hello"])
+    put(events, "1.json", [upload(0), upload(1), "{broken", {"tenantId": "t"}])
+    table = readers.read_blobs(spark, blobs).select("key", "content")
+    good, bad = parse_events(readers.stream_lines(spark, events), schemas.DOCUMENT_UPLOADED, ["documentId", "s3Path"])
+    drain(documents.start_indexing(documents.uploads_with_content(good, table), hash_embedder(8), root, ck, once=True))
+    drain(documents.start_rejected_lines(bad, f"{root}/bad", str(tmp_path / "ck2"), once=True))
+    assert [(r.document_id, r.reason) for r in spark.read.parquet(f"{root}/rejects").collect()] == [("d1", "No content found for '1_a.txt'.")]
+    assert {r.document_id for r in spark.read.parquet(f"{root}/points").collect()} == {"d0"}
+    assert sorted(r.reason for r in spark.read.parquet(f"{root}/bad").collect()) == ["malformed", "missing documentId,s3Path"]
+
+
 def test_blob_stream_joins_events(spark, tmp_path):
     blobs, events = str(tmp_path / "b"), str(tmp_path / "e")
     put(f"{blobs}/t/p/documents", "0_a.txt", ["hello"])
