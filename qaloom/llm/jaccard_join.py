@@ -5,12 +5,13 @@ with fewer words the whole sequence is one shingle. Shingles and sets are compar
 global order of the shingles. Two sets link when 100 * |intersection| >= 80 * |union|.
 
 1. Equal sets are one node.
-2. Prefixes. With l = max(1, n / 10), the first n - ceil(0.8 n) + l shingles of two linked sets, in the global order, have
+2. Prefixes. With l = max(1, n / 20), the first n - ceil(0.8 n) + l shingles of two linked sets, in the global order, have
    at least min(l, l') in common. Shingles that only one node has in its prefix are dropped, and nodes that keep fewer
    than the least l a partner can have (lambda) link with nobody.
 3. Groups. The leader of a shingle is the smallest node that has it in its prefix; all nodes that share the shingle meet in the
-   leader's group. A node leaves the groups it shares fewest shingles with, up to (lambda - 1) / 2 shingles in all: two
-   linked sets still meet somewhere, as they can't both leave all they share.
+   leader's group. A node leaves the largest of its groups, as long as it shares less than lambda shingles with those it
+   has left: the order of groups is the same for all nodes, so two linked sets, which share lambda at least, both stay in the
+   smallest group they share. It also leaves groups in which no set has a length near its own.
 4. In a group the globally ordered sets are stored as a trie. It is walked once: overlaps with every other set are counted
    along common paths, shared by all sets below, and a subtree is left when the remaining length can't lift any count
    to what a link needs, or when everything it could still link is linked already.
@@ -34,12 +35,13 @@ from qaloom.llm.common import Words, as_bytes, chunks, components, mix, shingle_
 
 SHINGLE = 5
 PERCENT = 80
-BLOCK = 2000
+PART = 20
+BLOCK = 3000
 
 
 def sets_of(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    for lo, hi in chunks([len(t) for t in texts]):
+    for lo, hi in chunks([len(t) for t in texts], 1_000_000):
         w = Words(texts[lo:hi], lower=True)
         h, bounds = shingle_hashes(w.hashes(), w.first, k)
         for i in range(hi - lo):
@@ -55,13 +57,8 @@ def needed(n, percent: int):
     return -(-percent * n // 100)
 
 
-def least_shared(n, percent: int):
-    """lambda: prefix shingles that a set of n shares with any set it links with, at least."""
-    return np.maximum(1, needed(n, percent) // 10)
-
-
 def prefix_length(n: int, percent: int) -> int:
-    return min(n, n - needed(n, percent) + max(1, n // 10))
+    return min(n, n - needed(n, percent) + max(1, n // PART))
 
 
 def node_table(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE) -> DataFrame:
@@ -79,44 +76,50 @@ def node_table(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE) -> Dat
 
 
 def prefixes(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
-    """(shingle, node, n) for the prefix of every row's set."""
+    """(shingle, node) for the prefix of every row's set."""
 
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            parts, nodes, sizes = [], [], []
+            parts, nodes = [], []
             for s in sets_of(as_bytes(b.column(0)), k):
                 if len(s):
                     parts.append(s[: prefix_length(len(s), percent)].view(np.int64))
                     nodes.append(node_of(s))
-                    sizes.append(len(s))
             if parts:
-                each = np.array([len(p) for p in parts])
-                flat, node, n = np.concatenate(parts), np.repeat(np.array(nodes, dtype=np.int64), each), np.repeat(np.array(sizes, dtype=np.int32), each)
+                flat, node = np.concatenate(parts), np.repeat(np.array(nodes, dtype=np.int64), [len(p) for p in parts])
                 for lo in range(0, len(flat), 100_000):
-                    at = slice(lo, lo + 100_000)
-                    yield pa.record_batch([pa.array(flat[at]), pa.array(node[at]), pa.array(n[at])], names=["shingle", "node", "n"])
+                    yield pa.record_batch([pa.array(flat[lo : lo + 100_000]), pa.array(node[lo : lo + 100_000])], names=["shingle", "node"])
 
-    return docs.select(F.col(text).alias("text")).mapInArrow(cut, "shingle long, node long, n int")
+    return docs.select(F.col(text).alias("text")).mapInArrow(cut, "shingle long, node long")
 
 
-def memberships(docs: DataFrame, text: str, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """(leader, node): the groups in which all linked nodes meet; only groups of two nodes or more."""
+def memberships(docs: DataFrame, nodes: DataFrame, text: str, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(leader, node, m): the groups in which all linked nodes meet, of m nodes each, two at least."""
     rows = prefixes(docs, text, k, percent)
     leaders = rows.groupBy("shingle").agg(F.min("node").alias("leader"), F.max("node").alias("top")).filter("leader <> top").drop("top")
-    shared = rows.join(leaders, "shingle").groupBy("node", "n", "leader").agg(F.countDistinct("shingle").alias("c"))
+    shared = rows.join(leaders, "shingle").groupBy("node", "leader").agg(F.countDistinct("shingle").alias("c"))
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / PART))
     by_node = W.partitionBy("node")
-    fewest = by_node.orderBy("c", "leader").rowsBetween(W.unboundedPreceding, W.currentRow)
-    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 10))
+    shared = (
+        shared.join(nodes.filter("node is not null").select("node", "n").distinct(), "node").withColumn("least", least)
+        .withColumn("all", F.sum("c").over(by_node)).filter(F.col("all") >= F.col("least")).select("leader", "node", "n", "c", "least")
+    )
+    shared = stored(shared, "shared-shingles")
+    sizes = shared.groupBy("leader").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    largest_first = by_node.orderBy(F.desc("m"), "leader").rowsBetween(W.unboundedPreceding, W.currentRow)
+    kept = (
+        shared.join(sizes, "leader").withColumn("sofar", F.sum("c").over(largest_first))
+        .filter(F.col("sofar") >= F.col("least")).select("leader", "node", "n")
+    )
+    near_size = W.partitionBy("leader").orderBy("n", "node")
     kept = (
-        shared.withColumn("all", F.sum("c").over(by_node)).withColumn("sofar", F.sum("c").over(fewest)).withColumn("least", least)
-        .filter((F.col("all") >= F.col("least")) & (F.col("sofar") > F.floor((F.col("least") - 1) / 2)))
-        .select("leader", "node")
+        kept.withColumn("below", F.lag("n").over(near_size)).withColumn("above", F.lead("n").over(near_size))
+        .filter((F.col("below") * 100 >= F.col("n") * percent) | (F.col("n") * 100 >= F.col("above") * percent)).select("leader", "node")
     )
     kept = stored(kept, "memberships")
-    sizes = kept.groupBy("leader").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    return kept.join(sizes, "leader")
+    return kept.join(kept.groupBy("leader").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "leader")
 
 
 def trie_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
@@ -125,10 +128,16 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int
     order = sorted(range(m), key=lambda i: sets[i].astype(">u8").tobytes())
     sets = [sets[i] for i in order]
     n = np.array([len(s) for s in sets])
-    tokens, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     bounds = np.concatenate([[0], np.cumsum(n)])
-    by_token = np.argsort(inverse, kind="stable")
-    posting = np.repeat(np.arange(m), n)[by_token]  # sets that hold each token, token after token
+    flat = np.concatenate(sets)
+    by_token = np.argsort(flat, kind="stable").astype(np.int32)
+    flat = flat[by_token]
+    new = np.concatenate([[True], flat[1:] != flat[:-1]])
+    df = np.diff(np.append(np.flatnonzero(new), len(flat)))
+    inverse = np.empty(len(flat), dtype=np.int32)
+    inverse[by_token] = np.cumsum(new, dtype=np.int32) - 1  # a number for each token, in the global order
+    posting = np.repeat(np.arange(m, dtype=np.int32), n)[by_token]  # sets that hold each token, token after token
+    del flat, by_token, new
     where = np.concatenate([[0], np.cumsum(df)])
     paths = [inverse[bounds[i] : bounds[i + 1]] for i in range(m)]
     lcp = np.zeros(m + 1, dtype=np.int64)
@@ -186,26 +195,28 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int
 def linked_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """(a, b): links between representatives (the smallest doc_id of a node) that yield all classes."""
     reps = nodes.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    member = stored(memberships(docs.filter(F.col(doc_id).isNotNull()), text, k, percent).join(reps, "node").select("leader", "rep", "node", "m"), "groups")
-    wanted = member.select("rep").distinct()
+    member = stored(memberships(docs.filter(F.col(doc_id).isNotNull()), nodes, text, k, percent).join(reps, "node").select("leader", "rep", "node", "m"), "groups")
+    parts = F.ceil(F.col("m") / block).cast("int")
+    mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    dealt = (
+        member.withColumn("parts", parts).withColumn("mine", mine)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .groupBy("rep", "node").agg(F.collect_list(F.struct("leader", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))).alias("groups"))
+    )  # at most one group for each of a node's shingles, and its blocks
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            sets = list(sets_of(as_bytes(b.column(1)), k))
-            columns = [b.column(0), pa.array([node_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.record_batch(columns, names=["rep", "node", "items"])
+            reps, nodes, groups = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
+            for rep, s, node, some in zip(reps, sets_of(as_bytes(b.column(1)), k), nodes, groups, strict=True):
+                if node_of(s) == node:  # else another row with this id
+                    rows = [[g["leader"] for g in some], [g["i"] for g in some], [g["j"] for g in some]]
+                    ints = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32())]
+                    yield pa.record_batch([*ints, pa.array([rep] * len(some), pa.int64()), pa.array([s.tobytes()] * len(some), pa.binary())], names=["leader", "i", "j", "rep", "items"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep", "left_semi")
-    sets = rows.mapInArrow(build, "rep long, node long, items binary")
-    parts = F.ceil(F.col("m") / block).cast("int")
-    mine = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    dealt = (
-        member.withColumn("parts", parts).withColumn("mine", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("leader", "rep", "node", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-    )
+    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(dealt, "rep")
+    sets = rows.select("rep", "text", "node", "groups").mapInArrow(build, "leader long, i int, j int, rep long, items binary")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
@@ -213,7 +224,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, k: i
         found = trie_links([np.frombuffer(x, dtype=np.uint64) for x in pdf["items"]], percent)
         return pd.DataFrame({"a": ids[[x for x, _ in found]] if found else ids[:0], "b": ids[[y for _, y in found]] if found else ids[:0]})
 
-    return dealt.join(sets, ["rep", "node"]).groupBy("leader", "i", "j").applyInPandas(join, "a long, b long")
+    return sets.groupBy("leader", "i", "j").applyInPandas(join, "a long, b long")
 
 
 def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
