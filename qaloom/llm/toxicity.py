@@ -2,8 +2,8 @@
 
 1. Lexicon. Words that labelled texts of class 1 hold far more often than others (documents counted, equal texts once).
 2. Matching. The terms form a trie. A word's Levenshtein automaton is walked along the trie, so one walk finds all terms within
-   one edit (two for terms of `LONG` letters or more, none for terms under four). Only words that share an unedited part
-   with a term, by the pigeonhole principle, are walked.
+   one edit (two for terms of `LONG` letters or more, none for terms under four). Only words that become
+   the same string as a term when each drops as many letters as there may be edits, as near ones must, are walked.
 3. Context. Every match looks at `SPAN` words on either side. Quotation marks around the match and reporting words raise its
    quotation score, words of address lower it. Matches add their abuse share and their quotation share to separate features.
 4. A logistic regression over these features gives the score.
@@ -44,6 +44,15 @@ def edits(term: str) -> int:
     return 2 if len(term) >= LONG else 1 if len(term) >= 4 else 0
 
 
+def drops(word: str, limit: int) -> set[str]:
+    """The word and all it becomes by dropping up to `limit` letters."""
+    out = last = {word}
+    for _ in range(limit):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
 class Automaton:
     """The words within `limit` edits of `word`, as states of (position, edits) pairs, one pair for each reachable position."""
 
@@ -79,28 +88,41 @@ class Automaton:
 
 
 class Lexicon:
-    """The terms as a trie."""
+    """The terms as a trie, and what tells most words at once that no term is near them."""
 
     def __init__(self, terms: dict[str, float]):
         self.weight = terms
         self.trie: dict = {}
         parts: set[str] = set()
+        self.dropped: dict[int, set[str]] = {1: set(), 2: set()}  # strings that terms become by dropping letters, by their edits
+        self.sizes: dict[int, set[int]] = {1: set(), 2: set()}
         for t in terms:
             node = self.trie
             for c in t:
                 node = node.setdefault(c, {})
             node[""] = t
             d = edits(t)
-            cuts = [round(i * len(t) / (d + 1)) for i in range(d + 2)]  # d edits leave one of d + 1 parts as it is
-            parts.update(t[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
+            if d:
+                self.dropped[d] |= drops(t, d)
+                self.sizes[d].update(range(len(t) - d, len(t) + d + 1))
+            if d == 2:
+                cuts = [round(i * len(t) / 3) for i in range(4)]  # two edits leave one of three parts as it is
+                parts.update(t[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
         self.parts = re.compile("|".join(map(re.escape, sorted(parts)))) if parts else None
 
+    def near(self, word: str) -> bool:
+        """False only if no term is within its edits: words d edits apart have a common string after dropping d letters each."""
+        size = len(word)
+        if size in self.sizes[1] and not self.dropped[1].isdisjoint(drops(word, 1)):
+            return True
+        return size in self.sizes[2] and bool(self.parts.search(word)) and not self.dropped[2].isdisjoint(drops(word, 2))
+
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term (ties: the first in the alphabet) and its number of edits."""
         word = _EDGE.sub("", word)
         if word in self.weight:
             return word, 0
-        if len(word) < 3 or len(word) > 40 or self.parts is None or not self.parts.search(word):
+        if not self.near(word):
             return None
         best: tuple[int, str] | None = None
         automaton = Automaton(word, 2)
