@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from qaloom.llm import ann, contamination, jaccard_join, language_id, licenses, lm_score, packing, suffix_array, suffix_tree, toxicity
 from qaloom.llm.common import Words, fold, shingle_hashes
+from tests_llm_brute import brute_classes, shingles, windows_removed
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key long, node string, score double, spans int"
 PASSAGE = " ".join(f"shared{i}" for i in range(60))
@@ -53,15 +54,6 @@ def got(df):
     return [tuple(r) for r in df.collect()]
 
 
-def windows_removed(units, window, counts):
-    gone = np.zeros(len(units) + 1, dtype=int)
-    for i in range(len(units) - window + 1):
-        if counts[bytes(units[i : i + window]) if isinstance(units, bytes) else tuple(units[i : i + window])] > 1:
-            gone[i] += 1
-            gone[i + window] -= 1
-    return np.cumsum(gone)[:-1] > 0
-
-
 def counted_windows(all_units, window):
     return Counter(u[i : i + window] if isinstance(u, bytes) else tuple(u[i : i + window]) for u in all_units for i in range(len(u) - window + 1))
 
@@ -126,21 +118,6 @@ def test_difference_cover_covers():
         assert {(a - b) % v for a in d for b in d} == set(range(v)) and len(d) <= 2 * v**0.5
 
 
-def shingles(text, k=5):
-    w = bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()).split()
-    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
-
-
-def brute_classes(sets):
-    group = list(range(len(sets)))
-    for i, a in enumerate(sets):
-        for j in range(i):
-            if a and sets[j] and 100 * len(a & sets[j]) >= 80 * len(a | sets[j]):
-                old, new = max(group[i], group[j]), min(group[i], group[j])
-                group = [new if g == old else g for g in group]
-    return group
-
-
 def test_jaccard_join(spark, rows, docs, none):
     sets = [shingles(r[1]) for r in rows]
     group = brute_classes(sets)
