@@ -2,22 +2,20 @@
 
 The model is a bigram model over words (runs of bytes between ASCII white space, A-Z lower-cased) and an end, which is also what
 comes before the first word. Its counts are held by one Bloom filter: an n-gram that occurs c times is entered at the
-levels 0 .. q, q = floor(log(c / floor) / log(BASE)). A count is read by probing level after level until one is missing; what is
+levels 0 .. q, q = floor(log(c) / log(BASE)). A count is read by probing level after level until one is missing; what is
 read is the lower edge of the level. All bits of an n-gram lie in one segment, so that tasks build segments apart.
 
-    P(w | h) = max(0, c(h w) - DISCOUNT) / C(h) + b(h) / C(h) P(w)      where h is frequent; else P(w)
-    P(w)     = c(w) / (N + 1/2), or an equal share of what rare words hold in training
+    P(w | h) = max(0, c(h w) - DISCOUNT) / C(h) + DISCOUNT T(h) / C(h) P(w)      where h occurs in training; else P(w)
+    P(w)     = c(w) / (N + 1/2), or 1/2 / (N + 1/2) where w does not occur
 
-b(h) is what C(h) holds beyond the bigrams of the filter, plus what was discounted; it is a count in the filter like the others.
-Counts are lower edges, so probabilities add up to one at most (but for false positives, about one probe in a thousand).
-C(h) is the exact count of a frequent word.
+T(h), the number of different words after h, is a count in the filter like the others. Counts are lower edges and C(h) is exact, so
+probabilities add up to one at most (but for false positives, about one probe in a thousand).
 
-What enters the filter is decided by relative frequency, alike at every size: n-grams with at least `FLOOR` of all tokens,
-bigrams of words with at least `FREQUENT`. There are at most 1 / FLOOR of each, with BASE / (BASE - 1) entries each on average
-at most, so the filter that is broadcast has at most 2 BITS / FLOOR * BASE / (BASE - 1) bits (105 MB), whatever the size
-of the corpus, and a few MB for small ones. Counting covers all training rows.
+Every word and bigram of the training rows is in the filter, however rare. The filter is a table of segments whose number grows
+with the n-grams; it is never held whole. Texts are cut into blocks, a block's different probes travel to the pieces (groups of `PIECE`
+segments) that answer them, and the answers return to the block. A piece that is asked too often is repeated.
 
-The base score uses exact counts: words with at least `HEAD` of all tokens (at most 1 / HEAD words) are broadcast, the
+Exact counts: words with at least `HEAD` of all tokens (at most 1 / HEAD words) are broadcast, the
 others are joined; no such word is a hot key. Words are compared by 64-bit hashes.
 
 Defined results: a null or empty text is the end alone; without training rows N and V are 0 and the model's only word is
@@ -37,15 +35,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from qaloom.llm.common import Words, as_bytes, chunks, fold, mix, stored
 
-FLOOR = 2e-7
-FREQUENT = 1e-5
 HEAD = 1e-6
 BASE = 1.2
 BITS = 14  # bits of the filter for each entry
 PROBES = 10
 SEGMENT = 1 << 16
+PIECE = 16  # segments that are probed together
+BLOCK = 4_000_000  # bytes of text that are scored together
+ASKED = 2_000_000  # probes that one copy of a piece answers
 DISCOUNT = 0.75
-FINER = 64.0  # b(h) is held in smaller units, as it may be less than the least count in the filter
 _END = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0x2545F4914F6CDD1D)
 
@@ -70,24 +68,48 @@ def before(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """One number for two indexes of frequent words, of which there are at most 1 / FREQUENT."""
-    return (h.astype(np.uint64) << np.uint64(20)) | w.astype(np.uint64)
+def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(h * _PAIR + np.uint64(1)) + w)
 
 
-def pair_key(code: np.ndarray) -> np.ndarray:
-    return mix(code * _PAIR + np.uint64(1))
+def rest_key(h: np.ndarray) -> np.ndarray:
+    return mix(h * _PAIR + np.uint64(1 << 63))
 
 
-def rest_key(h: np.ndarray) -> np.ndarray:
-    return mix(h.astype(np.uint64) * _PAIR + np.uint64(1 << 63))
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    return (mix(keys ^ _PAIR) % np.uint64(segments)).astype(np.int64)
+
+
+def probe(bits: np.ndarray, start: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Number of levels found for each key, whose segment starts at bit `start` of `bits`: probes go on until one is missing."""
+    found = np.zeros(len(keys), dtype=np.int64)
+    at, level = np.arange(len(keys)), 0
+    while len(at):
+        place = Filter.places(keys[at], level) + start[at].astype(np.uint64)
+        there = np.ones(len(at), dtype=bool)
+        for row in place:
+            there &= (bits[(row >> np.uint64(3)).astype(np.int64)] >> (row & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        at = at[there]
+        found[at] += 1
+        level += 1
+    return found
+
+
+def probe_rows(segment: np.ndarray, bits: list[bytes], asked: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Levels of keys in the segments `asked`, of which those with an entry are given."""
+    order = np.argsort(segment)
+    joined = np.frombuffer(b"".join([bits[i] for i in order] + [bytes(SEGMENT // 8)]), dtype=np.uint8)  # the last is empty
+    names = segment[order]
+    at = np.searchsorted(names, asked)
+    there = np.append(names, -1)[at] == asked
+    return probe(joined, np.where(there, at, len(names)) * SEGMENT, keys)
 
 
 class Filter:
-    """A log-frequency Bloom filter in segments; counts are in units of `floor`."""
+    """A log-frequency Bloom filter as a table (segment, bits); counts are in units of `floor`. Segments without entries have no row."""
 
-    def __init__(self, bits: np.ndarray, floor: float):
-        self.bits, self.floor, self.segments = bits, floor, len(bits) * 8 // SEGMENT
+    def __init__(self, table: DataFrame | None, segments: int, floor: float):
+        self.table, self.segments, self.floor = table, segments, floor
 
     @staticmethod
     def places(keys: np.ndarray, level: np.ndarray | int) -> np.ndarray:
@@ -97,125 +119,129 @@ class Filter:
         return (h[None, :] + np.arange(PROBES, dtype=np.uint64)[:, None] * step[None, :]) % np.uint64(SEGMENT)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Number of levels found for each key: probes go on until one is missing."""
+        """Number of levels found for each of a few keys, by the driver; `score` asks for many."""
         found = np.zeros(len(keys), dtype=np.int64)
         if not self.segments:
             return found
-        start = (mix(keys ^ _PAIR) % np.uint64(self.segments)) * np.uint64(SEGMENT)
-        at, level = np.arange(len(keys)), 0
-        while len(at):
-            place = self.places(keys[at], level) + start[at]
-            there = np.ones(len(at), dtype=bool)
-            for row in place:
-                there &= (self.bits[(row >> np.uint64(3)).astype(np.int64)] >> (row & np.uint64(7)).astype(np.uint8)) & 1 == 1
-            at = at[there]
-            found[at] += 1
-            level += 1
+        asked = segment_of(keys, self.segments)
+        names = np.unique(asked)
+        for lo in range(0, len(names), 64):
+            some = names[lo : lo + 64]
+            rows = self.table.filter(F.col("segment").isin(some.tolist())).collect()
+            at = np.flatnonzero(np.isin(asked, some))
+            found[at] = probe_rows(np.array([r["segment"] for r in rows], dtype=np.int64), [r["bits"] for r in rows], asked[at], keys[at])
         return found
 
     def count(self, levels: np.ndarray) -> np.ndarray:
         """Lower edge of the counts with so many levels, 0 where there is none."""
-        return np.where(levels > 0, self.floor * BASE ** (levels - 1.0), 0.0)
+        return edges(levels, self.floor)
+
+
+def edges(levels: np.ndarray, floor: float = 1.0) -> np.ndarray:
+    return np.where(levels > 0, floor * BASE ** (levels - 1.0), 0.0)
+
+
+def log_probability(n: int, joint: np.ndarray, rest: np.ndarray, total: np.ndarray, alone: np.ndarray) -> np.ndarray:
+    """log10 P(w | h) from the levels of h w, T(h) and w, and the exact count of h."""
+    p = np.where(alone > 0, edges(alone), 0.5) / (n + 0.5)
+    seen = np.maximum(edges(joint) - DISCOUNT, 0.0) + DISCOUNT * edges(rest) * p
+    return np.log10(np.where((total > 0) & (rest > 0), seen / np.maximum(total, 1), p))
 
 
 @dataclass
-class Model:
+class Head:
     n: int  # training tokens
     v: int  # distinct ones
-    head: np.ndarray  # hashes of the most frequent words, sorted
-    head_count: np.ndarray
-    filter: Filter
-    known_tokens: int  # training tokens and distinct words that the filter was built for
-    known_words: int
-
-    def __post_init__(self):
-        often = self.head_count >= max(1.0, FREQUENT * self.n)
-        self.often, self.often_count = self.head[often], self.head_count[often]
-
-    def frequent(self, words: np.ndarray) -> np.ndarray:
-        """Index of the word among the frequent ones, or -1."""
-        if not len(self.often):
-            return np.full(len(words), -1)
-        at = np.minimum(np.searchsorted(self.often, words), len(self.often) - 1)
-        return np.where(self.often[at] == words, at, -1)
+    words: np.ndarray  # hashes of the most frequent words, sorted
+    counts: np.ndarray
 
     def exact(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Is the word in the head, and its training count if so."""
-        if not len(self.head):
-            return np.zeros(len(words), dtype=bool), np.zeros(len(words))
-        at = np.minimum(np.searchsorted(self.head, words), len(self.head) - 1)
-        there = self.head[at] == words
-        return there, np.where(there, self.head_count[at], 0)
+        if not len(self.words):
+            return np.zeros(len(words), dtype=bool), np.zeros(len(words), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
+        there = self.words[at] == words
+        return there, np.where(there, self.counts[at], 0)
+
+
+@dataclass
+class Model:
+    head: Head
+    counts: DataFrame
+    filter: Filter
+
+    @property
+    def n(self) -> int:
+        return self.head.n
+
+    @property
+    def v(self) -> int:
+        return self.head.v
 
     def log_probability(self, h: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 P(w | h); every distinct word and pair is probed once."""
-        words, at = np.unique(np.concatenate([h, w]), return_inverse=True)
-        level = self.filter.levels(words)
-        rare = (self.n - self.known_tokens + 0.5) / (self.n + 0.5) / (self.v - self.known_words + 1)
-        alone = np.where(level > 0, self.filter.count(level) / (self.n + 0.5), rare)
-        index = self.frequent(words)
-        at_h, at_w = at[: len(h)], at[len(h) :]
-        p = alone[at_w]
-        some = np.flatnonzero(index[at_h] >= 0)
-        before = index[at_h[some]]
-        heads, back = np.unique(before, return_inverse=True)
-        rest = self.filter.count(self.filter.levels(rest_key(heads)))[back] / FINER
-        joint = np.zeros(len(some))
-        seen = np.flatnonzero(index[at_w[some]] >= 0)
-        pairs, which = np.unique(pair(before[seen], index[at_w[some]][seen]), return_inverse=True)
-        joint[seen] = self.filter.count(self.filter.levels(pair_key(pairs)))[which]
-        p[some] = (np.maximum(joint - DISCOUNT, 0.0) + rest * p[some]) / self.often_count[before]
-        return np.log10(p)
-
-
-def _counted(texts: DataFrame, keys_of) -> DataFrame:
-    """(key, c): how often each of the keys that keys_of(words, bounds) finds in the texts occurs; counted in tasks first."""
+        """log10 P(w | h) of a few pairs, by the driver; `score` asks for many."""
+        there, total = self.head.exact(h)
+        others = {r["key"]: r["c"] for r in self.counts.filter(F.col("key").isin(np.unique(h[~there]).view(np.int64).tolist())).collect()}
+        total[~there] = [others.get(k, 0) for k in h[~there].view(np.int64).tolist()]
+        ask = self.filter.levels
+        return log_probability(self.n, ask(pair_key(h, w)), ask(rest_key(h)), total, ask(w))
+
+
+def _counted(texts: DataFrame, keys_of, heads: bool = False) -> DataFrame:
+    """(key, c): how often each of the keys that keys_of(words, bounds) finds in the texts occurs; counted in tasks first.
+
+    With `heads` keys_of also returns what a key begins with, and so do the rows: (key, h, c)."""
 
     def count(batches: Iterator) -> Iterator:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([c for _, c in held]).astype(np.float64)).astype(np.int64)
+        def merged() -> tuple[np.ndarray, ...]:
+            keys, first, at = np.unique(np.concatenate([x[0] for x in held]), return_index=True, return_inverse=True)
+            c = np.bincount(at, np.concatenate([x[1] for x in held]).astype(np.float64)).astype(np.int64)
+            return (keys, c, np.concatenate([x[2] for x in held])[first]) if heads else (keys, c)
 
         for b in batches:
             some = as_bytes(b.column(0))
             for lo, hi in chunks([len(t) for t in some]):
-                held.append(np.unique(keys_of(*tokens(some[lo:hi])), return_counts=True))
-                size += len(held[-1][0])
+                found = keys_of(*tokens(some[lo:hi]))
+                keys, first, c = np.unique(found[0] if heads else found, return_index=True, return_counts=True)
+                held.append((keys, c, found[1][first]) if heads else (keys, c))
+                size += len(keys)
                 if size > 4_000_000:
-                    keys, c = merged()
-                    if len(keys) > 2_000_000:
-                        yield from out(keys, c)
+                    whole = merged()
+                    if len(whole[0]) > 2_000_000:
+                        yield from out(*whole)
                         held, size = [], 0
                     else:
-                        held, size = [(keys, c)], len(keys)
+                        held, size = [whole], len(whole[0])
         if held:
             yield from out(*merged())
 
-    def out(keys: np.ndarray, c: np.ndarray) -> Iterator:
+    def out(*columns: np.ndarray) -> Iterator:
         import pyarrow as pa
 
-        for lo in range(0, len(keys), 100_000):
-            yield pa.record_batch([pa.array(keys[lo : lo + 100_000].view(np.int64)), pa.array(c[lo : lo + 100_000].astype(np.int64))], names=["key", "c"])
+        for lo in range(0, len(columns[0]), 100_000):
+            yield pa.record_batch([pa.array(x[lo : lo + 100_000].view(np.int64)) for x in columns], names=["key", "c", "h"][: len(columns)])
 
-    return texts.mapInArrow(count, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    rows = texts.mapInArrow(count, "key long, c long" + (", h long" if heads else ""))
+    return rows.groupBy("key").agg(*([F.first("h").alias("h")] if heads else []), F.sum("c").alias("c"))
 
 
 def _filter_of(counts: DataFrame, floor: float) -> Filter:
-    """The filter of all (key, c) of `counts`; tasks build segments, the driver joins them (see the bound above)."""
+    """The filter of all (key, c) of `counts`; every task builds some of its segments."""
     levels = F.floor(F.log(F.col("c") / F.lit(floor)) / math.log(BASE) + 1e-9).cast("long") + 1
     rows = counts.select("key", F.greatest(levels, F.lit(1)).alias("levels"))
     entries = rows.agg(F.sum("levels")).first()[0] or 0
-    segments = max(1, math.ceil(entries * BITS / SEGMENT))
+    segments = math.ceil(entries * BITS / SEGMENT)
+    if not segments:
+        return Filter(None, 0, floor)
 
     def assign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            keys = np.asarray(b.column(0)).view(np.uint64)
-            yield pa.record_batch([*b.columns, pa.array((mix(keys ^ _PAIR) % np.uint64(segments)).astype(np.int64))], names=["key", "levels", "segment"])
+            yield pa.record_batch([*b.columns, pa.array(segment_of(np.asarray(b.column(0)).view(np.uint64), segments))], names=["key", "levels", "segment"])
 
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -235,10 +261,7 @@ def _filter_of(counts: DataFrame, floor: float) -> Filter:
 
     tasks = max(1, segments // 256)
     built = rows.mapInArrow(assign, "key long, levels long, segment long").repartition(tasks, "segment").mapInArrow(build, "segment long, bits binary")
-    bits = np.zeros(segments * SEGMENT // 8, dtype=np.uint8)
-    for r in built.toLocalIterator():
-        bits[r["segment"] * SEGMENT // 8 : (r["segment"] + 1) * SEGMENT // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return Filter(bits, floor)
+    return Filter(stored(built, "segments"), segments, floor)
 
 
 def train(texts: DataFrame) -> tuple[Model, DataFrame]:
@@ -249,89 +272,144 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame]:
     head = counts.filter(F.col("c") >= max(1.0, HEAD * n)).toArrow()
     keys = np.asarray(head.column("key").combine_chunks()).view(np.uint64)
     order = np.argsort(keys)
-    model = Model(n, v, keys[order], np.asarray(head.column("c").combine_chunks())[order], Filter(np.zeros(0, np.uint8), 1.0), 0, 0)
-    floor = max(1.0, FLOOR * n)
 
-    def pairs(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        w = model.frequent(words)
-        h = model.frequent(before(words, bounds))
-        both = (w >= 0) & (h >= 0)
-        return pair(h[both], w[both])
+    def pairs(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = before(words, bounds)
+        return pair_key(h, words), h
 
     def keyed(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            code, c, kind = np.asarray(b.column(0)).view(np.uint64), np.asarray(b.column(1)), np.asarray(b.column(2))
-            keys = np.where(kind == 1, pair_key(code), rest_key(code))
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(c)], names=["key", "c"])
-
-    kept = counts.filter(F.col("c") >= floor)
-    model.known_tokens, model.known_words = (x or 0 for x in kept.agg(F.sum("c"), F.count(F.lit(1))).first())
-    bigrams = stored(_counted(texts, pairs).filter(F.col("c") >= floor).select(F.col("key").alias("code"), F.col("c").cast("double").alias("c")), "bigrams")
-    spent = bigrams.groupBy(F.shiftrightunsigned("code", 20).alias("code")).agg(F.sum(F.col("c") - DISCOUNT).alias("spent"))
-    spark = texts.sparkSession
-    heads = spark.createDataFrame([(int(i), float(c)) for i, c in enumerate(model.often_count)], "code long, total double")
-    rest = heads.join(spent, "code", "left").select("code", F.greatest((F.col("total") - F.coalesce("spent", F.lit(0.0))) * FINER, F.lit(floor)).alias("c"), F.lit(2).alias("kind"))
-    hashed = bigrams.select("code", "c", F.lit(1).alias("kind")).unionByName(rest).mapInArrow(keyed, "key long, c double")
-    ngrams = kept.select("key", F.col("c").cast("double").alias("c")).unionByName(hashed)
-    model.filter = _filter_of(stored(ngrams, "ngrams"), floor)
-    return model, counts
+            yield pa.record_batch([pa.array(rest_key(np.asarray(b.column(0)).view(np.uint64)).view(np.int64)), b.column(1)], names=["key", "c"])
+
+    bigrams = stored(_counted(texts, pairs, heads=True), "bigrams")
+    rest = bigrams.groupBy("h").agg(F.count(F.lit(1)).alias("c")).mapInArrow(keyed, "key long, c long")
+    ngrams = counts.unionByName(bigrams.select("key", "c")).unionByName(rest)
+    return Model(Head(n, v, keys[order], np.asarray(head.column("c").combine_chunks())[order]), counts, _filter_of(ngrams, 1.0)), counts
+
+
+def _answered(blocks: DataFrame, table: Filter) -> DataFrame:
+    """(block, at, levels): levels of the probes of all blocks; a block's probes are its pairs, its words and what follows each."""
+    segments = table.segments
+    sizes = blocks.agg(F.sum((2 * F.length("words") / 8 + F.length("h") / 4).cast("long"))).first()[0] or 0
+    copies = max(1, math.ceil(sizes / math.ceil(segments / PIECE) / ASKED))
+
+    def ask(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for block, words, h, w in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                words, h, w = np.frombuffer(words, np.uint64), np.frombuffer(h, np.int32), np.frombuffer(w, np.int32)
+                keys = np.concatenate([pair_key(words[h], words[w]), words, rest_key(words)])
+                piece = segment_of(keys, segments) // PIECE
+                order = np.argsort(piece, kind="stable").astype(np.int32)
+                names, first = np.unique(piece[order], return_index=True)
+                ends = np.append(first[1:], len(order))
+                yield pa.record_batch(
+                    [
+                        pa.array(names), pa.array(np.full(len(names), block % copies)), pa.array(np.full(len(names), block)),
+                        pa.array([order[a:z].tobytes() for a, z in zip(first, ends, strict=True)], pa.binary()),
+                        pa.array([keys[order[a:z]].tobytes() for a, z in zip(first, ends, strict=True)], pa.binary()),
+                    ],
+                    names=["piece", "copy", "block", "at", "keys"],
+                )
+
+    def answer(asked, held):
+        import pyarrow as pa
+
+        parts = asked.column("keys").to_pylist()
+        keys = np.frombuffer(b"".join(parts), np.uint64)
+        found = probe_rows(held.column("segment").to_numpy(), held.column("bits").to_pylist(), segment_of(keys, segments), keys).astype(np.uint8)
+        ends = np.cumsum([len(p) // 8 for p in parts], dtype=np.int64)
+        levels = [found[a:z].tobytes() for a, z in zip(np.append(0, ends[:-1]), ends, strict=True)] if parts else []
+        return pa.table([asked.column("block"), asked.column("at"), pa.array(levels, pa.binary())], names=["block", "at", "levels"])
+
+    asked = blocks.select("block", "words", "h", "w").mapInArrow(ask, "piece long, copy long, block long, at binary, keys binary")
+    held = table.table.select(F.floor(F.col("segment") / PIECE).alias("piece"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(copies - 1).cast("long"))).alias("copy"), "segment", "bits")
+    return asked.groupBy("piece", "copy").cogroup(held.groupBy("piece", "copy")).applyInArrow(answer, "block long, at binary, levels binary")
 
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    below = math.log10(model.n + 0.5 * (model.v + 1))
+    held = docs.sparkSession.sparkContext.broadcast(model.head)
+    n, below = model.n, math.log10(model.n + 0.5 * (model.v + 1))
 
-    def rate(batches: Iterator) -> Iterator:
+    def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        m, part, made = held.value, TaskContext.get().partitionId(), 0
+        part, made, names, texts, size = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def block():
+            nonlocal made
+            words, bounds = tokens(texts)
+            different, at = np.unique(np.concatenate([before(words, bounds), words]), return_inverse=True)
+            pairs, which = np.unique((at[: len(words)].astype(np.int64) << 32) | at[len(words) :], return_inverse=True)
+            made += 1
+            arrays = [bounds.astype(np.int64), which.astype(np.int32), different, (pairs >> 32).astype(np.int32), (pairs & 0xFFFFFFFF).astype(np.int32)]
+            return pa.record_batch(
+                [pa.array([(part << 33) + made]), pa.array([names], pa.list_(pa.int64())), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]],
+                names=["block", "ids", "bounds", "which", "words", "h", "w"],
+            )
+
         for b in batches:
-            names, texts = b.column(0), as_bytes(b.column(1))
-            for lo, hi in chunks([len(t) for t in texts]):
-                words, bounds = tokens(texts[lo:hi])
-                starts, size = bounds[:-1], np.diff(bounds)
-                there, c = m.exact(words)
-                base = np.where(there, np.log10(np.where(there, c, 1) + 0.5) - below, 0.0)
-                log_p = m.log_probability(before(words, bounds), words)
-                row = (part << 33) + made + np.arange(hi - lo)
-                made += hi - lo
-                which = np.repeat(np.arange(hi - lo), size)
-                # rare words: one entry for each text and word, to be joined with the counts
-                w, d = words[~there], which[~there]
-                order = np.lexsort((w, d))
-                w, d = w[order], d[order]
-                new = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (d[1:] != d[:-1])])) if len(w) else np.zeros(0, np.int64)
-                tf = np.diff(np.append(new, len(w)))
-                k = len(new)
-                none = [None] * k
-                yield pa.record_batch(
+            for name, t in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), strict=True):
+                if texts and size + len(t) > BLOCK:
+                    yield block()
+                    names, texts, size = [], [], 0
+                names.append(name)
+                texts.append(t)
+                size += len(t) + 1
+        if texts:
+            yield block()
+
+    def rare(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for block, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = np.frombuffer(words, np.uint64)
+                at = np.flatnonzero(~held.value.exact(words)[0])
+                yield pa.record_batch([pa.array(np.full(len(at), block)), pa.array(at), pa.array(words[at].view(np.int64))], names=["block", "j", "key"])
+
+    def rate(block, answers):
+        import pyarrow as pa
+
+        out = []
+        for i in range(block.num_rows):
+            row = {c: block.column(c)[i].as_py() for c in ("ids", "bounds", "which", "words", "h", "w")}
+            bounds, which = np.frombuffer(row["bounds"], np.int64), np.frombuffer(row["which"], np.int32)
+            words, h, w = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["h"], np.int32), np.frombuffer(row["w"], np.int32)
+            levels = np.zeros(len(h) + 2 * len(words), dtype=np.int64)
+            exact = held.value.exact(words)[1].astype(np.float64)
+            for at, found in zip(answers.column("at").to_pylist(), answers.column("levels").to_pylist(), strict=True):
+                if at is not None:
+                    levels[np.frombuffer(at, np.int32)] = np.frombuffer(found, np.uint8)
+            j = answers.column("j").drop_null().to_numpy()
+            exact[j] = answers.column("c").drop_null().to_numpy()
+            joint, alone, rest = np.split(levels, [len(h), len(h) + len(words)])
+            log_p = log_probability(n, joint, rest[h], exact[h], alone[w])
+            base = np.log10(exact + 0.5) - below
+            starts, word = bounds[:-1], w[which]
+            out.append(
+                pa.table(
                     [
-                        pa.array(np.concatenate([row, row[d[new]]])),
-                        pa.concat_arrays([names.slice(lo, hi - lo).cast(pa.int64()), pa.array(none, pa.int64())]),
-                        pa.concat_arrays([pa.array(size), pa.array(tf, pa.int64())]),
-                        pa.concat_arrays([pa.array(np.add.reduceat(there.astype(np.int64), starts)), pa.array(none, pa.int64())]),
-                        pa.concat_arrays([pa.array(np.add.reduceat(base, starts)), pa.array(none, pa.float64())]),
-                        pa.concat_arrays([pa.array(np.add.reduceat(log_p, starts)), pa.array(none, pa.float64())]),
-                        pa.concat_arrays([pa.array([None] * (hi - lo), pa.int64()), pa.array(w[new].view(np.int64))]),
+                        pa.array(row["ids"], pa.int64()), pa.array(np.diff(bounds)), pa.array(np.add.reduceat((exact > 0)[word].astype(np.int64), starts)),
+                        pa.array(np.full(len(starts), n, dtype=np.int64)), pa.array(np.add.reduceat(base[word], starts)), pa.array(np.add.reduceat(log_p[which], starts)),
                     ],
-                    names=["row", "doc_id", "n", "known", "base", "score", "key"],
+                    names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
+            )
+        return pa.concat_tables(out)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rated = stored(rows.mapInArrow(rate, "row long, doc_id long, n long, known long, base double, score double, key long"), "rated")
-    rare = rated.filter("key is not null").select("row", "n", "key").join(counts, "key", "left")
-    rare = rare.groupBy("row").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("known"),
-        F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + 0.5) - below)).alias("base"),
-    )
-    whole = rated.filter("key is null").join(rare.withColumnsRenamed({"known": "more_known", "base": "more_base"}), "row", "left")
-    return whole.select(
-        "doc_id", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score",
-    )
+    blocks = stored(rows.mapInArrow(cut, "block long, ids array<long>, bounds binary, which binary, words binary, h binary, w binary"), "blocks")
+    joined = blocks.select("block", "words").mapInArrow(rare, "block long, j long, key long").join(counts, "key")
+    answers = joined.select("block", F.lit(None).cast("binary").alias("at"), F.lit(None).cast("binary").alias("levels"), "j", "c")
+    if model.filter.segments:
+        answers = answers.unionByName(_answered(blocks, model.filter), allowMissingColumns=True)
+    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return blocks.groupBy("block").cogroup(answers.select("block", "at", "levels", "j", "c").groupBy("block")).applyInArrow(rate, schema)
 
 
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:

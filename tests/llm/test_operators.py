@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from qaloom.llm import ann, contamination, jaccard_join, language_id, licenses, lm_score, packing, suffix_array, suffix_tree, toxicity
@@ -246,6 +247,21 @@ def test_lm_probabilities_add_up_to_at_most_one(spark):
         assert 0.7 < total <= 1.001
 
 
+def test_lm_keeps_rare_words_and_their_contexts(spark, monkeypatch):
+    many = spark.range(6).select(F.repeat(F.lit("a b "), 500_000).alias("text"))  # 6 million tokens
+    texts = many.unionByName(spark.createDataFrame([("one two one two",), ("three four",)], "text string"))
+    monkeypatch.setattr(lm_score, "HEAD", 1e-3)  # rare words are joined
+    model, counts = lm_score.train(texts)
+    h, w = (lm_score.tokens([t])[0][:1] for t in (b"three", b"four"))
+    assert abs(10 ** model.log_probability(h, w)[0] - 0.25) < 0.01  # (1 - DISCOUNT) / 1 and next to nothing
+    docs = spark.createDataFrame([(1, "three four"), (2, "four three"), (3, "one two"), (4, "new three")], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in lm_score.score(docs, model, counts).collect()}
+    assert out[1]["score"] > out[2]["score"] + 2 and [out[i]["n_known"] for i in (1, 2, 3, 4)] == [3, 3, 3, 2]
+    for i, text in ((1, b"three four"), (3, b"one two"), (4, b"new three")):
+        words, bounds = lm_score.tokens([text])
+        assert abs(out[i]["score"] - model.log_probability(lm_score.before(words, bounds), words).sum()) < 1e-9
+
+
 def test_filter_reads_lower_edges(spark):
     counts = {k * 7919: c for k, c in enumerate([1, 2, 3, 10, 100, 5000, 1], start=1)}
     f = lm_score._filter_of(spark.createDataFrame([(k, float(c)) for k, c in counts.items()], "key long, c double"), 1.0)
