@@ -2,15 +2,16 @@
 
 1. Texts become token ids, each document with an end id. Whole windows of a document are sequences of their own; what is left of
    it (its tail) is packed with the tails of other documents.
-2. Tails are dealt over tasks by a hash and sorted by the token that weighs most in their document, so that lexically close documents
-   are near each other. Every `SHARD` tails in that order are one shard of the index: an inverted index from token to
-   BM25 weights, over the whole documents and not only their tails.
-3. A seed, the first unused tail, asks the index with all tokens of its document. Its unused neighbours, best first, fill the
-   window greedily: those that fit whole are taken, at last the best one is cut to fill what is left, and its rest is the
-   next seed. What does not fill a window moves on to the next shard; at the end of a task it is cut in lengths that are powers of
-   two, which need no padding.
+2. Tails are dealt over tasks by ranges of the three tokens that weigh most in their document (`signature`), so that lexically close
+   documents share a task and are near each other in it; a hash comes last, so that a large group of equal ones is many ranges.
+   Every `SHARD` tails in that order are one shard. An inverted index from token to BM25 weights covers a shard and the
+   next one, over the whole documents and not only their tails; document frequencies and the mean length are those of all rows.
+3. A seed, the first unused tail, asks the index with all tokens of its document, that is its own shard and the one after
+   it (tails of earlier ones are used up by then). Its unused neighbours, best first, fill the window greedily: those that fit
+   whole are taken, at last the best one is cut to fill what is left, and its rest is the next seed. What does not fill a
+   window moves on to the next shard; at the end of a task it is cut in lengths that are powers of two, which need no padding.
 
-Every task has whole documents' token counts and the tails of one shard in memory.
+Every task has whole documents' token counts and the tails of two shards in memory, and the frequencies of the vocabulary.
 
 Defined results: a null or empty text is the end id alone; rows that repeat an id are packed one by one; a null id stays
 null; an empty table gives no rows; ties of scores go to the earlier tail; other columns are neither read nor clash.
@@ -27,6 +28,8 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from qaloom.llm.common import stored
+
 WINDOW = 1024
 SHARD = 1024
 END = 0
@@ -174,10 +177,21 @@ class Tail:
         return len(self.ids) - self.at
 
 
+class Statistics:
+    """Number of documents, their mean length and the document frequency of every token (by id)."""
+
+    def __init__(self, n: int, mean: float, df: np.ndarray):
+        self.n, self.mean, self.df = n, mean, df
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        df = self.df[terms]
+        return np.log1p((self.n - df + 0.5) / (df + 0.5))
+
+
 class Index:
-    """Inverted index of one shard: token -> (tail, BM25 weight)."""
+    """Inverted index of some tails: token -> (tail, BM25 weight); without `statistics` the tails are all there is."""
 
-    def __init__(self, tails: list[Tail], k1: float = K1, b: float = B):
+    def __init__(self, tails: list[Tail], k1: float = K1, b: float = B, statistics: Statistics | None = None):
         n = len(tails)
         size = np.array([len(t.terms) for t in tails])
         terms, tf = np.concatenate([t.terms for t in tails]).astype(np.int64), np.concatenate([t.tf for t in tails]).astype(np.float64)
@@ -186,9 +200,10 @@ class Index:
         order = np.argsort(terms, kind="stable")
         self.terms, start, df = np.unique(terms[order], return_index=True, return_counts=True)
         self.bounds, self.who, self.n = np.append(start, len(terms)), who[order], n
-        self.stop = df > max(8, n // 2)  # tokens of most tails tell them apart little and have the longest lists
-        idf = np.repeat(np.log1p((n - df + 0.5) / (df + 0.5)), df)
-        norm = k1 * (1 - b + b * length / length.mean())
+        s = statistics or Statistics(n, length.mean(), np.bincount(self.terms, df))
+        self.stop = s.df[self.terms] > max(8, s.n // 2)  # tokens of most documents tell them apart little and have the longest lists
+        idf = np.repeat(s.idf(self.terms), df)
+        norm = k1 * (1 - b + b * length / s.mean)
         self.weight = idf * tf[order] * (k1 + 1) / (tf[order] + norm[self.who])
 
     def scores(self, terms: np.ndarray) -> np.ndarray:
@@ -199,17 +214,19 @@ class Index:
         return np.bincount(self.who[at], self.weight[at], minlength=self.n)
 
 
-def fill(tails: list[Tail], window: int) -> Iterator[list[tuple[Tail, int, int]]]:
-    """Full windows of (tail, from, to) over a shard; afterwards the tails hold what is left of them, together less than a
-    window."""
+def fill(tails: list[Tail], window: int, statistics: Statistics | None = None, seeds: int | None = None) -> Iterator[list[tuple[Tail, int, int]]]:
+    """Full windows of (tail, from, to) for the first `seeds` tails (all if None), filled from all; afterwards the tails hold what is
+    left of them: of the seeds nothing, or all together less than a window."""
     if not tails:
         return
-    index = Index(tails)
+    index = Index(tails, statistics=statistics)
     left = np.array([t.left() for t in tails])
     total, seed = int(left.sum()), 0
     while total >= window:
         while left[seed] == 0:
             seed += 1
+        if seeds is not None and seed >= seeds:
+            return
         gap, taken, current = window, [], seed
 
         def take(i: int, n: int) -> None:
@@ -258,9 +275,10 @@ def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[last], np.diff(last, prepend=-1)
 
 
-def signature(terms: np.ndarray, tf: np.ndarray) -> int:
-    """The token that weighs most in a document: frequent there, and rare in general (a late merge of the tokenizer)."""
-    return int(terms[np.argmax(tf / (tf + K1) * np.log1p(terms))])
+def signature(terms: np.ndarray, tf: np.ndarray, statistics: Statistics) -> list[int]:
+    """The three tokens that weigh most in a document, the heaviest first; -1 where there are fewer."""
+    weight = tf / (tf + K1) * statistics.idf(terms)
+    return ([int(t) for t in terms[np.lexsort((terms, -weight))[:3]]] + [-1, -1, -1])[:3]
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -293,6 +311,19 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         from qaloom.llm.common import chunks
 
         encoder, part, made = Encoder(model), TaskContext.get().partitionId(), 0
+        df, docs_seen, tokens_seen = np.zeros(1 << 16, dtype=np.int64), 0, 0
+
+        def add(terms: np.ndarray, size: int) -> None:
+            nonlocal df, docs_seen, tokens_seen
+            if terms[-1] >= len(df):
+                df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df) + len(df), dtype=np.int64))
+            df[terms] += 1
+            docs_seen += 1
+            tokens_seen += size
+
+        def none(n: int) -> list:
+            return [pa.nulls(n, pa.int64())] * 3
+
         for b in batches:
             names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for lo, hi in chunks([len(t) for t in texts], 4_000_000):
@@ -303,17 +334,40 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                     for at in range(0, whole, window):
                         piece = ids[at : at + window]
                         rows.append((name, at, window, _crc(piece), len(ids), (part << 32 | made) << 1, 0, show(piece)))
-                        tails.append((None, None, None, None))
+                        tails.append((None, None, None))
                         made += 1
                     if whole < len(ids):
                         terms, tf = counted(ids)
                         rows.append((name, whole, None, None, len(ids), None, None, ids[whole:].tobytes()))
-                        tails.append((signature(terms, tf), terms.tobytes(), tf.astype("<u4").tobytes(), encoder.kind.str))
-                columns = list(zip(*tails, strict=True)) if tails else [[], [], [], []]
+                        tails.append((terms.tobytes(), tf.astype("<u4").tobytes(), encoder.kind.str))
+                        add(terms, len(ids))
+                    else:
+                        add(np.unique(ids), len(ids))
+                columns = list(zip(*tails, strict=True)) if tails else [[], [], []]
                 yield pa.record_batch(
-                    [*_pieces(rows), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.string())],
-                    names=[*_COLUMNS, "near", "terms", "tf", "kind"],
+                    [*_pieces(rows), *none(len(rows)), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.string())],
+                    names=names_out,
                 )
+        seen = np.flatnonzero(df)
+        yield pa.record_batch(  # the task's share of the statistics: token, documents; and -1, documents, tokens
+            [
+                *[pa.nulls(len(seen) + 1, pa.int64())] * 7, pa.nulls(len(seen) + 1, pa.binary()),
+                pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], docs_seen)), pa.array(np.append(seen * 0, tokens_seen)),
+                pa.nulls(len(seen) + 1, pa.binary()), pa.nulls(len(seen) + 1, pa.binary()), pa.nulls(len(seen) + 1, pa.string()),
+            ],
+            names=names_out,
+        )
+
+    def sign(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            near = [
+                signature(np.frombuffer(t, k), np.frombuffer(f, "<u4"), held.value) if t is not None else [None] * 3
+                for t, f, k in zip(*(b.column(c).to_pylist() for c in ("terms", "tf", "kind")), strict=True)
+            ]
+            columns = list(zip(*near, strict=True)) if near else [[], [], []]
+            yield pa.record_batch([*b.columns, *[pa.array(c, pa.int64()) for c in columns]], names=[*b.schema.names, "near", "near2", "near3"])
 
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -331,8 +385,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             made += 1
             return rows
 
-        def filled() -> list[tuple]:
-            rows = [r for pieces in fill(waiting, window) for r in sequence(pieces)]
+        def filled(seeds: int | None = None) -> list[tuple]:
+            rows = [r for pieces in fill(waiting, window, held.value, seeds) for r in sequence(pieces)]
             waiting[:] = [t for t in waiting if t.left()]
             return rows
 
@@ -344,8 +398,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             tails = ready.filter(pc.is_null(ready.column("sequence_id")))
             for r in tails.to_pylist():
                 waiting.append(Tail(r["doc_id"], r["start"], r["doc_tokens"], np.frombuffer(r["ids"], r["kind"]), np.frombuffer(r["terms"], r["kind"]), np.frombuffer(r["tf"], "<u4")))
-                if len(waiting) >= shard:
-                    rows += filled()
+                if len(waiting) >= 2 * shard:
+                    rows += filled(shard)
             if rows:
                 yield pa.record_batch(_pieces(rows), names=_COLUMNS)
         rows = filled()
@@ -364,8 +418,19 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
         if rows:
             yield pa.record_batch(_pieces(rows), names=_COLUMNS)
 
-    found = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tokenize, _PIECE + ", near long, terms binary, tf binary, kind string")
-    dealt = found.repartition(F.xxhash64("doc_id", "start", "doc_tokens")).sortWithinPartitions("near", "doc_id", "start", "ids")
+    names_out = [*_COLUMNS, "token", "documents", "tokens", "terms", "tf", "kind"]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    found = stored(rows.mapInArrow(tokenize, _PIECE + ", token long, documents long, tokens long, terms binary, tf binary, kind string"), "tokenized")
+    sums = found.filter("token is not null").groupBy("token").agg(F.sum("documents").alias("documents"), F.sum("tokens").alias("tokens")).toArrow()  # a vocabulary at most
+    token, documents = sums.column("token").to_numpy(), sums.column("documents").to_numpy()
+    df = np.zeros(int(token.max(initial=0)) + 1, dtype=np.int64)
+    df[token[token >= 0]] = documents[token >= 0]
+    n = int(documents[token < 0].sum())
+    held = docs.sparkSession.sparkContext.broadcast(Statistics(n, sums.column("tokens").to_numpy().sum() / max(n, 1), df))
+    found = found.filter("token is null").drop("token", "documents", "tokens")
+    signed = found.mapInArrow(sign, found.withColumns({c: F.lit(None).cast("long") for c in ("near", "near2", "near3")}).schema)
+    order = ["near", "near2", "near3", "salt", "doc_id", "start"]
+    dealt = signed.withColumn("salt", F.xxhash64("doc_id", "start", "doc_tokens", "ids_crc32")).repartitionByRange(*order).sortWithinPartitions(*order, "ids")
     out = dealt.mapInArrow(place, _PIECE)
     return out if with_ids else out.drop("ids")
 

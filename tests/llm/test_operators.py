@@ -317,6 +317,37 @@ def test_packing_prefers_lexical_neighbours():
     assert [[t.doc_id for t, _, _ in s] for s in packing.fill(tails, 80)] == [[0, 2], [1, 3]]
 
 
+def test_packing_brings_near_copies_of_different_tasks_together(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        words = [f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{rng.randrange(100)}" for _ in range(100)]
+        rows += [(i, " ".join(words)), (1000 + i, " ".join([*words[:98], "other"]))]
+    held = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "6")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = got(packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False))
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
+    where = defaultdict(set)
+    for r in out:
+        where[r[0]].add(r[5])
+    tasks = {s >> 33 for s in set().union(*where.values())}
+    assert len(tasks) > 3 and sum(bool(where[i] & where[1000 + i]) for i in range(60)) > 40
+
+
+def test_packing_seeds_reach_the_next_shard_with_frequencies_of_all_rows():
+    def tail(i, terms):
+        return packing.Tail(i, 0, 40, np.full(40, i, dtype=np.uint16), np.array(terms, dtype=np.uint16), np.ones(len(terms), dtype=np.uint32))
+
+    df = np.full(10, 500)
+    df[9] = 2  # rare in all rows, as 1 and 2 are not
+    tails = [tail(0, [1, 2, 9]), tail(1, [1, 2, 5]), tail(2, [3, 4, 9]), tail(3, [5, 6, 7])]
+    assert [[t.doc_id for t, _, _ in s] for s in packing.fill(tails, 80, packing.Statistics(1000, 40.0, df), 1)] == [[0, 2]]
+
+
 def levenshtein(a, b):
     p = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
