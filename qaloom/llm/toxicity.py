@@ -1,6 +1,7 @@
 """Toxicity scores from a learned lexicon, matched with Levenshtein automata, and the context of what matches.
 
-1. Lexicon. Words that labelled texts of class 1 hold far more often than others (documents counted, equal texts once).
+1. Lexicon. Words that labelled texts of class 1 hold far more often than others (documents counted, equal texts once): their odds
+   are `LEAST_ODDS` or more, and a likelihood-ratio test lets about one word in by chance, however many words there are.
 2. Matching. The terms form a trie. A word's Levenshtein automaton is walked along the trie, so one walk finds all terms within
    one edit (two for terms of `LONG` letters or more, none for terms under four). Only words that become
    the same string as a term when each drops as many letters as there may be edits, as near ones must, are walked.
@@ -8,8 +9,8 @@
    quotation score, words of address lower it. Matches add their abuse share and their quotation share to separate features.
 4. A logistic regression over these features gives the score.
 
-Lexicon and regression are fitted on `SAMPLE` labelled rows at most, those with the smallest hashes of their id; all texts are
-scored whole.
+The lexicon is counted over all labelled rows and has every word that passes, digits and inner signs included. The regression is
+fitted on about `SAMPLE` labelled rows, those with the smallest hashes of their id; all texts are scored whole.
 
 Defined results: null and empty texts score what a text without matches scores; without labelled rows of both classes the score
 is the share of class 1 (0 without labels); null labels or ids are not learned from; several labels of one id count as their
@@ -27,7 +28,6 @@ from pyspark.sql import DataFrame, functions as F
 from qaloom.llm.common import fold, stored
 
 SAMPLE = 20_000
-LEXICON = 300
 LEAST_TEXTS = 5
 LEAST_ODDS = 8.0
 LONG = 8
@@ -201,19 +201,18 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
 
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """Terms and the logarithms of their odds from (text, y); at most LEXICON, so they may be collected."""
+    """Terms and the logarithms of their odds from (text, y); only words that pass the test are collected."""
 
     def words(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            out, ys = [], []
+            found: dict[str, list[int]] = {}
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found = {_EDGE.sub("", w) for w in (t or "").lower().split()}
-                found = [w for w in found if len(w) >= 3 and w.isalpha()]
-                out += found
-                ys += [y] * len(found)
-            yield pa.record_batch([pa.array(out, pa.string()), pa.array(ys, pa.int64())], names=["word", "y"])
+                for w in {_EDGE.sub("", w) for w in set((t or "").lower().split())} - {""}:
+                    found.setdefault(w, [0, 0])[1 - y] += 1
+            a, c = zip(*found.values(), strict=True) if found else ((), ())
+            yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["word", "a", "b"])
 
     once = train.groupBy(F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
     once = stored(once, "labelled-texts")
@@ -221,24 +220,29 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     if not n1 or n1 == n:
         return {}
     odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n - n1 + 1.0))
-    counts = once.mapInArrow(words, "word string, y long").groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
-    least = max(LEAST_TEXTS, 0.02 * n1)
-    top = counts.filter(F.col("a") >= least).withColumn("odds", odds).filter(F.col("odds") >= float(np.log(LEAST_ODDS))).orderBy(F.desc("a"), "word").limit(LEXICON)
-    return {r["word"]: r["odds"] for r in top.collect()}
-
-
-def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, folds: int, out_fold: int, sample: int = SAMPLE) -> DataFrame:
-    """(text, y) of at most `sample` labelled documents outside the held-out fold."""
+    counts = once.mapInArrow(words, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    counts = stored(counts.filter(F.col("a") >= LEAST_TEXTS), "toxic-words")
+    a, b, m, m1 = F.col("a"), F.col("b"), F.col("a") + F.col("b"), float(n1) / n
+    # twice the log-likelihood ratio of the word's own share of class 1 against that of all texts, and of the texts without the word
+    rest_a, rest = n1 - a, n - m
+    term = lambda k, of, share: F.when(k > 0, k * F.log(k / (of * share))).otherwise(0.0)
+    ratio = 2 * (term(a, m, m1) + term(b, m, 1 - m1) + term(rest_a, rest, m1) + term(rest - rest_a, rest, 1 - m1))
+    least = 2 * float(np.log(max(2, counts.count())))
+    return {r["word"]: r["odds"] for r in counts.filter(ratio >= least).withColumn("odds", odds).filter(F.col("odds") >= float(np.log(LEAST_ODDS))).collect()}
+
+
+def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, folds: int, out_fold: int) -> DataFrame:
+    """(text, y, rank) of all labelled documents outside the held-out fold; the rank is a hash of the id."""
     chosen = (
         labels.filter(F.col(label).isNotNull() & (fold(doc_id, folds) != out_fold))
         .groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.round(F.avg(label)).cast("long").alias("y"))
-        .orderBy(F.xxhash64("id"), "id").limit(sample)
     )
     rows = docs.filter(fold(doc_id, folds) != out_fold).select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    return rows.join(F.broadcast(chosen), "id").select("text", "y")  # at most `sample` rows of two numbers
+    return rows.join(chosen, "id").select("text", "y", F.xxhash64("id").alias("rank"))
 
 
-def train_model(train: DataFrame) -> tuple[Lexicon, np.ndarray]:
+def train_model(train: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon of all rows and the regression of those with the `sample` smallest ranks."""
     train = stored(train, "labelled")
     lexicon = Lexicon(learn_lexicon(train))
 
@@ -249,7 +253,9 @@ def train_model(train: DataFrame) -> tuple[Lexicon, np.ndarray]:
         for b in batches:
             yield pa.record_batch([pa.array([features(t or "", matches) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
 
-    got = train.mapInArrow(describe, "x array<double>, y long").toArrow()  # at most `sample` rows of FEATURES numbers
+    last = train.select("rank").orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
+    some = train.filter(F.col("rank") <= F.lit(last)).select("text", "y")
+    got = some.mapInArrow(describe, "x array<double>, y long").toArrow()  # about `sample` rows of FEATURES numbers
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
     y = np.array(got.column("y").to_pylist(), dtype=np.float64)
     if len(set(y.tolist())) < 2:

@@ -394,6 +394,16 @@ def test_toxicity(spark, none):
     assert {r["score"] for r in toxicity.score(docs, lexicon, weights).collect()} == {0.0}
 
 
+def test_toxicity_learns_rare_terms_and_terms_with_digits_from_all_labels(spark):
+    rng = random.Random(5)
+    plain = lambda: " ".join(f"w{rng.randrange(300)}x" for _ in range(30))
+    rows = [(plain() + (" stupid" if i % 3 == 0 else " fine") + (" raretermx sl4g-face" if i % 3 == 0 and i < 36 else ""), int(i % 3 == 0), i) for i in range(3000)]
+    train = spark.createDataFrame(rows, "text string, y long, rank long")
+    lexicon, _ = toxicity.train_model(train)
+    assert set(lexicon.weight) == {"stupid", "raretermx", "sl4g-face"}  # 12 of 1000 toxic texts hold the last two
+    assert set(toxicity.train_model(train.withColumn("rank", -F.col("rank")), sample=300)[0].weight) == set(lexicon.weight)
+
+
 def test_licenses(spark, docs, none):
     mit = licenses.TEMPLATES["MIT notice"]
     rows = [(1, "x " * 5000 + mit + " y" * 50), (2, "RELEASED under the mit License."), (3, "Released under the MIT"), (4, None), (5, " ".join(mit.split()[:47])), (6, "a " * 37 + " ".join(mit.split()[2:50]))]
