@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from qaloom.session import ensure_checkpoint_dir
 
@@ -31,6 +31,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, by: list[str], name: str) -> tuple[DataFrame, int]:
+    """`df` with the place of every row, from 0, in the order of `by`, and the number of rows.
+
+    A range partitioning on `by` sorts the rows; a row's number is its place inside its partition plus the rows of the
+    partitions before. The place where a row was read comes last in the order, so any number of equal rows is cut like others.
+    Both tables are written, so that numbers stay the same when tasks run again. Offsets are as many as partitions.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    flat = stored(df.withColumn("_read", F.monotonically_increasing_id()), "unnumbered")
+    keys = [F.col(f"`{c}`") for c in [*by, "_read"]]
+    ranged = flat.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_read")
+    ranged = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return rows.withColumn(name, place + F.col("_before")).drop("_part", "_before", "_at"), flat.count()
+
+
 def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive items that together hold about `limit` bytes (at least one item each)."""
     lo, total = 0, 0
