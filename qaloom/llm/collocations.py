@@ -8,9 +8,13 @@
    Burrows-Wheeler column before them and its LF mapping. Intervals of all phrases of one length are extended together, by turns one word
    to the left in the forward index and one word to the right in the backward index; the interval of the other index follows
    from the count of smaller neighbours. Every extension is a longer phrase with its count in the shard.
-4. Counts are summed over the shards and cut at `min_count`. Cuts, containment in longer phrases and ranks are joins over what is left.
+4. Lengths are counted one after the other. A shard sends its phrases of one length once, in packed lists by hash of the phrase; a list's
+   counts are summed over the shards and cut at `min_count`, and every shard gets the ones left of its own phrases back: a longer
+   phrase can only reach `min_count` where its first and its last words do, so others are not extended.
+5. Cuts, containment in longer phrases and ranks are joins over what is left.
 
-A shard sends every phrase once with its count, so frequent words and copies weigh no more than others. Ids are exact, nothing is hashed.
+A shard sends every phrase once with its count, so frequent words and copies weigh no more than others. Ids are exact: hashes only deal
+phrases to lists, whose number grows with the words (`PER_LIST`).
 
 Defined results: a null text is empty, a null language is `und` (one with a language of that name); ids, other columns and repeated
 rows: every row counts, no other column is read; phrases never cross pieces or documents; an empty table gives no rows.
@@ -24,10 +28,11 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from qaloom.llm.common import as_bytes, numbered, stored
+from qaloom.llm.common import as_bytes, mix, numbered, packed, stored, unpacked
 from qaloom.session import table
 
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
+PER_LIST = 1_000_000
 LONGEST = 3
 MIN_COUNT = 10
 TOP = 2000
@@ -57,9 +62,14 @@ def words_of(texts: list[bytes]):
         pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data[~gap])]
     ).dictionary_encode()
     ids = coded.indices.to_numpy().astype(np.uint32) + np.uint32(1)
-    piece = np.cumsum(_PIECE[data])[start]
+    piece = np.searchsorted(np.flatnonzero(_PIECE[data]), start)
     ends = np.flatnonzero(np.diff(piece, append=piece[-1] + 1))
-    return np.insert(ids, ends + 1, 0), coded.dictionary.cast(pa.large_string()).cast(pa.string()), np.bincount(ids)[1:]
+    counts = np.bincount(ids)[1:]
+    common = np.argsort(-counts, kind="stable")  # frequent words get small numbers, which pack well
+    number = np.empty(len(common) + 1, dtype=np.uint32)
+    number[common + 1] = np.arange(1, len(common) + 1)
+    words = coded.dictionary.take(pa.array(common)).cast(pa.large_string()).cast(pa.string())
+    return np.insert(number[ids], ends + 1, 0), words, counts[common]
 
 
 def shards_of(docs: DataFrame, text: str, lang: str, shard_bytes: int) -> DataFrame:
@@ -78,7 +88,7 @@ def shards_of(docs: DataFrame, text: str, lang: str, shard_bytes: int) -> DataFr
             size.pop(name)
             made += 1
             return pa.record_batch(
-                [pa.array([made - 1], pa.int64()), pa.array([name], pa.string()), pa.array([ids.tobytes()], pa.binary()),
+                [pa.array([made - 1], pa.int64()), pa.array([name], pa.string()), pa.array([packed(ids)], pa.binary()),
                  pa.ListArray.from_arrays([0, len(words)], words), pa.ListArray.from_arrays([0, len(counts)], pa.array(counts, pa.int64()))],
                 names=["shard", "lang", "ids", "words", "counts"],
             )
@@ -130,47 +140,145 @@ class Index:
         return owner, symbol[keep], n[keep], self.lf[at[order[new]]], new - first[owner]
 
 
-def phrases(s: np.ndarray, kinds: int, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(words, counts) of all phrases of 2, 3 .. `longest` symbols in `s`, which ends with 0; words has a row per phrase."""
+def coded(words: np.ndarray, kinds: int) -> np.ndarray:
+    """One number per row of words below `kinds`: equal for equal rows, in the order of the rows."""
+    code, top = words[:, 0].astype(np.int64), kinds
+    for j in range(1, words.shape[1]):
+        if top * kinds >= 2**62:
+            code = np.unique(code, return_inverse=True)[1]
+            top = len(code)
+        code = code * kinds + words[:, j]
+        top *= kinds
+    return code
+
+
+def phrases(s: np.ndarray, kinds: int, longest: int, known: dict[int, np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(words, counts) of the phrases of 2, 3 .. `longest` symbols in `s`, which ends with 0; words has a row per phrase.
+
+    `known` has, for a length, the rows that are extended; a longer phrase is left out if its first or last words are not among them.
+    """
+    known = known or {}
     forward, backward = Index(s, kinds, longest), Index(s[::-1], kinds, longest)
     count = np.bincount(s, minlength=kinds)
     start = np.cumsum(count) - count
     symbols = np.flatnonzero(count[1:]) + 1
     words, n, lo, back = symbols[:, None], count[symbols], start[symbols], start[symbols]
+
+    def among(some: np.ndarray) -> np.ndarray:
+        rows = known.get(some.shape[1])
+        if rows is None:
+            return np.ones(len(some), dtype=bool)
+        code = coded(np.concatenate([some, rows]), kinds)
+        return np.isin(code[: len(some)], code[len(some) :])
+
     for length in range(2, longest + 1):
         if length % 2 == 0:
             owner, symbol, n, lo, smaller = forward.extend(lo, n, kinds)
             back = back[owner] + smaller
             words = np.column_stack([symbol, words[owner]])
+            keep = among(words[:, :-1])
         else:
             owner, symbol, n, back, smaller = backward.extend(back, n, kinds)
             lo = lo[owner] + smaller
             words = np.column_stack([words[owner], symbol])
-        yield words, n
+            keep = among(words[:, 1:])
+        yield words[keep], n[keep]
+        keep &= among(words)
+        words, n, lo, back = words[keep], n[keep], lo[keep], back[keep]
+
+
+def _list(words: np.ndarray) -> bytes:
+    """Rows of words, in their order, as bytes."""
+    columns = words.T.astype(np.int64)
+    columns[0] = np.diff(columns[0], prepend=0)
+    return packed(columns.ravel())
 
 
-def shard_phrases(shards: DataFrame, longest: int) -> DataFrame:
-    """(w1 .. w<longest>, n) per shard (ids, known: places and ids of its known words); words behind the phrase are null."""
-    names = [f"w{i + 1}" for i in range(longest)]
+def _rows(data: bytes, length: int) -> np.ndarray:
+    columns = unpacked(data).reshape(length, -1)
+    columns[0] = np.cumsum(columns[0])
+    return columns.T
+
+
+def shard_phrases(shards: DataFrame, length: int, lists: int) -> DataFrame:
+    """(part, shard, words, n): a shard's phrases of `length` words in `lists` lists. shards: shard, ids, known (places and ids of the
+    words that count) and `of2` .. , the lists of its phrases of each smaller length that count."""
 
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            for i in range(b.num_rows):
-                s = np.frombuffer(b.column(0)[i].as_py(), dtype=np.uint32)
-                pairs = b.column(1)[i].values
+            for r in range(b.num_rows):
+                name, s, pairs = b.column(0)[r].as_py(), unpacked(b.column(1)[r].as_py()), b.column(2)[r].values
                 places, ids = (pairs.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
                 known = np.sort(ids)
                 local = np.zeros(int(s.max(initial=0)) + 1, dtype=np.int64)
                 local[places + 1] = np.searchsorted(known, ids) + 1
                 s = local[s]
                 s = np.append(s[(s > 0) | (np.append(0, s[:-1]) > 0)], 0)
-                for words, n in phrases(s, len(known) + 1, longest):
-                    columns = [pa.array(known[words[:, j] - 1]) if j < words.shape[1] else pa.nulls(len(n), pa.int64()) for j in range(longest)]
-                    yield from pa.Table.from_arrays([*columns, pa.array(n, pa.int64())], names=[*names, "n"]).to_batches(max_chunksize=50_000)
+                shorter = {
+                    m: np.searchsorted(known, np.concatenate([np.zeros((0, m), np.int64), *(_rows(x, m) for x in b.column(m + 1)[r].as_py() or ())])) + 1
+                    for m in range(2, length)
+                }
+                for words, n in phrases(s, len(known) + 1, length, shorter):
+                    pass
+                if not len(n):
+                    continue
+                order = np.argsort(coded(words, len(known) + 1))
+                words, n = known[words[order] - 1], n[order]
+                h = np.zeros(len(n), dtype=np.uint64)
+                for j in range(length):
+                    h = mix(h + words[:, j].astype(np.uint64))
+                part = (h % np.uint64(lists)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                part, words, n = part[order], words[order], n[order]
+                first = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+                spans = list(zip(first, [*first[1:], len(part)], strict=True))
+                columns = [part[first], [name] * len(first), [_list(words[lo:hi]) for lo, hi in spans], [packed(n[lo:hi]) for lo, hi in spans]]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["part", "shard", "words", "n"])
+
+    return shards.mapInArrow(count, "part long, shard long, words binary, n binary")
+
+
+def summed(lists: DataFrame, length: int, kinds: int, min_count: int) -> DataFrame:
+    """(shard, words, n): per part the phrases that reach `min_count` with their sums (shard is null), and for each shard the ones it has."""
+
+    def add(part):
+        import pandas as pd
+
+        sizes = []
+        words, n = [], []
+        for x, c in zip(part["words"], part["n"], strict=True):
+            words.append(_rows(x, length))
+            n.append(unpacked(c))
+            sizes.append(len(n[-1]))
+        words, n = np.concatenate(words), np.concatenate(n)
+        _, first, at = np.unique(coded(words, kinds), return_index=True, return_inverse=True)
+        total = np.bincount(at, n).astype(np.int64)
+        good = total >= min_count
+        out = [(None, _list(words[first[good]]), packed(total[good]))] if good.any() else []
+        lo = 0
+        for shard, size in zip(part["shard"], sizes, strict=True):
+            mine = words[lo : lo + size][good[at[lo : lo + size]]]
+            if len(mine):
+                out.append((shard, _list(mine), None))
+            lo += size
+        return pd.DataFrame(out, columns=["shard", "words", "n"]).astype({"shard": "Int64"})
+
+    return lists.groupBy("part").applyInPandas(add, "shard long, words binary, n binary")
+
+
+def _as_rows(sums: DataFrame, length: int) -> DataFrame:
+    def rows(batches: Iterator) -> Iterator:
+        import pyarrow as pa
 
-    return shards.mapInArrow(count, ", ".join(f"{c} long" for c in [*names, "n"]))
+        for b in batches:
+            for r in range(b.num_rows):
+                words, n = _rows(b.column(0)[r].as_py(), length), unpacked(b.column(1)[r].as_py())
+                g = pa.ListArray.from_arrays(np.arange(0, words.size + 1, length, dtype=np.int32), pa.array(np.ascontiguousarray(words).ravel()))
+                yield from pa.Table.from_arrays([g, pa.array(n)], names=["g", "a"]).to_batches(max_chunksize=50_000)
+
+    return sums.filter("shard IS NULL").select("words", "n").mapInArrow(rows, "g array<long>, a long")
 
 
 def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, min_count: int = MIN_COUNT, shard_bytes: int = SHARD_BYTES):
@@ -181,16 +289,19 @@ def phrase_counts(docs: DataFrame, text: str = "text", lang: str = "lang", longe
         "shard", "lang", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
     totals = shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda x, y: x + y)).alias("n")).filter("n > 0")
     frequent = vocabulary.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= min_count)
-    words = stored(numbered(frequent, ["lang", "word"], "id")[0], "words")
+    words, kinds = numbered(frequent, ["lang", "word"], "id")
+    words = stored(words, "words")
     known = vocabulary.join(words, ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("known"))
-    names = [f"w{i + 1}" for i in range(longest)]
-    found = (
-        shard_phrases(shards.select("shard", "ids").join(known, "shard").select("ids", "known"), longest)
-        .groupBy(*names).agg(F.sum("n").alias("a")).filter(F.col("a") >= min_count)
-        .select(F.array_compact(F.array(*names)).alias("g"), "a")
-    )
-    singles = words.select(F.array("id").alias("g"), F.col("f").alias("a"))
-    return stored(found.unionByName(singles), "phrases"), words, totals
+    rows = shards.select("shard", "ids").join(known, "shard")
+    lists = 1 + (words.agg(F.sum("f")).first()[0] or 0) // PER_LIST
+    found = words.select(F.array("id").alias("g"), F.col("f").alias("a"))
+    for length in range(2, longest + 1):
+        sums = stored(summed(shard_phrases(rows, length, lists), length, kinds, min_count), "sums")
+        found = found.unionByName(_as_rows(sums, length))
+        if length < longest:
+            back = sums.filter("shard IS NOT NULL").groupBy("shard").agg(F.collect_list("words").alias(f"of{length}"))
+            rows = rows.join(back, "shard")
+    return stored(found, "phrases"), words, totals
 
 
 def mine(

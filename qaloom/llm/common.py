@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +40,10 @@ def numbered(df: DataFrame, by: list[str], name: str) -> tuple[DataFrame, int]:
     Both tables are written, so that numbers stay the same when tasks run again. Offsets are as many as partitions.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    flat = stored(df.withColumn("_read", F.monotonically_increasing_id()), "unnumbered")
-    keys = [F.col(f"`{c}`") for c in [*by, "_read"]]
+    columns = df.columns
+    plain = df.toDF(*[f"c{i}" for i in range(len(columns))])
+    flat = stored(plain.withColumn("_read", F.monotonically_increasing_id()), "unnumbered")
+    keys = [*[f"c{columns.index(c)}" for c in by], "_read"]
     ranged = flat.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).drop("_read")
     ranged = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged")
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
@@ -48,7 +51,8 @@ def numbered(df: DataFrame, by: list[str], name: str) -> tuple[DataFrame, int]:
     before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     rows = ranged.withColumn("_part", part).join(F.broadcast(offsets), "_part")
-    return rows.withColumn(name, place + F.col("_before")).drop("_part", "_before", "_at"), flat.count()
+    numbers = (place + F.col("_before")).alias(name)
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c != name], numbers), flat.count()
 
 
 def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -71,6 +75,20 @@ def as_bytes(column) -> list[bytes]:
     return [v or b"" for v in column.cast(kind).to_pylist()]
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 (or their differences, modulo 2^64) as bytes: equal bytes of all numbers side by side, compressed."""
+    x = np.asarray(x).astype(np.uint64)
+    width = 4 if x.max(initial=0) < 2**32 else 8
+    planes = np.ascontiguousarray(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + zlib.compress(planes.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype(np.int64)
+
+
 # ---- hashes of byte strings: polynomials modulo 2^64 over random byte values, so that any substring costs one subtraction
 
 _BASE = 0x9E3779B97F4A7C15 | 1

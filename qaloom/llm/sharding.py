@@ -102,12 +102,13 @@ def write_shards(df: DataFrame, path: str, order: list[str], shards: int = SHARD
 
     Only the columns of `order` are sorted for the row numbers; the rest joins once, by the place where a row was read.
     """
-    held = stored(df.drop("shard", "slot").withColumn("_at", F.monotonically_increasing_id()), "unsharded")
-    keys = held.select("_at", *[F.col(f"`{c}`") for c in order if c not in ("shard", "slot")])
-    found = assign(keys, [*keys.columns[1:], "_at"], shards, seed).select("_at", "shard", "slot")
+    held = stored(df.withColumn("_read", F.monotonically_increasing_id()), "unsharded")
+    keys = held.select("_read", *[F.col(f"`{c}`") for c in order])
+    found = assign(keys, [*order, "_read"], shards, seed).select("_read", "shard", "slot")
+    held = held.drop("shard", "slot")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     (
-        held.join(found, "_at").drop("_at")
+        held.join(found, "_read").drop("_read")
         .repartitionByRange(max(n, shards), "shard", "slot").sortWithinPartitions("shard", "slot")
         .write.partitionBy("shard").parquet(path)
     )
