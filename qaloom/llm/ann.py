@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from qaloom.llm.common import stored
+from qaloom.llm.common import Shipped, stored
 
 SAMPLE = 8192
 PARTS = 32
@@ -174,7 +174,7 @@ def search(
     x = np.array(chosen.column("v").to_pylist(), dtype=np.float64) if len(chosen) else np.zeros((0, 1))
     router, visits = learn_partitions(x, parts, target=target)
     spark = rows.sparkSession
-    held = spark.sparkContext.broadcast(router)  # its size depends on `parts` and the length of a vector
+    held = Shipped(spark, router)  # its size depends on `parts` and the length of a vector
 
     def route(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from qaloom.session import ensure_checkpoint_dir
 
@@ -55,6 +58,17 @@ def numbered(df: DataFrame, by: list[str], name: str) -> tuple[DataFrame, int]:
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c != name], numbers), flat.count()
 
 
+class Shipped:
+    """A value that every task reads, as a broadcast of its bytes: its class travels with it, so tasks need no copy of the package."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @cached_property
+    def value(self):
+        return pickle.loads(self.held.value)
+
+
 def chunks(sizes: list[int], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive items that together hold about `limit` bytes (at least one item each)."""
     lo, total = 0, 0

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from qaloom.llm.common import Words, as_bytes, chunks, fold, mix, stored
+from qaloom.llm.common import Shipped, Words, as_bytes, chunks, fold, mix, stored
 
 HEAD = 1e-6
 BASE = 1.2
@@ -332,7 +332,7 @@ def _answered(blocks: DataFrame, table: Filter) -> DataFrame:
 
 def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of `docs`."""
-    held = docs.sparkSession.sparkContext.broadcast(model.head)
+    held = Shipped(docs.sparkSession, model.head)
     n, below = model.n, math.log10(model.n + 0.5 * (model.v + 1))
 
     def cut(batches: Iterator) -> Iterator:

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from qaloom.llm.common import stored
+from qaloom.llm.common import Shipped, chunks, stored
 
 WINDOW = 1024
 SHARD = 1024
@@ -308,8 +308,6 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     def tokenize(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        from qaloom.llm.common import chunks
-
         encoder, part, made = Encoder(model), TaskContext.get().partitionId(), 0
         df, docs_seen, tokens_seen = np.zeros(1 << 16, dtype=np.int64), 0, 0
 
@@ -426,7 +424,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     df = np.zeros(int(token.max(initial=0)) + 1, dtype=np.int64)
     df[token[token >= 0]] = documents[token >= 0]
     n = int(documents[token < 0].sum())
-    held = docs.sparkSession.sparkContext.broadcast(Statistics(n, sums.column("tokens").to_numpy().sum() / max(n, 1), df))
+    held = Shipped(docs.sparkSession, Statistics(n, sums.column("tokens").to_numpy().sum() / max(n, 1), df))
     found = found.filter("token is null").drop("token", "documents", "tokens")
     signed = found.mapInArrow(sign, found.withColumns({c: F.lit(None).cast("long") for c in ("near", "near2", "near3")}).schema)
     order = ["near", "near2", "near3", "salt", "doc_id", "start"]
