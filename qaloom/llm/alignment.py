@@ -53,11 +53,21 @@ class Tokenizers:
         pieces = sentencepiece.SentencePieceProcessor(model_proto=files[1])
         self.second = lambda texts: pieces.encode(texts, num_threads=1)
         self.b = [bytes([int(p[3:5], 16)]) if pieces.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(pieces.id_to_piece, range(pieces.get_piece_size())))]
+        fast = encoder.fast
+        self.whole = (lambda ids: b"".join(map(self.a.__getitem__, ids.tolist()))) if fast is None else lambda ids: fast.decode_bytes(ids)
         self.size = tuple(np.array([len(t) for t in side], dtype=np.int64) for side in (self.a, self.b))
         # what a token adds to the description of its document: its id and what follows it
         self.said = [f"{i}{after}".encode() for side, ends in ((self.a, ",|"), (self.b, ",;")) for i in range(len(side)) for after in ends]
 
 
+def _numbers(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ids, sorted, and the place of each id among them."""
+    found = np.flatnonzero(np.bincount(ids))
+    place = np.zeros(int(ids.max(initial=0)) + 1, dtype=np.int64)
+    place[found] = np.arange(len(found))
+    return found, place[ids]
+
+
 class Aligned:
     """Tokens of some texts: ids `a` and `b`, the text each belongs to, overlaps (i, j) and the group of each token."""
 
@@ -69,9 +79,9 @@ class Aligned:
         sides: tuple[list, list] = ([np.zeros(0, np.int64)] * n, [np.zeros(0, np.int64)] * n)
         for i, second in zip(some, t.second([texts[i] for i in some]) if some else []):
             whole = " " + texts[i]
-            first, raw = t.first(whole).tolist(), whole.encode()
-            if b"".join(map(t.b.__getitem__, second)) == raw == b"".join(map(t.a.__getitem__, first)):
-                sides[0][i], sides[1][i] = np.array(first, np.int64), np.array(second, np.int64)
+            first, raw = t.first(whole).astype(np.int64), whole.encode()
+            if b"".join(map(t.b.__getitem__, second)) == raw == t.whole(first):
+                sides[0][i], sides[1][i] = first, np.array(second, np.int64)
         (self.a, self.b), counts = map(np.concatenate, sides), [np.fromiter(map(len, s), np.int64, n) for s in sides]
         self.counts = counts
         self.text_a, self.text_b = (np.repeat(np.arange(n), c) for c in counts)
@@ -81,12 +91,13 @@ class Aligned:
         both = pd.concat([
             pd.merge_asof(left, right, on="at", by="text")[["i", "j"]], pd.merge_asof(right, left, on="at", by="text")[["i", "j"]]
         ]).to_numpy()
-        both = np.unique(both[:, 0] * max(len(self.b), 1) + both[:, 1])
+        both = np.sort(both[:, 0] * max(len(self.b), 1) + both[:, 1])
+        both = both[np.diff(both, prepend=-1) > 0]
         self.i, self.j = np.divmod(both, max(len(self.b), 1))
         closes = end_a[self.i] == end_b[self.j]
         self.last_a, self.last_b = self.i[closes], self.j[closes]
-        self.group_a = np.searchsorted(self.last_a, np.arange(len(self.a)))
-        self.group_b = np.searchsorted(self.last_b, np.arange(len(self.b)))
+        self.group_a, self.group_b = (
+            np.cumsum(np.bincount(last + 1, minlength=len(side) + 1))[: len(side)] for last, side in ((self.last_a, self.a), (self.last_b, self.b)))
         self.in_a, self.in_b = np.diff(self.last_a, prepend=-1), np.diff(self.last_b, prepend=-1)
         self.text_of_group = self.text_a[self.last_a]
 
@@ -96,16 +107,16 @@ class Aligned:
         first = (self.last_b - self.in_b + 1)[self.group_a]
         total = np.concatenate([[0], np.cumsum(each)])
         # a text's part of the key comes first, so that the distinct keys are sorted by text
-        ids = np.unique(self.a), np.unique(self.b)
-        code_a, code_b = np.searchsorted(ids[0], self.a), np.searchsorted(ids[1], self.b)
+        (ids_a, code_a), (ids_b, code_b) = _numbers(self.a), _numbers(self.b)
         key, n, lo = [], [], 0
         while lo < len(each):
             hi = max(lo + 1, int(np.searchsorted(total, total[lo] + SLICE, "right")) - 1)
             j = np.arange(total[hi] - total[lo]) + np.repeat(first[lo:hi] - total[lo:hi] + total[lo], each[lo:hi])
-            head = (self.text_a[lo:hi] * len(ids[0]) + code_a[lo:hi]) * len(ids[1])
-            k, c = np.unique(np.repeat(head, each[lo:hi]) + code_b[j], return_counts=True)
-            key.append(k)
-            n.append(c)
+            head = (self.text_a[lo:hi] * len(ids_a) + code_a[lo:hi]) * len(ids_b)
+            k = np.sort(np.repeat(head, each[lo:hi]) + code_b[j])
+            new = np.flatnonzero(np.diff(k, prepend=-1))
+            key.append(k[new])
+            n.append(np.diff(new, append=len(k)))
             lo = hi
         if not key:
             return (np.zeros(0, np.int64),) * 3
@@ -113,9 +124,9 @@ class Aligned:
         if len(key) > 1:
             k, at = np.unique(k, return_inverse=True)
             n = np.bincount(at, n).astype(np.int64)
-        head, b = np.divmod(k, len(ids[1]))
-        text, a = np.divmod(head, len(ids[0]))
-        return text, ids[0][a] * kinds + ids[1][b], n
+        head, b = np.divmod(k, len(ids_b))
+        text, a = np.divmod(head, len(ids_a))
+        return text, ids_a[a] * kinds + ids_b[b], n
 
     def described(self, t: Tokenizers) -> list[str]:
         """SHA-256 of each text's groups, written as `a1,a2|b1;a3|b2,b3`; '' without tokens."""
