@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 ROWS_PER_PART = 1_000_000
-SLICE = 65_536
+MOST_SLICES = 1024
 
 
 def hot_keys(df: DataFrame, on: list[str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
@@ -64,41 +67,109 @@ def lookup_join(
     return salted.join(repeated, [*on, "_part"], how).drop("_part")
 
 
-def ordinal(df: DataFrame, keys: list[str], seq: str, name: str = "seq", width: int = SLICE) -> DataFrame:
-    """Number the rows of each key from 1 in the order of `seq`, a unique integer within the key.
+def slices(df: DataFrame, keys: list[str], seq: str, rows_per_part: int = ROWS_PER_PART) -> tuple[DataFrame, bool]:
+    """`df` with `_slice`: the rows of a key with more than `rows_per_part` rows are cut into ranges of `seq` of about that size (at most
+    `MOST_SLICES` ranges), those of other keys are slice 0. The second value says whether any key is cut.
 
-    The order axis is cut into slices of `width` values, so a slice of one key has at most `width` rows however hot
-    the key is. Rows are numbered inside their slice; slice offsets come from a running sum over slice counts.
+    The ranges are quantiles of the key's own values, so it does not matter how far apart they lie. One number, the largest count of a
+    key, reaches the driver; null keys are a key like others. Rows with the same `seq` stay together.
     """
-    sliced = df.withColumn("_slice", F.expr(f"`{seq}` div {width}"))
-    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .select(*keys, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    hot = hot_keys(df, keys, rows_per_part)
+    most = hot.agg(F.max("_parts")).first()[0]
+    if most is None:
+        return df.withColumn("_slice", F.lit(0)), False
+    n = min(most, MOST_SLICES)
+    named = hot.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    cuts = (
+        df.join(named, same, "left_semi").groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+        .agg(F.percentile_approx(seq, [i / n for i in range(1, n)], 20 * n).alias("_cuts"))
     )
+    at = F.size(F.filter("_cuts", lambda c: c < F.col(seq)))
+    cut = df.join(cuts, same, "left").withColumn("_slice", F.when(F.col("_cuts").isNull(), 0).otherwise(at))
+    return cut.drop("_cuts", *[f"_k{i}" for i in range(len(keys))]), True
+
+
+def _carried(df: DataFrame, small: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """`df` with `value` of the rows of `small`, which has some slices of the hot keys."""
+    on = [*keys, "_slice"]
+    small = small.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on)], value)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(on)])
+    return df.join(small, same, "left").drop(*[f"_k{i}" for i in range(len(on))])
+
+
+def ordinal(df: DataFrame, keys: list[str], seq: str, name: str = "seq", rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Number the rows of each key from 1 in the order of `seq`, a unique integer within the key, however far its values lie apart.
+
+    Rows of a hot key are numbered inside ranges of `seq`; a range starts behind the counts of the ranges before it.
+    """
+    cut, any_hot = slices(df, keys, seq, rows_per_part)
     inside = W.partitionBy(*keys, "_slice").orderBy(seq)
-    return (
-        sliced.join(offsets, [*keys, "_slice"])
-        .withColumn(name, (F.row_number().over(inside) + F.col("_before")).cast("bigint"))
-        .drop("_slice", "_before")
-    )
+    number = F.row_number().over(inside).cast("bigint")
+    if not any_hot:
+        return cut.withColumn(name, number).drop("_slice")
+    before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    counts = cut.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn("_before", F.sum("_n").over(before)).filter("_slice > 0")
+    numbered = cut.withColumn(name, number)
+    return _carried(numbered, offsets, keys, "_before").withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_slice", "_before")
 
 
 def joined_text(
-    df: DataFrame, keys: list[str], seq: str, text: Column, sep: str, name: str = "text", width: int = SLICE
+    df: DataFrame, keys: list[str], seq: str, text: Column, sep: str, name: str = "text", rows_per_part: int = ROWS_PER_PART
 ) -> DataFrame:
-    """Ordered string join per key in two levels: slices of the order axis first, then the few slice texts."""
+    """Ordered string join per key; for hot keys in two levels, ranges of `seq` first and then the few range texts."""
     by_seq = lambda col: F.transform(F.array_sort(F.collect_list(F.struct(col, "_t"))), lambda x: x["_t"])
-    first = (
-        df.withColumn("_t", text)
-        .filter(F.col("_t").isNotNull())
-        .groupBy(*keys, F.expr(f"`{seq}` div {width}").alias("_slice"))
-        .agg(F.array_join(by_seq(F.col(seq)), sep).alias("_t"))
-    )
+    cut, any_hot = slices(df.withColumn("_t", text).filter(F.col("_t").isNotNull()), keys, seq, rows_per_part)
+    if not any_hot:
+        return cut.groupBy(*keys).agg(F.array_join(by_seq(F.col(seq)), sep).alias(name))
+    first = cut.groupBy(*keys, "_slice").agg(F.array_join(by_seq(F.col(seq)), sep).alias("_t"))
     return first.groupBy(*keys).agg(F.array_join(by_seq(F.col("_slice")), sep).alias(name))
 
 
+def asof(
+    facts: DataFrame, marks: DataFrame, on: list[str], at: str, since: str, values: list[str], row_id: list[str],
+    rows_per_part: int = ROWS_PER_PART,
+) -> DataFrame:
+    """`facts` with `values` of the last mark of the same key whose `since` is not after the fact's `at`; null where there is none.
+
+    Both sides are one sorted sequence per key, swept once for the last mark seen. The sequence of a hot key is cut into ranges of
+    time, each starts with the last mark of the ranges before it; a range that is still too large, because its times are equal, is
+    dealt over parts by `row_id` (a unique id of a fact), with its marks in every part. Marks of one moment: the largest values
+    win. Facts with a null key or time find nothing.
+    """
+    # named apart, so that columns of the two sides can't clash
+    mark = F.struct(*[F.col(c).alias(f"v{i}") for i, c in enumerate(values)])
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    keys = [f"_on{i}" for i in range(len(on))]
+    key_of = [F.col(c).alias(k) for c, k in zip(on, keys, strict=True)]
+    good = reduce(and_, [F.col(c).isNotNull() for c in [*on, since]])
+    right = marks.filter(good).select(*key_of, micros(since).alias("_t"), mark.alias("_mark"))
+    left = facts.select(*key_of, micros(at).alias("_t"), F.xxhash64(*row_id).alias("_salt"), F.struct(*facts.columns).alias("_row"))
+    none = right.select("_mark").schema["_mark"].dataType
+    both = left.withColumn("_mark", F.lit(None).cast(none)).unionByName(
+        right.withColumns({"_salt": F.lit(None).cast("bigint"), "_row": F.lit(None).cast(left.schema["_row"].dataType)}))
+    cut, any_hot = slices(both, keys, "_t", rows_per_part)
+    sweep_keys = [*keys, "_slice"]
+    if any_hot:
+        parts = hot_keys(cut, sweep_keys, 2 * rows_per_part)
+        cut = _carried(cut, parts, keys, "_parts").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        place = F.when(F.col("_row").isNull(), F.sequence(F.lit(0), F.col("_parts") - 1)).otherwise(F.array(F.pmod("_salt", F.col("_parts")).cast("int")))
+        cut = cut.withColumn("_part", F.explode(place)).drop("_parts")
+        sweep_keys.append("_part")
+    sweep = W.partitionBy(*sweep_keys).orderBy("_t", F.col("_row").isNotNull(), "_mark").rowsBetween(W.unboundedPreceding, W.currentRow)
+    swept = cut.withColumn("_last", F.last("_mark", ignorenulls=True).over(sweep)).filter(F.col("_row").isNotNull())
+    if any_hot:
+        ends = cut.filter("_row is null").groupBy(*keys, "_slice").agg(F.max(F.struct("_t", "_mark")).alias("_end"))
+        # the last mark before each range, also for ranges that hold no mark themselves
+        ranges = cut.groupBy(*keys, "_slice").agg(F.lit(1).alias("_any")).join(ends, [*keys, "_slice"], "left")
+        before = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+        starts = ranges.withColumn("_start", F.last("_end", ignorenulls=True).over(before)["_mark"]).filter("_slice > 0")
+        swept = _carried(swept, starts, keys, "_start").withColumn("_last", F.coalesce("_last", "_start"))
+    found = F.when(reduce(and_, [F.col(k).isNotNull() for k in keys]), F.col("_last"))
+    return swept.withColumn("_last", found).select("_row.*", *[F.col("_last")[f"v{i}"].alias(c) for i, c in enumerate(values)])
+
+
 def first_n(df: DataFrame, key: list[str], order: list, n: int = 1) -> DataFrame:
     """The first n rows per key. Spark applies the rank limit on both sides of the shuffle, so a hot key is cut to n
     rows per input partition before it moves."""
