@@ -2,46 +2,64 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from qaloom.functions import templates as t
 from qaloom.functions.text import blank, key_path, render, strip
-from qaloom.operators.skew import first_n, joined_text, lookup_join, ordinal
+from qaloom.operators.skew import asof, first_n, joined_text, lookup_join, ordinal
+
+ATTEMPT = ["run_id", "attempt"]
+
+
+# --- messages to attempts ----------------------------------------------------------------------------------------
+
+
+def of_attempts(messages: DataFrame, attempts: DataFrame, at: str = "ts", started: str = "started_at") -> DataFrame:
+    """Messages with the attempt of their run that was under way: the last one started when the message came.
+
+    messages: run_id, event_id (unique) and a time; attempts: run_id, attempt, started_at. Messages from before the first
+    attempt, and of runs without attempts, have a null attempt and stay apart from the lists of attempts.
+    """
+    return asof(messages.drop("attempt"), attempts, ["run_id"], at, started, ["attempt"], ["event_id"])
 
 
 # --- console -----------------------------------------------------------------------------------------------------
+#
+# messages: run_id, attempt, event_id (arrival number), msg_type, msg. `by` says what a list belongs to.
 
 
 def bucket(msg_type: Column) -> Column:
     return F.when(msg_type == "error", "errors").when(msg_type == "warning", "warnings").otherwise("logs")
 
 
-def console_buckets(messages: DataFrame) -> DataFrame:
-    """Message counts per run. messages: run_id, event_id (arrival number), msg_type, msg."""
+def console_buckets(messages: DataFrame, by: list[str] = ATTEMPT) -> DataFrame:
+    """Message counts per attempt."""
     b = bucket(F.col("msg_type"))
-    return messages.groupBy("run_id").agg(*[F.count_if(b == n).alias(n) for n in ("errors", "warnings", "logs")])
+    return messages.groupBy(*by).agg(*[F.count_if(b == n).alias(n) for n in ("errors", "warnings", "logs")])
 
 
-def console_lines(messages: DataFrame) -> DataFrame:
-    """The ordered list of every bucket as rows: run_id, bucket, seq, msg. Lists are kept as rows because a run may
+def console_lines(messages: DataFrame, by: list[str] = ATTEMPT) -> DataFrame:
+    """The ordered list of every bucket as rows: run_id, attempt, bucket, seq, msg. Lists are kept as rows because an attempt may
     hold any number of messages."""
-    rows = messages.select("run_id", bucket(F.col("msg_type")).alias("bucket"), "event_id", "msg")
-    return ordinal(rows, ["run_id", "bucket"], "event_id").select("run_id", "bucket", "seq", "msg")
+    rows = messages.select(*by, bucket(F.col("msg_type")).alias("bucket"), "event_id", "msg")
+    return ordinal(rows, [*by, "bucket"], "event_id").select(*by, "bucket", "seq", "msg")
 
 
-def first_errors(messages: DataFrame, n: int = 3) -> DataFrame:
-    """The first n console errors of each run and the number left out. The rank filter cuts every input partition
-    to n rows per run before the shuffle."""
+def first_errors(messages: DataFrame, n: int = 3, by: list[str] = ATTEMPT) -> DataFrame:
+    """The first n console errors of each attempt and the number left out. The rank filter cuts every input partition
+    to n rows per attempt before the shuffle."""
     errors = messages.filter(F.col("msg_type") == "error")
-    counts = errors.groupBy("run_id").agg(F.count(F.lit(1)).alias("errors"))
+    counts = errors.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(F.count(F.lit(1)).alias("errors"))
     first = (
-        first_n(errors.select("run_id", "event_id", "msg"), ["run_id"], ["event_id"], n)
-        .groupBy("run_id")
+        first_n(errors.select(*by, "event_id", "msg"), by, ["event_id"], n)
+        .groupBy(*by)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "msg"))), lambda x: x["msg"]).alias("first"))
     )
-    return counts.join(first, "run_id").select(
-        "run_id", "errors", "first", F.greatest(F.col("errors") - n, F.lit(0).cast("bigint")).alias("more")
-    )
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by])
+    return first.join(counts, same).select(*by, "errors", "first", F.greatest(F.col("errors") - n, F.lit(0).cast("bigint")).alias("more"))
 
 
 def console_text() -> Column:
@@ -53,30 +71,30 @@ def console_text() -> Column:
     )
 
 
-def console_top(messages: DataFrame, n: int = 3) -> DataFrame:
-    return first_errors(messages, n).select(
-        "run_id", "errors", F.array_join("first", "\n").alias("first3"), "more", console_text().alias("text")
+def console_top(messages: DataFrame, n: int = 3, by: list[str] = ATTEMPT) -> DataFrame:
+    return first_errors(messages, n, by).select(
+        *by, "errors", F.array_join("first", "\n").alias("first3"), "more", console_text().alias("text")
     )
 
 
-def error_lines(messages: DataFrame) -> DataFrame:
-    """All console errors of a run as one '- ' list, built in two levels."""
+def error_lines(messages: DataFrame, by: list[str] = ATTEMPT) -> DataFrame:
+    """All console errors of an attempt as one '- ' list, built in two levels where an attempt has very many."""
     errors = messages.filter(F.col("msg_type") == "error")
-    return joined_text(errors, ["run_id"], "event_id", F.concat(F.lit("- "), F.col("msg")), "\n", "console_errors")
+    return joined_text(errors, by, "event_id", F.concat(F.lit("- "), F.col("msg")), "\n", "console_errors")
 
 
 # --- failed requests ---------------------------------------------------------------------------------------------
 
 
-def failed_requests(requests: DataFrame) -> DataFrame:
-    """Ordered failed requests with the message cut to 200 characters. requests: run_id, event_id, url, failure."""
+def failed_requests(requests: DataFrame, by: list[str] = ATTEMPT) -> DataFrame:
+    """Ordered failed requests with the message cut to 200 characters. requests: run_id, attempt, event_id, url, failure."""
     text = F.substring(F.when(blank(F.col("failure")), "Unknown").otherwise(F.col("failure")), 1, 200)
-    rows = requests.select("run_id", "event_id", "url", text.alias("failure"))
-    return ordinal(rows, ["run_id"], "event_id").select("run_id", "seq", "url", "failure")
+    rows = requests.select(*by, "event_id", "url", text.alias("failure"))
+    return ordinal(rows, by, "event_id").select(*by, "seq", "url", "failure")
 
 
-def failed_request_counts(requests: DataFrame) -> DataFrame:
-    return requests.groupBy("run_id").agg(F.count(F.lit(1)).alias("failed_requests"))
+def failed_request_counts(requests: DataFrame, by: list[str] = ATTEMPT) -> DataFrame:
+    return requests.groupBy(*by).agg(F.count(F.lit(1)).alias("failed_requests"))
 
 
 # --- error classes -----------------------------------------------------------------------------------------------
@@ -133,10 +151,10 @@ def classify_errors(attempts: DataFrame) -> DataFrame:
     })
 
 
-def error_contexts(attempts: DataFrame, logs: DataFrame, requests: DataFrame) -> DataFrame:
+def error_contexts(attempts: DataFrame, logs: DataFrame, requests: DataFrame, by: list[str] = ATTEMPT) -> DataFrame:
     """Add error_context and console_text to attempts with url, and page_size and traceback where known.
 
-    logs: `first_errors` of the console messages; requests: `failed_request_counts`. Both have one row per run.
+    logs: `first_errors` of the console messages; requests: `failed_request_counts`. Both have one row per attempt (`by`).
     """
     have = set(attempts.columns)
     opt = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
@@ -161,8 +179,8 @@ def error_contexts(attempts: DataFrame, logs: DataFrame, requests: DataFrame) ->
             traceback=F.right(F.coalesce(opt("traceback"), F.lit("")), F.lit(500)))),
     )
     return (
-        attempts.join(logs, "run_id", "left")
-        .join(requests, "run_id", "left")
+        attempts.join(logs, by, "left")
+        .join(requests, by, "left")
         .withColumns({"error_context": context, "console_text": console_text()})
         .drop("errors", "first", "more", "failed_requests")
     )

@@ -68,8 +68,11 @@ def should_retry(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, unique:
     )
 
 
-def retry_context(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, unique: bool = False) -> DataFrame:
-    """Add what the previous attempt left behind: number, error, error context, screenshot and DOM keys."""
+def retry_context(
+    attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, unique: bool = False, console_errors: DataFrame | None = None
+) -> DataFrame:
+    """Add what the previous attempt left behind: number, error, error context, screenshot and DOM keys, and its own console
+    errors where `console_errors` (run_id, attempt, console_errors: see `execution.error_lines`) is given."""
     carried = {
         "previous_error": "error", "previous_error_context": "error_context",
         "previous_screenshot": "screenshot_s3_path", "previous_dom": "dom_s3_path",
@@ -79,7 +82,11 @@ def retry_context(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS, unique:
     cols = {"attempt_number": F.lag("attempt").over(w), "is_retry": F.col("attempt") > 1}
     for name, src in carried.items():
         cols[name] = F.lag(src).over(w) if src in eff.columns else F.lit(None).cast("string")
-    return eff.withColumns(cols)
+    rows = eff.withColumns(cols)
+    if console_errors is None:
+        return rows
+    # the text joins by the number of the attempt before; it is not carried through the window
+    return rows.join(console_errors.select("run_id", F.col("attempt").alias("attempt_number"), "console_errors"), ["run_id", "attempt_number"], "left")
 
 
 def route(first_results: DataFrame) -> DataFrame:

@@ -5,65 +5,84 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from qaloom.functions import templates as t
-from qaloom.operators import execution, prompts, runs
+from qaloom.operators import dom, execution, prompts, runs
+from qaloom.operators.skew import asof, lookup_join, widen
 from qaloom.plans.documents import CONTEXT_CTES, context_block
+from qaloom.plans.pages import DOM_MAP, PAGE
 from qaloom.plans.registry import filled, query, quoted
 from qaloom.plans.views import view, with_views
+from qaloom.session import spread
 
-# --- console and network -----------------------------------------------------------------------------------------
+# --- messages of attempts ----------------------------------------------------------------------------------------
+
+OF_ATTEMPTS = """
+console AS (SELECT m.*, a.attempt FROM fx_console m ASOF LEFT JOIN fx_attempts a ON m.run_id = a.run_id AND m.ts >= a.started_at),
+requests AS (SELECT m.*, a.attempt FROM fx_requests m ASOF LEFT JOIN fx_attempts a ON m.run_id = a.run_id AND m.ts >= a.started_at)"""
+
+
+def messages(spark, d, name="fx_console"):
+    """Messages with the attempt that was under way when they came."""
+    return execution.of_attempts(view(spark, d, name), view(spark, d, "fx_attempts"))
+
+
+@query("message_attempts", with_views("SELECT event_id, run_id, attempt, msg_type FROM console", OF_ATTEMPTS))
+def message_attempts(spark, d):
+    return messages(spark, d).select("event_id", "run_id", "attempt", "msg_type")
 
 
 @query("console_buckets", with_views("""
-SELECT run_id, count(*) FILTER (msg_type = 'error') AS errors, count(*) FILTER (msg_type = 'warning') AS warnings,
-  count(*) FILTER (msg_type NOT IN ('error', 'warning')) AS logs FROM fx_console GROUP BY run_id"""))
+SELECT run_id, attempt, count(*) FILTER (msg_type = 'error') AS errors, count(*) FILTER (msg_type = 'warning') AS warnings,
+  count(*) FILTER (msg_type NOT IN ('error', 'warning')) AS logs FROM console GROUP BY run_id, attempt""", OF_ATTEMPTS))
 def console_buckets(spark, d):
-    return execution.console_buckets(view(spark, d, "fx_console"))
+    return execution.console_buckets(messages(spark, d))
 
 
 @query("console_lines", with_views("""
-SELECT run_id, bucket, row_number() OVER (PARTITION BY run_id, bucket ORDER BY event_id) AS seq, msg
-FROM (SELECT *, CASE msg_type WHEN 'error' THEN 'errors' WHEN 'warning' THEN 'warnings' ELSE 'logs' END AS bucket FROM fx_console)"""))
+SELECT run_id, attempt, bucket, row_number() OVER (PARTITION BY run_id, attempt, bucket ORDER BY event_id) AS seq, msg
+FROM (SELECT *, CASE msg_type WHEN 'error' THEN 'errors' WHEN 'warning' THEN 'warnings' ELSE 'logs' END AS bucket FROM console)""", OF_ATTEMPTS))
 def console_lines(spark, d):
-    return execution.console_lines(view(spark, d, "fx_console"))
+    return execution.console_lines(messages(spark, d))
 
 
-_FIRST = """
-e AS (SELECT run_id, msg, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY run_id) AS errors
-  FROM fx_console WHERE msg_type = 'error')"""
+TOP = """
+e AS (SELECT run_id, attempt, msg, row_number() OVER w AS n, count(*) OVER (PARTITION BY run_id, attempt) AS errors
+  FROM console WHERE msg_type = 'error' WINDOW w AS (PARTITION BY run_id, attempt ORDER BY event_id)),
+top AS (SELECT run_id, attempt, errors, first3, concat('Console Errors (', CAST(errors AS VARCHAR), '):', chr(10), bullets,
+    CASE WHEN errors > 3 THEN concat(chr(10), '... and ', CAST(errors - 3 AS VARCHAR), ' more') ELSE '' END) AS text
+  FROM (SELECT run_id, attempt, errors, string_agg(msg, chr(10) ORDER BY n) AS first3, string_agg(concat('• ', msg), chr(10) ORDER BY n) AS bullets
+    FROM e WHERE n <= 3 GROUP BY run_id, attempt, errors))"""
 
 
-@query("console_top3", with_views("""
-SELECT run_id, errors, first3, greatest(errors - 3, 0) AS more,
-  concat('Console Errors (', CAST(errors AS VARCHAR), '):', chr(10), bullets,
-    CASE WHEN errors > 3 THEN concat(chr(10), '... and ', CAST(errors - 3 AS VARCHAR), ' more') ELSE '' END) AS text
-FROM (SELECT run_id, errors, string_agg(msg, chr(10) ORDER BY n) AS first3, string_agg(concat('• ', msg), chr(10) ORDER BY n) AS bullets
-  FROM e WHERE n <= 3 GROUP BY run_id, errors)""", _FIRST))
+@query("console_top3", with_views("SELECT run_id, attempt, errors, first3, greatest(errors - 3, 0) AS more, text FROM top", OF_ATTEMPTS + "," + TOP))
 def console_top3(spark, d):
-    return execution.console_top(view(spark, d, "fx_console"))
+    return execution.console_top(messages(spark, d))
+
 
+_ERROR_TEXT = """
+console_text AS (SELECT run_id, attempt, string_agg(concat('- ', msg), chr(10) ORDER BY event_id) AS console_errors
+  FROM console WHERE msg_type = 'error' GROUP BY run_id, attempt)"""
 
-@query("console_error_text", with_views("""
-SELECT run_id, string_agg(concat('- ', msg), chr(10) ORDER BY event_id) AS console_errors
-FROM fx_console WHERE msg_type = 'error' GROUP BY run_id"""))
+
+@query("console_error_text", with_views("SELECT * FROM console_text", OF_ATTEMPTS + "," + _ERROR_TEXT))
 def console_error_text(spark, d):
-    return execution.error_lines(view(spark, d, "fx_console"))
+    return execution.error_lines(messages(spark, d))
 
 
 @query("failed_requests", with_views("""
-SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS seq, url,
-  substr(CASE WHEN coalesce(failure, '') = '' THEN 'Unknown' ELSE failure END, 1, 200) AS failure FROM fx_requests"""))
+SELECT run_id, attempt, row_number() OVER (PARTITION BY run_id, attempt ORDER BY event_id) AS seq, url,
+  substr(CASE WHEN coalesce(failure, '') = '' THEN 'Unknown' ELSE failure END, 1, 200) AS failure FROM requests""", OF_ATTEMPTS))
 def failed_requests(spark, d):
-    return execution.failed_requests(view(spark, d, "fx_requests"))
+    return execution.failed_requests(messages(spark, d, "fx_requests"))
 
 
-@query("failed_request_counts", with_views("SELECT run_id, count(*) AS failed_requests FROM fx_requests GROUP BY run_id"))
+@query("failed_request_counts", with_views("SELECT run_id, attempt, count(*) AS failed_requests FROM requests GROUP BY run_id, attempt", OF_ATTEMPTS))
 def failed_request_counts(spark, d):
-    return execution.failed_request_counts(view(spark, d, "fx_requests"))
+    return execution.failed_request_counts(messages(spark, d, "fx_requests"))
 
 
 # --- errors ------------------------------------------------------------------------------------------------------
 
-CLASSIFIED = f"""
+CLASSIFIED = OF_ATTEMPTS + f""",
 classified AS (SELECT *, CASE
     WHEN exc_class = 'nav_timeout' THEN 'Navigation timeout: page did not load within 30000ms'
     WHEN exc_class = 'TimeoutError' AND contains(lower(raw_error), 'waiting for') THEN concat(
@@ -76,10 +95,8 @@ classified AS (SELECT *, CASE
   CASE WHEN exc_class NOT IN ('nav_timeout', 'TimeoutError', 'AssertionError', 'crash') THEN exc_class END AS error_type,
   CASE WHEN passed THEN 'passed' ELSE 'failed' END AS status
   FROM fx_attempts),
-side AS (SELECT run_id, count(*) FILTER (msg_type = 'error') AS errors, min(CASE WHEN msg_type = 'error' THEN event_id END) AS first_id
-  FROM fx_console GROUP BY run_id),
-firsts AS (SELECT s.run_id, s.errors, c.msg FROM side s LEFT JOIN fx_console c ON c.event_id = s.first_id),
-reqs AS (SELECT run_id, count(*) AS n FROM fx_requests GROUP BY run_id),
+firsts AS (SELECT run_id, attempt, count(*) AS errors, arg_min(msg, event_id) AS msg FROM console WHERE msg_type = 'error' GROUP BY run_id, attempt),
+reqs AS (SELECT run_id, attempt, count(*) AS n FROM requests GROUP BY run_id, attempt),
 explained AS (SELECT a.*, CASE
     WHEN exc_class = 'nav_timeout' THEN {filled(t.NAVIGATION_CONTEXT, url="r.url")}
     WHEN exc_class = 'TimeoutError' THEN {filled(t.TIMEOUT_CONTEXT, url="r.url", page_size="0", errors="coalesce(f.errors, 0)",
@@ -88,7 +105,7 @@ explained AS (SELECT a.*, CASE
     WHEN exc_class = 'crash' THEN {filled(t.CRASH_CONTEXT, message="raw_error", traceback="''")}
     WHEN contains(lower(raw_error), 'strict mode') THEN {filled(t.STRICT_CONTEXT, message="substr(raw_error, 1, 300)")}
     WHEN exc_class IS NOT NULL THEN {filled(t.GENERIC_CONTEXT, error_type="exc_class", message="raw_error", traceback="''")} END AS error_context
-  FROM classified a LEFT JOIN fx_runs r USING (run_id) LEFT JOIN firsts f USING (run_id) LEFT JOIN reqs q USING (run_id)),
+  FROM classified a LEFT JOIN fx_runs r USING (run_id) LEFT JOIN firsts f USING (run_id, attempt) LEFT JOIN reqs q USING (run_id, attempt)),
 eff AS (SELECT * FROM (SELECT *, max(CASE WHEN passed OR pipeline_error IS NOT NULL THEN 1 ELSE 0 END) OVER (
     PARTITION BY run_id ORDER BY attempt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stopped FROM explained WHERE attempt <= 3)
   WHERE coalesce(stopped, 0) = 0)"""
@@ -105,8 +122,8 @@ def with_run(spark, d, attempts):
 
 def explained(spark, d, attempts):
     """attempts with url, plus error texts and the console part of a report."""
-    logs = execution.first_errors(view(spark, d, "fx_console"))
-    requests = execution.failed_request_counts(view(spark, d, "fx_requests"))
+    logs = execution.first_errors(messages(spark, d))
+    requests = execution.failed_request_counts(messages(spark, d, "fx_requests"))
     return execution.error_contexts(execution.classify_errors(attempts), logs, requests)
 
 
@@ -185,20 +202,23 @@ def artifact_keys(spark, d):
 _RETRY = _ARTIFACTS + """,
 carried AS (SELECT k.*, attempt > 1 AS is_retry, lag(attempt) OVER w AS attempt_number, lag(error) OVER w AS previous_error,
   lag(error_context) OVER w AS previous_error_context, lag(screenshot_s3_path) OVER w AS previous_screenshot,
-  lag(dom_s3_path) OVER w AS previous_dom FROM keyed k WINDOW w AS (PARTITION BY run_id ORDER BY attempt))"""
+  lag(dom_s3_path) OVER w AS previous_dom FROM keyed k WINDOW w AS (PARTITION BY run_id ORDER BY attempt)),""" + _ERROR_TEXT + """,
+retried AS (SELECT c.*, t.console_errors FROM carried c LEFT JOIN console_text t ON t.run_id = c.run_id AND t.attempt = c.attempt_number)"""
 
 
 def carried(spark, d):
-    return runs.retry_context(with_artifacts(explained(spark, d, with_run(spark, d, effective(spark, d)))), unique=True)
+    return runs.retry_context(
+        with_artifacts(explained(spark, d, with_run(spark, d, effective(spark, d)))), unique=True,
+        console_errors=execution.error_lines(messages(spark, d)))
 
 
 @query("retry_context", with_views("""
-SELECT run_id, attempt, is_retry, attempt_number, previous_error, previous_error_context, previous_screenshot, previous_dom
-FROM carried""", CLASSIFIED + "," + _RETRY))
+SELECT run_id, attempt, is_retry, attempt_number, previous_error, previous_error_context, previous_screenshot, previous_dom, console_errors
+FROM retried""", CLASSIFIED + "," + _RETRY))
 def retry_context(spark, d):
     return carried(spark, d).select(
         "run_id", "attempt", "is_retry", "attempt_number", "previous_error", "previous_error_context",
-        "previous_screenshot", "previous_dom")
+        "previous_screenshot", "previous_dom", "console_errors")
 
 
 @query("route", with_views("""
@@ -255,32 +275,57 @@ def illegal_jumps(spark, d):
 # --- prompts and scripts -----------------------------------------------------------------------------------------
 
 
+# the page of an attempt: the last capture of the run's host before the attempt began
+_PAGES = PAGE.replace("fx_captures", "fx_visits") + f""",
+maps AS ({DOM_MAP}),
+seen AS (SELECT page_id, host, captured_at, CASE WHEN v.error IS NOT NULL THEN concat('ERROR: Could not visit ', v.url, ': ', v.error) ELSE m.dom_map END AS page_structure,
+  CASE WHEN v.error IS NOT NULL THEN 'Error' ELSE coalesce(t.title, '') END AS page_title,
+  CASE WHEN v.error IS NOT NULL THEN 1920 ELSE 1280 END AS width, CASE WHEN v.error IS NOT NULL THEN 1080 ELSE 720 END AS height
+  FROM fx_visits v LEFT JOIN titles t USING (page_id) LEFT JOIN maps m USING (page_id)),
+newest AS (SELECT * FROM seen QUALIFY row_number() OVER (PARTITION BY host, captured_at ORDER BY page_id DESC) = 1),
+paged AS (SELECT a.run_id, a.attempt, p.page_id, p.page_structure, p.page_title, p.width, p.height
+  FROM (SELECT e.run_id, e.attempt, e.started_at, split_part(split_part(r.url, '://', -1), '/', 1) AS host FROM eff e JOIN fx_runs r USING (run_id)) a
+  ASOF LEFT JOIN newest p ON p.host = a.host AND a.started_at >= p.captured_at)"""
+
+
+def attempt_pages(spark, d):
+    """Effective attempts with what the last capture of their host showed: page_id, page_structure, page_title, width, height."""
+    hosts = view(spark, d, "fx_runs").select("run_id", F.split_part(F.split_part("url", F.lit("://"), F.lit(-1)), F.lit("/"), F.lit(1)).alias("host"))
+    attempts = effective(spark, d).select("run_id", "attempt", "started_at").join(hosts, "run_id")
+    visits = view(spark, d, "fx_visits")
+    found = asof(attempts, visits, ["host"], "started_at", "captured_at", ["page_id"], ["run_id", "attempt"])
+    log = widen(visits.select("page_id", "url", "html", "error"), "page_id", spread(spark)).withColumns({
+        "page_title": F.lit(None).cast("string"), "viewport": F.struct(F.lit(1280).alias("width"), F.lit(720).alias("height"))})
+    pages = dom.page_structure(log).select("page_id", "page_structure", "page_title", "viewport.width", "viewport.height")
+    return lookup_join(found, pages, ["page_id"], ["run_id", "attempt"])
+
+
+@query("attempt_pages", with_views("SELECT run_id, attempt, page_id, page_structure, page_title, width, height FROM paged", CLASSIFIED + "," + _PAGES))
+def attempt_pages_query(spark, d):
+    return attempt_pages(spark, d).select("run_id", "attempt", "page_id", "page_structure", "page_title", "width", "height")
+
+
 @query("prompt_rows", with_views(f"""
 SELECT c.run_id, c.attempt, {filled(
-    t.SCRIPT_PROMPT, url="r.url", page_title="'Unknown'", width="1920", height="1080",
+    t.SCRIPT_PROMPT, url="r.url", page_title="coalesce(p.page_title, 'Unknown')", width="coalesce(p.width, 1920)", height="coalesce(p.height, 1080)",
     is_retry="CASE WHEN is_retry THEN 'True' ELSE 'False' END", attempt="c.attempt", prompt="r.prompt",
     context_block=f"coalesce(x.block, '(no project documents indexed)')",
     retry_context="CASE WHEN is_retry THEN " + filled(
         t.RETRY_CONTEXT, attempt_number="attempt_number", previous_error="previous_error",
-        previous_error_context="previous_error_context", console_errors="coalesce(ce.txt, 'None')") + " ELSE '' END",
-    page_structure="'(could not fetch page structure)'",
+        previous_error_context="previous_error_context", console_errors="coalesce(c.console_errors, 'None')") + " ELSE '' END",
+    page_structure="coalesce(p.page_structure, '(could not fetch page structure)')",
     retry_instructions=f"CASE WHEN is_retry THEN {quoted(t.RETRY_INSTRUCTIONS)} ELSE '' END")} AS user_prompt,
   CASE WHEN is_retry THEN 0.3::DOUBLE ELSE 0.2::DOUBLE END AS temperature,
   CASE WHEN is_retry THEN 'retry_self_healing' ELSE 'first_attempt' END AS generation_mode
-FROM carried c JOIN fx_runs r USING (run_id) LEFT JOIN context x ON x.query_id = c.run_id
-LEFT JOIN (SELECT run_id, string_agg(concat('- ', msg), chr(10) ORDER BY event_id) AS txt FROM fx_console WHERE msg_type = 'error' GROUP BY run_id) ce
-  ON ce.run_id = c.run_id""", CLASSIFIED + "," + _RETRY + "," + CONTEXT_CTES))
+FROM retried c JOIN fx_runs r USING (run_id) JOIN paged p USING (run_id, attempt) LEFT JOIN context x ON x.query_id = c.run_id""",
+    CLASSIFIED + "," + _RETRY + "," + _PAGES + "," + CONTEXT_CTES))
 def prompt_rows(spark, d):
     context = context_block(spark, d).select(F.col("query_id").alias("run_id"), F.col("block").alias("context_block"))
-    errors = execution.error_lines(view(spark, d, "fx_console"))
+    pages = attempt_pages(spark, d).drop("started_at", "host", "page_id")
     rows = (
         carried(spark, d)
-        .join(context, "run_id", "left").join(errors, "run_id", "left")
+        .join(context, "run_id", "left").join(pages, ["run_id", "attempt"], "left")
         .withColumn("context_block", F.coalesce("context_block", F.lit("(no project documents indexed)")))
-        .withColumns({
-            "page_structure": F.lit(None).cast("string"), "page_title": F.lit(None).cast("string"),
-            "width": F.lit(None).cast("int"), "height": F.lit(None).cast("int"),
-        })
     )
     return prompts.build_prompts(rows)
 

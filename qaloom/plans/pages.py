@@ -17,7 +17,7 @@ _TEXT = r"""array_to_string(list_transform(string_split_regex({}, '<[^>]*>'), la
 _OPEN = r"'(?s)^<[^>]*>|</[a-zA-Z0-9]+>$', '', 'g'"
 
 # links, h1 and title by patterns of their own; these pages hold no other kind
-_PAGE = rf"""
+PAGE = rf"""
 clean AS (SELECT page_id, regexp_replace(html, '(?is)<(script|style|noscript)\b[^>]*>.*?</(script|style|noscript)>|<!--.*?-->|<(meta|link)\b[^>]*>', '<!>', 'g') AS h FROM fx_captures),
 links AS (SELECT page_id, i, regexp_extract(e, '(?is)href="([^"]*)"', 1) AS href, {_TEXT.format(f"regexp_replace(e, {_OPEN})")} AS text
   FROM (SELECT page_id, unnest(l) AS e, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(h, '(?is)<a\b[^>]*href=[^>]*>.*?</a>') AS l FROM clean))),
@@ -41,13 +41,13 @@ def pages(spark, d, name="fx_captures"):
 
 
 def parsed(spark, d, name="fx_captures"):
-    return dom.parse_pages(pages(spark, d, name))
+    return dom.parse_pages(pages(spark, d, name), cut=dom.ELEMENT_TEXT)
 
 
 @query("dom_counts", with_views("""
 SELECT page_id, CAST(0 AS INT) AS forms, CAST(0 AS INT) AS buttons, CAST(0 AS INT) AS inputs,
   CAST((SELECT count(*) FROM links l WHERE l.page_id = c.page_id) AS INT) AS links,
-  CAST((SELECT count(*) FROM heads l WHERE l.page_id = c.page_id) AS INT) AS headings FROM clean c""", _PAGE))
+  CAST((SELECT count(*) FROM heads l WHERE l.page_id = c.page_id) AS INT) AS headings FROM clean c""", PAGE))
 def dom_counts(spark, d):
     return dom.dom_counts(pages(spark, d), "page_id")
 
@@ -56,19 +56,22 @@ def dom_counts(spark, d):
 @query("dom_counts_broken", with_views("""
 SELECT page_id, CAST(0 AS INT) AS forms, CAST(0 AS INT) AS buttons, CAST(0 AS INT) AS inputs,
   CAST((SELECT count(*) FROM links l WHERE l.page_id = c.page_id) AS INT) AS links,
-  CAST((SELECT count(*) FROM heads l WHERE l.page_id = c.page_id) AS INT) AS headings FROM clean c""", _PAGE))
+  CAST((SELECT count(*) FROM heads l WHERE l.page_id = c.page_id) AS INT) AS headings FROM clean c""", PAGE))
 def dom_counts_broken(spark, d):
     return dom.dom_counts(pages(spark, d, "fx_broken_pages"), "page_id")
 
 
-@query("dom_sections", with_views("SELECT page_id, section, CAST(ord AS INT) AS ord, line FROM map_lines", _PAGE))
+@query("dom_sections", with_views("SELECT page_id, section, CAST(ord AS INT) AS ord, line FROM map_lines", PAGE))
 def dom_sections(spark, d):
     return dom.dom_sections(parsed(spark, d), "page_id")
 
 
-@query("dom_map", with_views("""
+DOM_MAP = """
 SELECT page_id, concat(string_agg(line, chr(10) ORDER BY CASE section WHEN 'head' THEN 0 WHEN 'links' THEN 1 ELSE 2 END, ord),
-  chr(10), chr(10), repeat('=', 60)) AS dom_map FROM map_lines GROUP BY page_id""", _PAGE))
+  chr(10), chr(10), repeat('=', 60)) AS dom_map FROM map_lines GROUP BY page_id"""
+
+
+@query("dom_map", with_views(DOM_MAP, PAGE))
 def dom_map(spark, d):
     return dom.dom_map(parsed(spark, d)).select("page_id", "dom_map")
 
@@ -76,7 +79,7 @@ def dom_map(spark, d):
 @query("element_attrs", with_views("""
 SELECT page_id, 'links' AS kind, CAST(i AS INT) AS ord, 'a' AS tag, substr(text, 1, 200) AS text,
   CASE WHEN href = '' THEN '' ELSE concat('href=', href) END AS attributes FROM links
-UNION ALL SELECT page_id, 'headings', CAST(i AS INT), tag, substr(text, 1, 200), '' FROM heads""", _PAGE))
+UNION ALL SELECT page_id, 'headings', CAST(i AS INT), tag, substr(text, 1, 200), '' FROM heads""", PAGE))
 def element_attrs(spark, d):
     e = dom.element_attrs(dom.extract_elements(parsed(spark, d), "page_id"))
     pairs = F.transform(F.map_entries("attributes"), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
@@ -126,7 +129,7 @@ SELECT c.page_id, CASE WHEN {_ERROR} IS NOT NULL THEN concat('ERROR: Could not v
   CASE WHEN {_ERROR} IS NOT NULL THEN 'Error' ELSE t.title END AS page_title,
   CASE WHEN {_ERROR} IS NOT NULL THEN 1920 ELSE 1280 END AS width
 FROM fx_captures c JOIN titles t USING (page_id) JOIN (SELECT page_id, concat(string_agg(line, chr(10) ORDER BY CASE section WHEN 'head' THEN 0 WHEN 'links' THEN 1 ELSE 2 END, ord),
-  chr(10), chr(10), repeat('=', 60)) AS dom_map FROM map_lines GROUP BY page_id) m USING (page_id)""", _PAGE))
+  chr(10), chr(10), repeat('=', 60)) AS dom_map FROM map_lines GROUP BY page_id) m USING (page_id)""", PAGE))
 def page_structure(spark, d):
     log = pages(spark, d).withColumns({
         "error": F.expr(_ERROR), "page_title": F.lit(None).cast("string"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from qaloom.functions import templates as t
 from qaloom.operators import reports, runs, visual
-from qaloom.plans.execution import _ARTIFACTS, CLASSIFIED, effective, explained, with_artifacts, with_run
+from qaloom.plans.execution import _ARTIFACTS, CLASSIFIED, TOP, effective, explained, with_artifacts, with_run
 from qaloom.plans.registry import filled, query, quoted
 from qaloom.plans.views import view, with_views
 
@@ -115,14 +115,6 @@ def report_summary(spark, d):
     return reports.report_summary(outcomes(spark, d))
 
 
-_CONSOLE_TEXT = """
-top AS (SELECT run_id, concat('Console Errors (', CAST(errors AS VARCHAR), '):', chr(10), bullets,
-    CASE WHEN errors > 3 THEN concat(chr(10), '... and ', CAST(errors - 3 AS VARCHAR), ' more') ELSE '' END) AS text
-  FROM (SELECT run_id, errors, string_agg(concat('• ', msg), chr(10) ORDER BY n) AS bullets
-    FROM (SELECT run_id, msg, row_number() OVER (PARTITION BY run_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY run_id) AS errors
-      FROM fx_console WHERE msg_type = 'error') WHERE n <= 3 GROUP BY run_id, errors))"""
-
-
 @query("report_documents", with_views(f"""
 SELECT r.run_id, r.attempt, array_to_string(list_filter([
   concat('Run ID: ', r.run_id), 'Status: ANALYZING', concat('URL: ', r.url), 'Executed: {STAMP}',
@@ -133,8 +125,8 @@ SELECT r.run_id, r.attempt, array_to_string(list_filter([
   concat('Severity Level: ', upper(s.severity)), 'Tests Run: 1', concat('Passed: ', CASE WHEN r.passed THEN 1 ELSE 0 END),
   concat('Failed: ', CASE WHEN r.passed THEN 0 ELSE 1 END), concat('Visual Diffs: ', CASE WHEN coalesce(d.needs_review, false) THEN 1 ELSE 0 END)
   ], lambda x: x IS NOT NULL), chr(10)) AS body
-FROM results r JOIN sev s USING (run_id, attempt) LEFT JOIN diffs d USING (run_id, attempt) LEFT JOIN top c ON c.run_id = r.run_id""",
-    _severity_ctes("observed") + "," + _CONSOLE_TEXT))
+FROM results r JOIN sev s USING (run_id, attempt) LEFT JOIN diffs d USING (run_id, attempt) LEFT JOIN top c ON c.run_id = r.run_id AND c.attempt = r.attempt""",
+    _severity_ctes("observed") + "," + TOP))
 def report_documents(spark, d):
     return reports.report_documents(report_facts(spark, d), STAMP)
 
@@ -157,10 +149,10 @@ UNION ALL SELECT run_id, attempt, 3, 0, concat('Recommendation: ', CASE WHEN sev
 UNION ALL SELECT run_id, attempt, 2, 0, page FROM diffs
 UNION ALL SELECT run_id, attempt, 2, 1, 'Pixel Difference: ' || CAST(difference_percent AS VARCHAR) || '%' FROM diffs
 UNION ALL SELECT run_id, attempt, 2, 2, upper(replace(verdict, '_', ' ')) FROM diffs
-UNION ALL SELECT r.run_id, r.attempt, 1, CAST(row_number() OVER (PARTITION BY r.run_id, r.attempt ORDER BY l.k) AS INT) - 1, l.line FROM results r LEFT JOIN top c ON c.run_id = r.run_id,
+UNION ALL SELECT r.run_id, r.attempt, 1, CAST(row_number() OVER (PARTITION BY r.run_id, r.attempt ORDER BY l.k) AS INT) - 1, l.line FROM results r LEFT JOIN top c ON c.run_id = r.run_id AND c.attempt = r.attempt,
   LATERAL (SELECT unnest(range(6)) AS k, unnest([concat(r.url, CASE WHEN r.passed THEN ' ✓ PASSED' ELSE ' ✗ FAILED' END), 'Error: ' || r.error, 'Context: ' || r.error_context,
     'Screenshot: http://localhost:4566/artifacts/' || r.screenshot_s3_path, 'DOM: http://localhost:4566/artifacts/' || r.dom_s3_path, c.text]) AS line) l
-  WHERE l.line IS NOT NULL""", _severity_ctes("observed") + "," + _CONSOLE_TEXT))
+  WHERE l.line IS NOT NULL""", _severity_ctes("observed") + "," + TOP))
 def report_fragments(spark, d):
     return reports.report_fragments(report_facts(spark, d), STAMP)
 

@@ -38,7 +38,7 @@ SELECT run_id, attempt, passed,
     WHEN k = 4 THEN 'strict mode violation: 2 elements'
     ELSE concat('failure ', CAST(suppkey AS STRING)) END AS raw_error,
   CASE WHEN NOT passed AND k = 5 AND suppkey % 10 = 7 THEN concat('pipeline ', CAST(suppkey AS STRING)) END AS pipeline_error,
-  l_tax AS tax
+  l_tax AS tax, CAST('2024-01-01 00:00:00' AS TIMESTAMP_NTZ) + INTERVAL '1' HOUR * CAST((attempt - 1) * 96 + run_id % 24 AS INT) AS started_at
 FROM (SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY linenumber, partkey, suppkey) AS INT) AS attempt,
     passed, k, partkey, suppkey, l_tax
   FROM (SELECT l_orderkey AS run_id, l_linenumber AS linenumber, l_partkey AS partkey, l_suppkey AS suppkey,
@@ -57,7 +57,7 @@ SELECT user_id AS run_id, event_id, ts,
 FROM events"""
 
 VIEWS["fx_requests"] = """
-SELECT user_id AS run_id, event_id, concat('https://api.example.com/', event_type, '/', CAST(event_id AS STRING)) AS url,
+SELECT user_id AS run_id, event_id, ts, concat('https://api.example.com/', event_type, '/', CAST(event_id AS STRING)) AS url,
   CASE WHEN event_id % 5 = 0 THEN NULL WHEN event_id % 5 = 1 THEN ''
     ELSE concat('net::ERR_', repeat(props, CAST(event_id % 40 AS INT))) END AS failure
 FROM events WHERE event_type IN ('error', 'view')"""
@@ -77,6 +77,12 @@ FROM documents"""
 VIEWS["fx_captures"] = """
 SELECT page_id, split_part(split_part(url, '://', -1), '/', 1) AS host, url, html FROM pages"""
 
+# what the browser saw of a run's host, some captures failed; a host is visited again and again
+VIEWS["fx_visits"] = """
+SELECT page_id, concat('h', CAST(page_id % 50 AS STRING), '.example.com') AS host, url, html,
+  CAST('2024-01-01 00:00:00' AS TIMESTAMP_NTZ) + INTERVAL '1' HOUR * CAST(page_id * 7 % 300 AS INT) AS captured_at,
+  CASE WHEN page_id % 11 = 5 THEN 'net::ERR_TIMED_OUT' END AS error FROM pages"""
+
 VIEWS["fx_completions"] = """
 SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN concat('```python', chr(10), text, chr(10), '```')
   WHEN 1 THEN concat('```', chr(10), text, '```') ELSE text END AS raw
@@ -136,4 +142,5 @@ def with_views(body: str, ctes: str = "", recursive: bool = False) -> str:
     if ctes:
         parts.append(ctes.strip())
     head = "WITH " + ("RECURSIVE " if recursive else "")
-    return (head + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+    sql = (head + ",\n".join(parts) + "\n" if parts else "") + body.strip()
+    return sql.replace("TIMESTAMP_NTZ", "TIMESTAMP")  # the name of the type without a zone differs
