@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from qaloom.functions.ids import stable_id
 from qaloom.functions.text import SPACE
 from qaloom.operators import chunking, events, quality, vectors
 from qaloom.operators.prompts import CONTEXT_K, CONTEXT_TYPES
@@ -128,6 +129,31 @@ def vector_upsert(spark, d):
     return vectors.upsert_points(old, new, "vec_id")
 
 
+# deliveries of the uploaded documents: 5 is what the table holds; every third document comes again later and shorter, every
+# third comes late in a longer version, and every fifth is delivered twice
+_TXT = "fx_uploads WHERE lower(s3_path) LIKE '%.txt'"
+_AGAIN = f"""(SELECT document_id, CASE document_id % 3 WHEN 0 THEN left(text, length(text) // 3) ELSE text END AS text FROM {_TXT})"""
+
+
+@query("points_merged", with_views("""
+SELECT sha256(concat_ws('|', CAST(doc_id AS VARCHAR), CAST(chunk_index AS VARCHAR))) AS id, doc_id AS document_id, chunk_index, text,
+  CAST(CASE doc_id % 3 WHEN 0 THEN 9 ELSE 5 END AS BIGINT) AS version FROM cut""", chunk_ctes(_AGAIN, "document_id"), recursive=True))
+def points_merged(spark, d):
+    docs = accepted_uploads(spark, d)
+
+    def points(some, text, version):
+        rows = some.withColumns({"text": text, "version": F.lit(version).cast("bigint")})
+        cut = chunking.chunk_documents(rows, "document_id", "text", sep="\n", keep=["version"])
+        return cut.select(stable_id(F.col("document_id"), F.col("chunk_index")).alias("id"), "document_id", "chunk_index", "text", "version")
+
+    text = F.col("text")
+    later = points(docs.filter("document_id % 3 = 0"), F.left(text, (F.length(text) / 3).cast("int")), 9)
+    late = points(docs.filter("document_id % 3 = 1"), F.concat(text, F.lit("\nlate\n"), text), 2)
+    twice = points(docs.filter("document_id % 5 = 0 AND document_id % 3 > 0"), text, 5)
+    incoming = later.unionByName(late).unionByName(twice).unionByName(twice)
+    return vectors.merge_documents(points(docs, text, 5), incoming)
+
+
 @query("collection_counts", with_views("SELECT collection, count(*) AS n FROM fx_points GROUP BY collection"))
 def collection_counts(spark, d):
     return vectors.collection_counts(view(spark, d, "fx_points"))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from qaloom.operators.vectors import upsert_points
+from qaloom.operators.vectors import merge_documents, upsert_points
 from qaloom.session import ensure_checkpoint_dir
 
 
@@ -34,16 +34,55 @@ def upsert_table(
     """Upsert into a partitioned table: only partitions named by the incoming rows are read, merged and replaced, so the
     cost follows the batch and not the table. A key belongs to one partition for good, as a point does to its collection.
     """
+    table = _opened(spark, path, incoming)
+    touched = incoming.select(partition_by).distinct()
+    existing = table.join(touched, partition_by, "left_semi").select(*incoming.columns)
+    _replace_partitions(spark, upsert_points(existing, incoming, key, version), path, partition_by)
+
+
+def _opened(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    """The table at `path` with the columns of `like`; no rows where there is none yet."""
     try:
-        table = spark.read.schema(incoming.schema).parquet(path)
+        table = spark.read.schema(like.schema).parquet(path)
         table.schema  # noqa: B018
+        return table.select(*like.columns)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        table = incoming.limit(0)
-    touched = incoming.select(partition_by).distinct()
-    existing = table.join(touched, partition_by, "left_semi").select(*incoming.columns)
-    _replace_partitions(spark, upsert_points(existing, incoming, key, version), path, partition_by)
+        return like.limit(0)
+
+
+BUCKETS = 64
+
+
+def merge_points(spark: SparkSession, incoming: DataFrame, path: str, batch_id: int, buckets: int = BUCKETS) -> None:
+    """Merge the versioned points of one batch into the table at `path`, see `vectors.merge_documents`.
+
+    The table is cut by collection and by bucket of the document, so a batch reads and rewrites the buckets of its own documents
+    only, also in a collection that holds most points. The merged buckets are written beside the table first and take their places
+    then: a batch that failed in between is repeated from that copy, one that failed earlier finds the table as it was, and
+    one that is delivered again changes nothing.
+    """
+    ready, done = f"{path}_merged/batch={batch_id}/points", f"{path}_merged/batch={batch_id}/done"
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+    new = incoming.withColumn("bucket", bucket)
+    if not _opened(spark, done, spark.createDataFrame([], "batch bigint")).count():
+        table = _opened(spark, path, new)
+        touched = new.select("collection", "bucket").distinct()
+        existing = table.join(touched, ["collection", "bucket"], "left_semi").select(*new.columns)
+        merge_documents(existing, new).write.mode("overwrite").parquet(ready)
+        spark.createDataFrame([(batch_id,)], "batch bigint").write.mode("overwrite").parquet(done)
+    rows = spark.read.schema(new.schema).parquet(ready)
+    (
+        rows.hint("rebalance", "collection", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy("collection", "bucket").parquet(path)
+    )
+    _remove(spark, f"{path}_merged/batch={batch_id - 1}")
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
 def _replace_partitions(spark: SparkSession, rows: DataFrame, path: str, partition_by: str) -> None:

@@ -10,18 +10,20 @@ from qaloom.operators.chunking import chunk_documents, pack_paragraphs
 from qaloom.operators.events import dedup_stream, indexed_events
 from qaloom.operators.quality import extract_text
 from qaloom.operators.vectors import make_points
+from qaloom.sources.writers import merge_points
 from qaloom.streaming.sinks import start, start_many
 
 
 def uploads_with_content(uploads: DataFrame, blobs: DataFrame, delay: str = "10 minutes", dedup: bool = True) -> DataFrame:
-    """Upload events joined with their blob by key; repeated deliveries of a document are dropped.
+    """Upload events joined with their blob by key; repeated deliveries of an upload are dropped. The time of the upload is the
+    document's version.
 
     uploads: parsed document.uploaded events. blobs: key, content; a stream of new files (then also with `modified`) or
     a table. With two streams both sides are bounded by the watermark. An upload without a blob comes out with null content (from
     two streams once the watermark has passed it), which `start_indexing` writes to its rejects.
     """
     events = uploads.withColumn("uploaded_at", F.to_timestamp("timestamp"))
-    events = dedup_stream(events, ["documentId"], "uploaded_at", delay) if dedup else events
+    events = dedup_stream(events, ["documentId", "timestamp"], "uploaded_at", delay) if dedup else events
     same = F.col("s3Path") == F.col("key")
     if blobs.isStreaming:
         blobs = blobs.withWatermark("modified", delay)
@@ -30,29 +32,33 @@ def uploads_with_content(uploads: DataFrame, blobs: DataFrame, delay: str = "10
     return events.join(blobs, same, "left").select(
         F.col("documentId").alias("document_id"), F.col("tenantId").alias("tenant_id"),
         F.col("projectId").alias("project_id"), F.col("correlationId").alias("correlation_id"),
-        basename(F.col("s3Path")).alias("name"), "content",
+        basename(F.col("s3Path")).alias("name"), "content", F.unix_micros("uploaded_at").alias("version"),
     )
 
 
 def start_indexing(
     documents: DataFrame, embedder, root: str, checkpoint: str, max_words: int = 200, sep: str = "\n\n", once: bool = False
 ) -> StreamingQuery:
-    """Write points, indexed events and rejected files of every batch."""
+    """Merge the points of every batch into root/points, and write its indexed events and rejected files.
+
+    A document that is uploaded again replaces its points, one that comes late does not; see `writers.merge_points`.
+    """
 
     def good(batch: DataFrame) -> DataFrame:
         return extract_text(batch)[0]
 
-    def points(batch: DataFrame) -> DataFrame:
-        keep = ["tenant_id", "project_id"]
-        return make_points(chunk_documents(good(batch), "document_id", "text", max_words, sep, keep), embedder)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        keep = ["tenant_id", "project_id", "version"]
+        chunks = chunk_documents(good(batch), "document_id", "text", max_words, sep, keep)
+        merge_points(batch.sparkSession, make_points(chunks, embedder, version_col="version"), f"{root}/points", batch_id)
 
     def indexed(batch: DataFrame) -> DataFrame:
         count: Column = F.size(pack_paragraphs(F.col("text"), max_words, sep))
         return indexed_events(good(batch).withColumn("chunks", count))
 
     # rejects: files of other types and uploads without a blob, with reasons
-    outputs = {"points": points, "knowledge_indexed": indexed, "rejects": lambda b: extract_text(b)[1]}
-    return start_many(documents, outputs, root, checkpoint, once=once)
+    outputs = {"knowledge_indexed": indexed, "rejects": lambda b: extract_text(b)[1]}
+    return start_many(documents, outputs, root, checkpoint, once=once, merges=[merge])
 
 
 def start_rejected_lines(bad: DataFrame, path: str, checkpoint: str, once: bool = False) -> StreamingQuery:

@@ -23,16 +23,19 @@ def start(
 
 def start_many(
     stream: DataFrame, outputs: dict[str, Callable[[DataFrame], DataFrame]], root: str, checkpoint: str,
-    mode: str = "append", once: bool = False, every: str = "10 seconds",
+    mode: str = "append", once: bool = False, every: str = "10 seconds", merges: list[Callable[[DataFrame, int], None]] | None = None,
 ) -> StreamingQuery:
     """Derive several tables from every batch and write each to root/name/batch=N.
 
-    A batch that is repeated after a failure overwrites its own folder, so each table holds every batch once.
+    A batch that is repeated after a failure overwrites its own folder, so each table holds every batch once. `merges` are called
+    first with the batch and its number, for tables that a batch changes in place; they must bear being repeated.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
+            for merge in merges or []:
+                merge(rows, batch_id)
             for name, derive in outputs.items():
                 derive(rows).write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
         finally:

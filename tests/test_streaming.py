@@ -53,6 +53,56 @@ def test_documents_end_to_end_with_duplicates_bad_lines_and_restart(spark, tmp_p
     assert spark.read.parquet(f"{root}/points").count() == 3
 
 
+def test_a_later_upload_replaces_a_document_and_a_late_one_does_not(spark, tmp_path):
+    blobs, events, root, ck = (str(tmp_path / x) for x in ("blobs", "events", "out", "ck"))
+    bodies = {"0_a.txt": "w " * 150 + "\n\n" + "v " * 150, "1_a.txt": "keep", "0_b.txt": "short", "0_c.txt": "old " * 150 + "\n\n" + "x " * 190, "2_a.txt": "z"}
+    os.makedirs(f"{blobs}/t/p/documents")
+    for name, body in bodies.items():
+        with open(f"{blobs}/t/p/documents/{name}", "w") as f:
+            f.write(body)
+    at = lambda day: f"2024-01-{day:02d}T00:00:00.000Z"
+
+    def run():
+        good, _ = parse_events(readers.stream_lines(spark, events), schemas.DOCUMENT_UPLOADED, ["documentId", "s3Path"])
+        table = readers.read_blobs(spark, blobs).select("key", "content")
+        drain(documents.start_indexing(documents.uploads_with_content(good, table, delay="60 days"), hash_embedder(8), root, ck, once=True))
+
+    def points():
+        return sorted((r.document_id, r.chunk_index, r.text.strip()[:5]) for r in spark.read.parquet(f"{root}/points").collect())
+
+    put(events, "1.json", [upload(0, at(5)), upload(1, at(5)), upload(2, at(5))])
+    run()
+    assert points() == [("d0", 0, "w w w"), ("d0", 1, "v v v"), ("d1", 0, "keep"), ("d2", 0, "z")]
+    untouched = {f: os.path.getmtime(os.path.join(p, f)) for p, _, fs in os.walk(f"{root}/points/collection=t_p") for f in fs if f.endswith("parquet")}
+    put(events, "2.json", [upload(0, at(9), "b.txt")])  # the same document, one chunk now
+    run()
+    assert points() == [("d0", 0, "short"), ("d1", 0, "keep"), ("d2", 0, "z")]
+    kept = [f for p, _, fs in os.walk(f"{root}/points/collection=t_p") for f in fs if untouched.get(f) == os.path.getmtime(os.path.join(p, f))]
+    assert kept  # buckets without a new document were not written
+    put(events, "3.json", [upload(0, at(2), "c.txt"), upload(0, at(9), "b.txt"), upload(3, at(2))])  # late, repeated, and without a blob
+    run()
+    assert points() == [("d0", 0, "short"), ("d1", 0, "keep"), ("d2", 0, "z")]
+    assert [r.version for r in spark.read.parquet(f"{root}/points").filter("document_id = 'd0'").collect()] == [1704758400000000]
+
+
+def test_a_merge_that_failed_half_way_is_finished(spark, tmp_path):
+    path = str(tmp_path / "points")
+    cols = "id string, collection string, document_id string, chunk_index int, version long, text string"
+    rows = lambda *r: spark.createDataFrame([(f"{d}{i}", c, d, i, v, t) for c, d, i, v, t in r], cols)
+    table = lambda: sorted((r.document_id, r.chunk_index, r.text) for r in spark.read.parquet(path).collect())
+    writers.merge_points(spark, rows(("c", "d", 0, 1, "a"), ("c", "d", 1, 1, "b"), ("c", "e", 0, 1, "e")), path, 0, buckets=1)
+    new = rows(("c", "d", 0, 2, "new"))
+    writers.merge_points(spark, new, path, 1, buckets=1)
+    assert table() == [("d", 0, "new"), ("e", 0, "e")]
+    # the table was lost between the two steps: the copy beside it is put back, whatever the table holds
+    writers._remove(spark, path)
+    writers.merge_points(spark, new, path, 1, buckets=1)
+    assert table() == [("d", 0, "new"), ("e", 0, "e")]
+    writers.merge_points(spark, rows(("c", "d", 0, 1, "late"), ("c", "d", 3, 1, "late"), ("c", "f", 0, None, "f")), path, 2, buckets=1)
+    assert table() == [("d", 0, "new"), ("e", 0, "e"), ("f", 0, "f")]
+    assert os.listdir(f"{path}_merged") == ["batch=2"]
+
+
 def test_nothing_is_lost(spark, tmp_path):
     """Uploads without a blob and bad lines both end in a table, with reasons."""
     blobs, events, root, ck = (str(tmp_path / x) for x in ("blobs", "events", "out", "ck"))
