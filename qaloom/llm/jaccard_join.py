@@ -32,6 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from qaloom.llm.common import Words, as_bytes, chunks, components, mix, shingle_hashes, stored
+from qaloom.operators.skew import first_n
 
 SHINGLE = 5
 PERCENT = 80
@@ -62,17 +63,17 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def node_table(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n, node) for every row."""
+    """(doc_id, n, node, body) for every row; the body is a hash of the text."""
 
     def describe(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
             sets = [(len(s), node_of(s)) for s in sets_of(as_bytes(b.column(1)), k)]
-            yield pa.record_batch([b.column(0), pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.int64())], names=["doc_id", "n", "node"])
+            yield pa.record_batch([b.column(0), pa.array([s[0] for s in sets], pa.int64()), pa.array([s[1] for s in sets], pa.int64()), b.column(2)], names=["doc_id", "n", "node", "body"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(describe, "doc_id long, n long, node long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("body"))
+    return rows.mapInArrow(describe, "doc_id long, n long, node long, body long")
 
 
 def prefixes(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
@@ -227,20 +228,35 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, k: i
     return sets.groupBy("leader", "i", "j").applyInPandas(join, "a long, b long")
 
 
-def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of `docs`."""
+def _classed(docs: DataFrame, doc_id: str, text: str, k: int, percent: int, block: int) -> DataFrame:
+    """(doc_id, node, body, n_shingles, component_id) for every row of `docs`."""
     nodes = stored(node_table(docs, doc_id, text, k), "nodes")
     found = components(linked_nodes(docs, nodes, text, doc_id, k, percent, block))
     reps = nodes.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     to = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("node"), F.coalesce("component", "rep").alias("component"))
-    return nodes.join(to, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return nodes.join(to, "node", "left").select(
+        "doc_id", "node", "body", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of `docs`."""
+    return _classed(docs, doc_id, text, k, percent, block).select("doc_id", "n_shingles", "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One row of `docs` for each class, the one with the smallest id; rows without an id stay."""
-    first = classes(docs, doc_id, **options).filter("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(first, F.col(doc_id) == F.col("__first"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.filter(F.col(doc_id).isNull()))
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = SHINGLE, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+    """One row of `docs` for each class, the one with the smallest id; rows without an id stay.
+
+    Rows that repeat an id are one document. Those of its rows that are copies of a smaller id are not it; of the others the one with
+    words and the smallest set hash stays, and of rows equal in id and text the one with the smallest hash of all columns.
+    """
+    first = (
+        _classed(docs, doc_id, text, k, percent, block).filter("doc_id = component_id")
+        .groupBy(F.col("doc_id").alias("__first")).agg(F.min(F.struct(F.col("node").isNull(), "node", "body"))["body"].alias("__body"))
+    )
+    keyed = docs.withColumn("__own", F.xxhash64(text))
+    kept = keyed.join(first, (F.col(doc_id).cast("long") == F.col("__first")) & (F.col("__own") == F.col("__body")), "left_semi")
+    kept = first_n(kept, [doc_id], [F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])])
+    return kept.drop("__own").unionByName(docs.filter(F.col(doc_id).isNull()))
 
 
 def op10_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from qaloom.llm.common import chunks
 
 PROFILE = 400
+CHUNK = 500_000  # characters whose grams are counted at once
 UNDETERMINED = "und"
 _BLANK = 32
 
@@ -105,7 +106,7 @@ def learn_profiles(train: DataFrame, lang: str = "lang", text: str = "text", top
                     index[x] = len(names)
                     names.append(x)
             whose = np.fromiter((index[x] for x in langs), dtype=np.int64, count=len(langs))
-            for lo, hi in chunks([len(t) for t in texts]):
+            for lo, hi in chunks([len(t) for t in texts], CHUNK):
                 held.append(gram_counts(texts[lo:hi], whose[lo:hi]))
                 if sum(len(h[0]) for h in held) > 1_000_000:
                     held[:] = [merged()]
@@ -161,7 +162,7 @@ class Profiles:
 def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: dict[str, Column] | None = None, top: int = PROFILE) -> DataFrame:
     """`keep` columns with `lang_pred` and `score` (1 - distance / largest distance) for every row of `docs`."""
     model = Profiles([tuple(r) for r in profiles.select("lang", "gram", "rank").collect()], top)
-    keep = keep or {c: F.col(c) for c in docs.columns}
+    keep = keep or {c: F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")}
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("__text"))
 
     def classify(batches: Iterator) -> Iterator:
@@ -170,7 +171,7 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: dic
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             names, scores = [], []
-            for lo, hi in chunks([len(t) for t in texts], 1_000_000):
+            for lo, hi in chunks([len(t) for t in texts], CHUNK):
                 n, s = model.classify(texts[lo:hi])
                 names += n
                 scores.append(s)

@@ -266,7 +266,7 @@ def train_model(train: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, np.nda
 
 def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, text: str = "text", keep: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """`keep` columns with `score` and `predicted` for every row of `docs`."""
-    rows = docs.select(*(keep or [F.col(c) for c in docs.columns]), F.col(text).alias("__text"))
+    rows = docs.select(*(keep or [F.col(f"`{c}`") for c in docs.columns if c not in ("score", "predicted")]), F.col(text).alias("__text"))
 
     def rate(batches: Iterator) -> Iterator:
         import pyarrow as pa
