@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from qaloom.functions.ids import stable_id
 from qaloom.functions.text import basename, blank, collection_name, decode_lenient, key_path, or_default
 from qaloom.operators.reports import to_event
 from qaloom.operators.skew import lookup_join
+from qaloom.schemas import FOREIGN_KEYS
 
 # fixed values: required fields per request kind
 REQUIRED = {
@@ -59,6 +62,32 @@ def fk_violations(child: DataFrame, column: str, row_id: str, parent: DataFrame,
     return lookup_join(rows, keys, ["_k"], ["row_id"], "left_anti").select("row_id", F.lit(name).alias("reason"))
 
 
+def all_fk_violations(tables: dict[str, DataFrame], references=FOREIGN_KEYS, row_id: str = "id") -> DataFrame:
+    """Rows whose reference has no parent, for all references at once: reason (child.column), row_id as text.
+
+    tables: the tables of `references` (child table, column, parent table, parent column) by name. Every key, as a child refers to it
+    or a parent has it, becomes one row (parent, key) with a bit for the parent and one for each reference; these meet in one
+    aggregation, partly done before the shuffle, so hot parents arrive as one row per task. The keys without a parent, which are few in
+    a sound database, then pick out the rows that use them. Null references are allowed here.
+    """
+    parents = list(dict.fromkeys(r[2:] for r in references))
+    of_parent = lambda r: F.lit(parents.index(r[2:]))
+    used = [
+        tables[r[0]].select(of_parent(r).alias("parent"), F.col(r[1]).cast("string").alias("key"), F.lit(2 << i).alias("bits"))
+        for i, r in enumerate(references)
+    ]
+    held = [tables[t].select(F.lit(i).alias("parent"), F.col(c).cast("string").alias("key"), F.lit(1).alias("bits")) for i, (t, c) in enumerate(parents)]
+    both = reduce(DataFrame.unionByName, used + held).filter("key is not null")
+    missing = both.groupBy("parent", "key").agg(F.bit_or("bits").alias("bits")).filter(F.col("bits").bitwiseAND(1) == 0)
+    rows = reduce(DataFrame.unionByName, [
+        tables[r[0]].select(
+            of_parent(r).alias("parent"), F.col(r[1]).cast("string").alias("key"), F.col(row_id).cast("string").alias("row_id"), F.lit(f"{r[0]}.{r[1]}").alias("reason"))
+        for r in references
+    ])
+    # a key is missing once; a semi join would be pushed below the union, once for each reference
+    return rows.join(missing.select("parent", "key"), ["parent", "key"]).select("reason", "row_id")
+
+
 def file_gate(files: DataFrame, name: Column) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejects): only .txt files, whatever the case."""
     ok = F.endswith(F.lower(name), F.lit(".txt"))

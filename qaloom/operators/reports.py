@@ -72,6 +72,26 @@ def analysis_requests(facts: DataFrame) -> DataFrame:
     return facts.filter(F.col("severity") != "info").select("run_id", "attempt", text.alias("prompt"))
 
 
+def newest_answers(answers: DataFrame) -> DataFrame:
+    """The last answer to each request: kind, run_id, attempt, answer. answers adds answered_at; of two answers of one moment the larger
+    text counts, so that a rerun takes the same one."""
+    last = first_n(answers, ["kind", "run_id", "attempt"], [F.desc("answered_at"), F.desc("answer")])
+    return last.select("kind", "run_id", "attempt", "answer")
+
+
+def answer_ledger(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Every request and every answer once: kind, run_id, attempt, state, answer.
+
+    asked: kind, run_id, attempt. A request is `open` until an answer comes and `answered` then; an answer to nothing that was asked is
+    `unasked` and reaches no report.
+    """
+    key = ["kind", "run_id", "attempt"]
+    requests = asked.select(*key).distinct().withColumn("_asked", F.lit(True))
+    rows = requests.join(newest_answers(answers).withColumn("_answered", F.lit(True)), key, "full")
+    state = F.when(F.col("_asked").isNull(), "unasked").when(F.col("_answered").isNull(), "open").otherwise("answered")
+    return rows.select(*key, state.alias("state"), "answer")
+
+
 def with_analysis(severities: DataFrame, answers: DataFrame) -> DataFrame:
     """Join the reviewer's answers: root_cause and recommendation; clean attempts keep the fixed text."""
     return (
@@ -82,6 +102,16 @@ def with_analysis(severities: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
+def refreshed(reports: DataFrame, facts: DataFrame, answers: DataFrame, build) -> DataFrame:
+    """Reports after a batch of answers: those of attempts that were answered are built anew from their facts, the rest stay.
+
+    reports: run_id, attempt and what `build(facts)` returns; facts: the wide rows, with earlier and new answers joined.
+    """
+    key = ["run_id", "attempt"]
+    touched = answers.select(*key).distinct()
+    return reports.join(touched, key, "left_anti").unionByName(build(facts.join(touched, key, "left_semi")))
+
+
 # --- report rows -------------------------------------------------------------------------------------------------
 
 

@@ -158,4 +158,5 @@ def visual_requests(diffs: DataFrame) -> DataFrame:
 def with_review(diffs: DataFrame, answers: DataFrame, key: list[str] | None = None) -> DataFrame:
     """Join the reviewer's answers as ai_analysis; diffs that were not asked about, or whose call failed, keep null."""
     key = key or ["run_id", "attempt"]
-    return diffs.join(answers.select(*key, F.col("answer").alias("ai_analysis")), key, "left")
+    found = diffs.join(answers.select(*key, F.col("answer").alias("ai_analysis")), key, "left")
+    return found.withColumn("ai_analysis", F.when(F.col("ask_model"), F.col("ai_analysis"))) if "ask_model" in diffs.columns else found

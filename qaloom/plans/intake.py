@@ -8,6 +8,7 @@ from qaloom import schemas
 from qaloom.operators import events, quality, runs
 from qaloom.plans.execution import CLASSIFIED
 from qaloom.plans.registry import query
+from qaloom.schemas import FOREIGN_KEYS
 from qaloom.plans.views import view, with_views
 
 # requests with gaps: names of a part of the customers are null or empty
@@ -71,6 +72,23 @@ def fk_violations(spark, d):
     return runs.unionByName(quality.fk_violations(projects, "tenant_id", "project_id", tenants, "n_nationkey", "projects.tenant_id"))
 
 
+_DB = {t: f"fx_db_{t}" for t in ("tenants", "projects", "documents", "test_runs", "reports")}
+
+
+@query("fk_violations_all", with_views("\nUNION ALL ".join(
+    f"SELECT '{child}.{column}' AS reason, CAST(id AS VARCHAR) AS row_id FROM {_DB[child]} WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT {key} FROM {_DB[parent]})"
+    for child, column, parent, key in FOREIGN_KEYS)))
+def fk_violations_all(spark, d):
+    return quality.all_fk_violations({t: view(spark, d, name) for t, name in _DB.items()})
+
+
+@query("tenant_slug_rejects", with_views("""
+SELECT id, 'duplicate slug' AS reason FROM (SELECT c_custkey AS id, row_number() OVER (PARTITION BY c_custkey % 977 ORDER BY c_custkey) AS n FROM customer) WHERE n > 1"""))
+def tenant_slug_rejects(spark, d):
+    tenants = view(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("t-"), F.col("c_custkey") % 977).alias("slug"))
+    return quality.unique_first(tenants, ["slug"], "id", [])[1].select("id", "reason")
+
+
 @query("list_projects", with_views("""
 SELECT project_id, name, slug, collection FROM fx_projects WHERE tenant_id = 7"""))
 def list_projects(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from qaloom.functions import templates as t
 from qaloom.operators import reports, runs, visual
 from qaloom.plans.execution import _ARTIFACTS, CLASSIFIED, TOP, effective, explained, with_artifacts, with_run
-from qaloom.plans.registry import filled, query, quoted
+from qaloom.plans.registry import CHECKS, filled, query, quoted
 from qaloom.plans.views import view, with_views
 
 STAMP = "2024-02-01 00:00:00 UTC"
@@ -107,6 +107,53 @@ def analysis_requests(spark, d):
     return reports.analysis_requests(reports.with_severity(explained_outcomes(spark, d), "intended"))
 
 
+# --- answers of the model ----------------------------------------------------------------------------------------
+
+ANSWERS = """
+newest AS (SELECT kind, run_id, attempt, answer FROM fx_answers
+  QUALIFY row_number() OVER (PARTITION BY kind, run_id, attempt ORDER BY answered_at DESC, answer DESC) = 1),
+analyses AS (SELECT run_id, attempt, answer FROM newest WHERE kind = 'analysis'),
+reviews AS (SELECT n.run_id, n.attempt, n.answer FROM newest n JOIN diffs USING (run_id, attempt) WHERE kind = 'review' AND ask_model)"""
+
+
+def answers(spark, d, kind):
+    return reports.newest_answers(view(spark, d, "fx_answers").filter(F.col("kind") == kind))
+
+
+def asked(spark, d):
+    """Requests that the model got: analyses of attempts that are not clean, reviews of larger differences."""
+    facts = severities(spark, d)
+    analyses = facts.filter("severity <> 'info'").select(F.lit("analysis").alias("kind"), "run_id", "attempt")
+    return analyses.unionByName(facts.filter("ask_model").select(F.lit("review").alias("kind"), "run_id", "attempt"))
+
+
+@query("answer_ledger", with_views("""
+SELECT coalesce(a.kind, n.kind) AS kind, coalesce(a.run_id, n.run_id) AS run_id, coalesce(a.attempt, n.attempt) AS attempt,
+  CASE WHEN a.kind IS NULL THEN 'unasked' WHEN n.kind IS NULL THEN 'open' ELSE 'answered' END AS state, answer
+FROM (SELECT 'analysis' AS kind, run_id, attempt FROM sev WHERE severity <> 'info' UNION ALL SELECT 'review', run_id, attempt FROM diffs WHERE ask_model) a
+FULL JOIN newest n ON n.kind = a.kind AND n.run_id = a.run_id AND n.attempt = a.attempt""", _severity_ctes("observed") + "," + ANSWERS))
+def answer_ledger(spark, d):
+    return reports.answer_ledger(asked(spark, d), view(spark, d, "fx_answers"))
+
+
+@query("analysis_results", with_views(f"""
+SELECT s.run_id, s.attempt, severity, CASE WHEN severity <> 'info' THEN answer END AS root_cause,
+  CASE WHEN severity = 'info' THEN {quoted(t.CLEAN_RECOMMENDATION)} ELSE answer END AS recommendation
+FROM sev s LEFT JOIN analyses USING (run_id, attempt)""", _severity_ctes("observed") + "," + ANSWERS))
+def analysis_results(spark, d):
+    return reports.with_analysis(severities(spark, d), answers(spark, d, "analysis")).select(
+        "run_id", "attempt", "severity", "root_cause", "recommendation")
+
+
+@query("reviewed_diffs", with_views("""
+SELECT run_id, attempt, page, difference_percent, verdict, ask_model, answer AS ai_analysis FROM diffs LEFT JOIN reviews USING (run_id, attempt)""",
+    _RESULTS + ANSWERS))
+def reviewed_diffs(spark, d):
+    diffs = with_page(spark, d, outcomes(spark, d).filter("score is not null"))
+    return visual.with_review(diffs, answers(spark, d, "review")).select(
+        "run_id", "attempt", "page", "difference_percent", "verdict", "ask_model", "ai_analysis")
+
+
 @query("report_summary", with_views("""
 SELECT r.run_id, count(*) AS tests, count(*) FILTER (r.passed) AS passed, count(*) FILTER (NOT r.passed) AS failed,
   count(*) FILTER (coalesce(d.needs_review, false)) AS diffs
@@ -121,21 +168,41 @@ SELECT r.run_id, r.attempt, array_to_string(list_filter([
   concat(r.url, CASE WHEN r.passed THEN ' ✓ PASSED' ELSE ' ✗ FAILED' END), 'Error: ' || r.error, 'Context: ' || r.error_context,
   'Screenshot: http://localhost:4566/artifacts/' || r.screenshot_s3_path, 'DOM: http://localhost:4566/artifacts/' || r.dom_s3_path, c.text,
   d.page, 'Pixel Difference: ' || CAST(d.difference_percent AS VARCHAR) || '%', upper(replace(d.verdict, '_', ' ')),
-  concat('Recommendation: ', CASE WHEN s.severity = 'info' THEN {quoted(t.CLEAN_RECOMMENDATION)} ELSE '{reports.PENDING}' END),
+  'AI Analysis: ' || v.answer, concat('Recommendation: ', CASE WHEN s.severity = 'info' THEN {quoted(t.CLEAN_RECOMMENDATION)} ELSE coalesce(n.answer, '{reports.PENDING}') END),
   concat('Severity Level: ', upper(s.severity)), 'Tests Run: 1', concat('Passed: ', CASE WHEN r.passed THEN 1 ELSE 0 END),
   concat('Failed: ', CASE WHEN r.passed THEN 0 ELSE 1 END), concat('Visual Diffs: ', CASE WHEN coalesce(d.needs_review, false) THEN 1 ELSE 0 END)
   ], lambda x: x IS NOT NULL), chr(10)) AS body
-FROM results r JOIN sev s USING (run_id, attempt) LEFT JOIN diffs d USING (run_id, attempt) LEFT JOIN top c ON c.run_id = r.run_id AND c.attempt = r.attempt""",
-    _severity_ctes("observed") + "," + TOP))
+FROM results r JOIN sev s USING (run_id, attempt) LEFT JOIN diffs d USING (run_id, attempt) LEFT JOIN top c ON c.run_id = r.run_id AND c.attempt = r.attempt
+LEFT JOIN analyses n ON n.run_id = r.run_id AND n.attempt = r.attempt LEFT JOIN reviews v ON v.run_id = r.run_id AND v.attempt = r.attempt""",
+    _severity_ctes("observed") + "," + TOP + "," + ANSWERS))
 def report_documents(spark, d):
     return reports.report_documents(report_facts(spark, d), STAMP)
 
 
-def report_facts(spark, d):
-    """The wide row with texts, artifact keys and the console part. Console and request logs have one row per run by then."""
+def unanswered_facts(spark, d):
+    """The wide row with texts, artifact keys and the console part. Console and request logs have one row per attempt by then."""
     return reports.with_severity(with_artifacts(explained_outcomes(spark, d)))
 
 
+def answered(spark, d, facts):
+    """facts with the model's answers, where it was asked and has answered."""
+    return visual.with_review(reports.with_analysis(facts, answers(spark, d, "analysis")), answers(spark, d, "review"))
+
+
+def report_facts(spark, d):
+    return answered(spark, d, unanswered_facts(spark, d))
+
+
+# the reports written before any answer, brought up to date by a batch of answers that touches some of them
+@query("report_documents_refreshed", CHECKS["report_documents"])
+def report_documents_refreshed(spark, d):
+    facts = unanswered_facts(spark, d)
+    build = lambda f: reports.report_documents(f, STAMP)
+    ledger = reports.answer_ledger(asked(spark, d), view(spark, d, "fx_answers")).filter("state = 'answered'")
+    touched = facts.join(ledger.select("run_id", "attempt").distinct(), ["run_id", "attempt"], "left_semi")
+    return reports.refreshed(build(facts), answered(spark, d, touched), ledger, build)
+
+
 @query("report_fragments", with_views(f"""
 SELECT r.run_id, r.attempt, 4 AS section, u.ord, u.line FROM results r JOIN sev s USING (run_id, attempt) LEFT JOIN diffs d USING (run_id, attempt),
   LATERAL (SELECT unnest([0, 1, 2, 3, 4]) AS ord, unnest([concat('Severity Level: ', upper(s.severity)), 'Tests Run: 1',
@@ -145,14 +212,16 @@ UNION ALL SELECT run_id, attempt, 0, 0, concat('Run ID: ', run_id) FROM results
 UNION ALL SELECT run_id, attempt, 0, 1, 'Status: ANALYZING' FROM results
 UNION ALL SELECT run_id, attempt, 0, 2, concat('URL: ', url) FROM results
 UNION ALL SELECT run_id, attempt, 0, 3, 'Executed: {STAMP}' FROM results
-UNION ALL SELECT run_id, attempt, 3, 0, concat('Recommendation: ', CASE WHEN severity = 'info' THEN {quoted(t.CLEAN_RECOMMENDATION)} ELSE '{reports.PENDING}' END) FROM sev
+UNION ALL SELECT run_id, attempt, 3, 0, concat('Recommendation: ', CASE WHEN severity = 'info' THEN {quoted(t.CLEAN_RECOMMENDATION)} ELSE coalesce(answer, '{reports.PENDING}') END)
+  FROM sev LEFT JOIN analyses USING (run_id, attempt)
+UNION ALL SELECT run_id, attempt, 2, 3, concat('AI Analysis: ', answer) FROM reviews
 UNION ALL SELECT run_id, attempt, 2, 0, page FROM diffs
 UNION ALL SELECT run_id, attempt, 2, 1, 'Pixel Difference: ' || CAST(difference_percent AS VARCHAR) || '%' FROM diffs
 UNION ALL SELECT run_id, attempt, 2, 2, upper(replace(verdict, '_', ' ')) FROM diffs
 UNION ALL SELECT r.run_id, r.attempt, 1, CAST(row_number() OVER (PARTITION BY r.run_id, r.attempt ORDER BY l.k) AS INT) - 1, l.line FROM results r LEFT JOIN top c ON c.run_id = r.run_id AND c.attempt = r.attempt,
   LATERAL (SELECT unnest(range(6)) AS k, unnest([concat(r.url, CASE WHEN r.passed THEN ' ✓ PASSED' ELSE ' ✗ FAILED' END), 'Error: ' || r.error, 'Context: ' || r.error_context,
     'Screenshot: http://localhost:4566/artifacts/' || r.screenshot_s3_path, 'DOM: http://localhost:4566/artifacts/' || r.dom_s3_path, c.text]) AS line) l
-  WHERE l.line IS NOT NULL""", _severity_ctes("observed") + "," + TOP))
+  WHERE l.line IS NOT NULL""", _severity_ctes("observed") + "," + TOP + "," + ANSWERS))
 def report_fragments(spark, d):
     return reports.report_fragments(report_facts(spark, d), STAMP)
 

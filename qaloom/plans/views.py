@@ -77,6 +77,21 @@ FROM documents"""
 VIEWS["fx_captures"] = """
 SELECT page_id, split_part(split_part(url, '://', -1), '/', 1) AS host, url, html FROM pages"""
 
+# the five tables of the database, with gaps that leave some references without a parent
+VIEWS["fx_db_tenants"] = "SELECT n_nationkey AS id FROM nation WHERE n_regionkey < 4"
+VIEWS["fx_db_projects"] = "SELECT project_id AS id, tenant_id FROM fx_projects WHERE project_id % 7 > 0"
+VIEWS["fx_db_documents"] = """
+SELECT doc_id AS id, CASE WHEN doc_id % 50 > 0 THEN doc_id % 30 END AS tenant_id, doc_id % 1700 AS project_id FROM documents"""
+VIEWS["fx_db_test_runs"] = "SELECT run_id AS id, tenant_id, project_id FROM fx_runs WHERE run_id % 9 > 0"
+VIEWS["fx_db_reports"] = """
+SELECT l_orderkey * 10 + l_linenumber AS id, l_suppkey % 26 AS tenant_id, l_partkey % 1600 AS project_id, l_orderkey AS run_id FROM lineitem"""
+
+# what the model answered to requests for an analysis of failures and for a review of differences; a later answer replaces an earlier one
+VIEWS["fx_answers"] = """
+SELECT 'analysis' AS kind, conv_id AS run_id, CAST(turn % 3 + 1 AS INT) AS attempt, turn AS answered_at,
+  concat('because: ', coalesce(text, '')) AS answer FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT 'review', conv_id, CAST(turn % 3 + 1 AS INT), turn, concat('real_bug: ', coalesce(text, '')) FROM conversations WHERE role = 'assistant'"""
+
 # what the browser saw of a run's host, some captures failed; a host is visited again and again
 VIEWS["fx_visits"] = """
 SELECT page_id, concat('h', CAST(page_id % 50 AS STRING), '.example.com') AS host, url, html,

@@ -80,3 +80,16 @@ def test_schemas_seed_and_references(spark):
         found += [tuple(r) for r in rows.collect()]
     assert found == [("p1", "projects.tenant_id")]
     assert q.list_projects(project, "other").count() == 1 and q.list_projects(project, "none").count() == 0
+
+
+def test_all_references_in_one_pass(spark):
+    t = spark.createDataFrame([("t1",), ("t2",)], "id string")
+    p = spark.createDataFrame([("p1", "t1"), ("p2", "t9"), ("p3", None)], "id string, tenant_id string")
+    docs = spark.createDataFrame([("d1", "t1", "p1"), ("d2", "t9", "p9"), ("d3", None, None)], "id string, tenant_id string, project_id string")
+    runs = spark.createDataFrame([("r1", "t2", "p2"), ("r2", "t2", "t1")], "id string, tenant_id string, project_id string")
+    reports = spark.createDataFrame([("x", "t1", "p1", "r9"), ("x", "t1", "p1", "r9"), ("y", "t1", "p1", "r1")], "id string, tenant_id string, project_id string, run_id string")
+    out = q.all_fk_violations({"tenants": t, "projects": p, "documents": docs, "test_runs": runs, "reports": reports})
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashAggregate") == 2 and plan.count("Join") == 1  # one pass over all references, before and after one shuffle
+    assert sorted(map(tuple, out.collect())) == [
+        ("documents.project_id", "d2"), ("documents.tenant_id", "d2"), ("projects.tenant_id", "p2"), ("reports.run_id", "x"), ("reports.run_id", "x"), ("test_runs.project_id", "r2")]

@@ -151,6 +151,27 @@ def test_run_ends_and_retries_in_any_order(spark, tmp_path):
     assert nxt == [("a", 2), ("b", 2), ("b", 3)]
 
 
+def test_a_run_without_a_next_attempt_stalls_across_a_restart(spark, tmp_path):
+    src, out, ck = (str(tmp_path / x) for x in ("a", "o", "ck"))
+
+    def run():
+        read = spark.readStream.schema(ATT).option("maxFilesPerTrigger", 1).json(src)
+        drain(sinks.start(runs.attempt_states(read, "30 minutes", "5 minutes"), out, ck, once=True))
+        return sorted((r.run_id, r.attempt, r.since.strftime("%H:%M"), r.state) for r in spark.read.parquet(out).collect())
+
+    late = lambda r: r | {"ts": r["ts"].replace("T00", "T01")}
+    # 'b' ends at once, 'a' and 'c' fail, 'a' comes twice; the third attempt of 'd' is known before its first
+    put(src, "1.json", [attempt("a", 1, False), attempt("a", 1, False), attempt("b", 1, True), attempt("c", 1, False, minute=2), attempt("d", 3, False, minute=4)])
+    assert run() == [("b", 1, "00:00", "finished"), ("d", 3, "00:04", "finished")]
+    # after a restart: 'c' goes on and ends; 'a' is silent
+    put(src, "2.json", [attempt("c", 2, True, minute=20), attempt("d", 1, False, minute=1), attempt("e", 1, False, minute=50)])
+    assert run() == [("a", 1, "00:00", "stalled"), ("b", 1, "00:00", "finished"), ("c", 2, "00:20", "finished"), ("d", 3, "00:04", "finished")]
+    # 'a' goes on after all; 'e' stalls with the attempt it had
+    put(src, "3.json", [late(attempt("a", 2, True, minute=10)), late(attempt("f", 1, False, "crash", minute=59))])
+    got = run()
+    assert ("a", 2, "01:10", "finished") in got and ("e", 1, "00:50", "stalled") in got and ("f", 1, "01:59", "finished") in got and len(got) == 7
+
+
 def test_progress_equals_batch(spark, tmp_path):
     src = str(tmp_path / "p")
     put(src, "1.json", [attempt("a", 1, False), attempt("a", 2, True), attempt("b", 1, None, "x")])
