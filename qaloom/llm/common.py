@@ -6,7 +6,7 @@ import pickle
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, wraps
 
 import numpy as np
 from pyspark import cloudpickle
@@ -58,6 +58,27 @@ def numbered(df: DataFrame, by: list[str], name: str) -> tuple[DataFrame, int]:
     return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns) if c != name], numbers), flat.count()
 
 
+def giving_back(over_batches):
+    """A function over batches that gives freed memory back to the system when its task ends. A worker is used again by later stages, and
+    its allocator would hold the pages of large arrays meanwhile, beside the memory of the executor's own process."""
+
+    @wraps(over_batches)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from over_batches(batches)
+        finally:
+            import ctypes
+
+            import pyarrow as pa
+
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 class Shipped:
     """A value that every task reads, as a broadcast of its bytes: its class travels with it, so tasks need no copy of the package."""
 

@@ -31,7 +31,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from qaloom.llm.common import Words, as_bytes, chunks, components, mix, shingle_hashes, stored
+from qaloom.llm.common import Words, as_bytes, chunks, components, giving_back, mix, shingle_hashes, stored
 from qaloom.operators.skew import first_n
 
 SHINGLE = 5
@@ -65,6 +65,7 @@ def prefix_length(n: int, percent: int) -> int:
 def node_table(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE) -> DataFrame:
     """(doc_id, n, node, body) for every row; the body is a hash of the text."""
 
+    @giving_back
     def describe(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -79,6 +80,7 @@ def node_table(docs: DataFrame, doc_id: str, text: str, k: int = SHINGLE) -> Dat
 def prefixes(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
     """(shingle, node) for the prefix of every row's set."""
 
+    @giving_back
     def cut(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -205,6 +207,7 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, k: i
         .groupBy("rep", "node").agg(F.collect_list(F.struct("leader", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))).alias("groups"))
     )  # at most one group for each of a node's shingles, and its blocks
 
+    @giving_back
     def build(batches: Iterator) -> Iterator:
         import pyarrow as pa
 

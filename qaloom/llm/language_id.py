@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from qaloom.llm.common import chunks
+from qaloom.llm.common import chunks, giving_back
 
 PROFILE = 400
 CHUNK = 500_000  # characters whose grams are counted at once
@@ -85,6 +85,7 @@ def learn_profiles(train: DataFrame, lang: str = "lang", text: str = "text", top
     Tasks count their own rows first, so the shuffle carries distinct grams per task and not texts.
     """
 
+    @giving_back
     def count(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -165,6 +166,7 @@ def identify(docs: DataFrame, profiles: DataFrame, text: str = "text", keep: dic
     keep = keep or {c: F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")}
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text).alias("__text"))
 
+    @giving_back
     def classify(batches: Iterator) -> Iterator:
         import pyarrow as pa
 

@@ -28,7 +28,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from qaloom.llm.common import Shipped, chunks, stored
+from qaloom.llm.common import Shipped, chunks, giving_back, stored
 
 WINDOW = 1024
 SHARD = 1024
@@ -305,6 +305,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     def show(ids: np.ndarray) -> bytes | None:
         return ids.astype("<u4").tobytes() if with_ids else None
 
+    @giving_back
     def tokenize(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -356,6 +357,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             names=names_out,
         )
 
+    @giving_back
     def sign(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
@@ -367,6 +369,7 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
             columns = list(zip(*near, strict=True)) if near else [[], [], []]
             yield pa.record_batch([*b.columns, *[pa.array(c, pa.int64()) for c in columns]], names=[*b.schema.names, "near", "near2", "near3"])
 
+    @giving_back
     def place(batches: Iterator) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
