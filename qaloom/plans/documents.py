@@ -10,7 +10,7 @@ from qaloom.operators import chunking, events, quality, vectors
 from qaloom.operators.prompts import CONTEXT_K, CONTEXT_TYPES
 from qaloom.operators.skew import widen
 from qaloom.plans.registry import query, quoted
-from qaloom.session import ensure_checkpoint_dir, spread
+from qaloom.session import spread, written
 from qaloom.plans.views import view, with_views
 
 TRIM = quoted(SPACE)
@@ -218,8 +218,7 @@ context AS (SELECT q.vec_id AS query_id, CAST(count(b.vec_id) AS INT) AS n,
 @query("context_block", with_views("SELECT query_id, n, block FROM context", CONTEXT_CTES))
 def context_block(spark, d):
     q, p = _sides(spark, d)
-    ensure_checkpoint_dir(spark)
-    hits = vectors.knn_topk(q, p, CONTEXT_K, CONTEXT_TYPES, exclude_self=True, prune=False).checkpoint()
+    hits = written(vectors.knn_topk(q, p, CONTEXT_K, CONTEXT_TYPES, exclude_self=True, prune=False), "hits")
     texts = view(spark, d, "documents").select(F.col("doc_id").alias("point_id"), "text")
     return vectors.context_block(hits, q, texts)
 
@@ -254,9 +253,8 @@ ranked AS (SELECT q.id AS query_id, p.id AS point_id, p.text, round(coalesce(d.d
 
 def retrieval(spark, d):
     embedder = vectors.hash_embedder(DIM)
-    ensure_checkpoint_dir(spark)
-    # written once: the search, its block counts and the texts of the hits all read the points
-    points = vectors.make_points(document_chunks(spark, d), embedder).withColumnRenamed("id", "point_id").checkpoint()
+    # the search, its block counts and the texts of the hits all read the points
+    points = written(vectors.make_points(document_chunks(spark, d), embedder).withColumnRenamed("id", "point_id"), "points")
     asked = vectors.embed(view(spark, d, "fx_questions"), embedder).select("query_id", "collection", "vector")
     return vectors.knn_topk(asked, points, CONTEXT_K, CONTEXT_TYPES), asked, points
 
@@ -273,4 +271,4 @@ SELECT q.id AS query_id, CAST(count(r.point_id) AS INT) AS n,
 FROM questions q LEFT JOIN ranked r ON r.query_id = q.id GROUP BY q.id""", _RETRIEVAL, recursive=True))
 def prompt_context(spark, d):
     hits, asked, points = retrieval(spark, d)
-    return vectors.context_block(hits.checkpoint(), asked, points.select("point_id", "text"))
+    return vectors.context_block(written(hits, "hits"), asked, points.select("point_id", "text"))

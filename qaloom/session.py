@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written once as Parquet into the shared checkpoint folder and read back, for results that several steps read."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def spread(spark: SparkSession) -> int | None:
     """Tasks that heavy work on a test table in few splits is spread over (`qaloom.spread`); unset on a cluster."""
     n = spark.conf.get("qaloom.spread", None)
