@@ -14,7 +14,7 @@ fitted on about `SAMPLE` labelled rows, those with the smallest hashes of their
 
 Defined results: null and empty texts score what a text without matches scores; without labelled rows of both classes the score
 is the share of class 1 (0 without labels); null labels or ids are not learned from; several labels of one id count as their
-rounded mean; repeated rows are scored one by one; an empty table gives no rows; other columns are neither read nor clash.
+rounded mean; an id with several texts enters the regression with one of them; repeated rows are scored one by one; an empty table gives no rows; other columns are neither read nor clash.
 """
 
 from __future__ import annotations
@@ -200,27 +200,51 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int =
     return w
 
 
-def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """Terms and the logarithms of their odds from (text, y); only words that pass the test are collected."""
+class Stripped(dict):
+    """Words without signs at their ends, each looked up once."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > CACHE:
+            self.clear()
+        found = self[word] = _EDGE.sub("", word)
+        return found
+
+
+def learn_lexicon(texts: DataFrame, marks: DataFrame) -> dict[str, float]:
+    """Terms and the logarithms of their odds from (t, text) and (t, y), t being a text's hash, once in `marks`; only words that pass
+    the test are collected. No text is shuffled: each becomes its set of words, compressed, and copies shrink before they move."""
+
+    def word_sets(batches: Iterator) -> Iterator:
+        import zlib
+
+        import pyarrow as pa
+
+        stripped = Stripped()
+        for b in batches:
+            sets = [{stripped[w] for w in set((t or "").lower().split())} - {""} for t in b.column(1).to_pylist()]
+            packs = [zlib.compress(" ".join(sorted(s)).encode("utf-8", "surrogatepass"), 1) for s in sets]
+            yield pa.record_batch([b.column(0), pa.array(packs, pa.binary())], names=["t", "words"])
 
     def words(batches: Iterator) -> Iterator:
+        import zlib
+
         import pyarrow as pa
 
         for b in batches:
             found: dict[str, list[int]] = {}
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for w in {_EDGE.sub("", w) for w in set((t or "").lower().split())} - {""}:
-                    found.setdefault(w, [0, 0])[1 - y] += 1
+            for s, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                for w in zlib.decompress(s).decode("utf-8", "surrogatepass").split(" "):
+                    if w:
+                        found.setdefault(w, [0, 0])[1 - y] += 1
             a, c = zip(*found.values(), strict=True) if found else ((), ())
             yield pa.record_batch([pa.array(list(found), pa.string()), pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["word", "a", "b"])
 
-    once = train.groupBy(F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"), F.max("y").alias("y")).select("text", "y")
-    once = stored(once, "labelled-texts")
-    n1, n = (v or 0 for v in once.agg(F.sum("y"), F.count(F.lit(1))).first())
+    n1, n = (v or 0 for v in marks.agg(F.sum("y"), F.count(F.lit(1))).first())
     if not n1 or n1 == n:
         return {}
     odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n - n1 + 1.0))
-    counts = once.mapInArrow(words, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    once = texts.mapInArrow(word_sets, "t long, words binary").groupBy("t").agg(F.first("words").alias("words")).join(marks, "t")
+    counts = once.select("words", "y").mapInArrow(words, "word string, a long, b long").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     counts = stored(counts.filter(F.col("a") >= LEAST_TEXTS), "toxic-words")
     a, b, m, m1 = F.col("a"), F.col("b"), F.col("a") + F.col("b"), float(n1) / n
     # twice the log-likelihood ratio of the word's own share of class 1 against that of all texts, and of the texts without the word
@@ -241,27 +265,63 @@ def labelled(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label:
     return rows.join(chosen, "id").select("text", "y", F.xxhash64("id").alias("rank"))
 
 
-def train_model(train: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, np.ndarray]:
-    """The lexicon of all rows and the regression of those with the `sample` smallest ranks."""
-    train = stored(train, "labelled")
-    lexicon = Lexicon(learn_lexicon(train))
+def described(lexicon: Lexicon):
+    """A function over batches whose last column is text: it becomes its features, `x`."""
 
     def describe(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         matches = Matches(lexicon)
         for b in batches:
-            yield pa.record_batch([pa.array([features(t or "", matches) for t in b.column(0).to_pylist()], pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+            x = pa.array([features(t or "", matches) for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.float64()))
+            yield pa.record_batch([*b.columns[:-1], x], names=[*b.schema.names[:-1], "x"])
 
-    last = train.select("rank").orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
-    some = train.filter(F.col("rank") <= F.lit(last)).select("text", "y")
-    got = some.mapInArrow(describe, "x array<double>, y long").toArrow()  # about `sample` rows of FEATURES numbers
+    return describe
+
+
+def weights_of(rows: DataFrame) -> np.ndarray:
+    """The regression of (y, x), about `SAMPLE` rows of FEATURES numbers, or what gives the share of class 1 where there is one class."""
+    got = rows.select("y", "x").toArrow()
     x = np.array(got.column("x").to_pylist(), dtype=np.float64).reshape(-1, FEATURES)
     y = np.array(got.column("y").to_pylist(), dtype=np.float64)
     if len(set(y.tolist())) < 2:
         share = y.mean() if len(y) else 0.0
-        return lexicon, np.array([0.0] * FEATURES + [np.inf if share else -np.inf])
-    return lexicon, fit_logistic(x, y)
+        return np.array([0.0] * FEATURES + [np.inf if share else -np.inf])
+    return fit_logistic(x, y)
+
+
+def train_model(train: DataFrame, sample: int = SAMPLE) -> tuple[Lexicon, np.ndarray]:
+    """The lexicon of all rows of (text, y, rank) and the regression of those with the `sample` smallest ranks."""
+    train = stored(train, "labelled")
+    texts = train.select(F.xxhash64("text").alias("t"), "text")
+    marks = stored(train.groupBy(F.xxhash64("text").alias("t")).agg(F.max("y").alias("y")), "marks")
+    lexicon = Lexicon(learn_lexicon(texts, marks))
+    last = train.select("rank").orderBy("rank").limit(sample).agg(F.max("rank")).first()[0]
+    some = train.filter(F.col("rank") <= F.lit(last)).select("y", "text")
+    return lexicon, weights_of(some.mapInArrow(described(lexicon), "y long, x array<double>"))
+
+
+def train_on(
+    docs: DataFrame, labels: DataFrame, doc_id: str, text: str, label: str, folds: int, out_fold: int, sample: int = SAMPLE
+) -> tuple[Lexicon, np.ndarray]:
+    """What `train_model` learns from `labelled`, where labels are a table of their own and texts stay where they are.
+
+    Labels meet the ids and text hashes of documents only. The regression takes the `sample` ids with the smallest hashes, one text of
+    each, so the list that is broadcast has at most `sample` rows of numbers.
+    """
+    kept = fold(doc_id, folds) != out_fold
+    chosen = (
+        labels.filter(F.col(label).isNotNull() & kept)
+        .groupBy(F.col(doc_id).cast("long").alias("id")).agg(F.round(F.avg(label)).cast("long").alias("y"))
+    )
+    rows = docs.filter(kept).select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    keys = stored(rows.select("id", "t"), "text-keys")
+    known = stored(keys.distinct().join(chosen, "id"), "labelled-keys")
+    marks = stored(known.groupBy("t").agg(F.max("y").alias("y")), "marks")
+    lexicon = Lexicon(learn_lexicon(rows.select("t", "text"), marks))
+    some = known.groupBy("id").agg(F.min("t").alias("t"), F.first("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    near = rows.join(F.broadcast(stored(some, "sample-keys")), ["id", "t"]).select("id", "y", "text")
+    return lexicon, weights_of(near.mapInArrow(described(lexicon), "id long, y long, x array<double>").dropDuplicates(["id"]))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, text: str = "text", keep: list | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -288,7 +348,7 @@ def op7_toxicity(spark, sf_dir: str) -> DataFrame:
     from qaloom.session import table
 
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    lexicon, weights = train_model(labelled(docs, labels, "doc_id", "text", "toxic", 4, 2))
+    lexicon, weights = train_on(docs, labels, "doc_id", "text", "toxic", 4, 2)
     return score(docs, lexicon, weights, keep=[F.col("doc_id"), F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out")])
 
 

@@ -26,3 +26,21 @@ def test_columns_of_the_results_own_names_are_replaced(spark):
     rated = toxicity.score(docs, lexicon, np.zeros(toxicity.FEATURES + 1))
     assert rated.columns == ["doc_id", "text", "lang", "lang_pred", "score", "predicted"]
     assert {(r.score, r.predicted) for r in rated.collect()} == {(0.5, 1)}
+
+
+def test_toxicity_learns_the_same_where_texts_stay_in_place(spark):
+    insults = ["you stupid fool", "what a stupid idiot you are", "stupid people like you"]
+    rows = [(i, f"{insults[i % 3]} number{i}" if i % 4 == 0 else f"a calm sentence about weather number{i}") for i in range(400)]
+    rows += [(400 + i, "one and the same copied text") for i in range(60)] + [(500, None), (501, ""), (502, "without a label")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, int(i % 4 == 0 and i < 400)) for i, _ in rows if i != 502] + [(7, None), (None, 1), (9999, 1)], "doc_id long, toxic int")
+    lexicon, weights = toxicity.train_on(docs, marks, "doc_id", "text", "toxic", 4, 2)
+    plain, plain_weights = toxicity.train_model(toxicity.labelled(docs, marks, "doc_id", "text", "toxic", 4, 2))
+    assert "stupid" in lexicon.weight and lexicon.weight == plain.weight
+    assert np.allclose(weights, plain_weights)
+    again = docs.unionByName(docs.filter("doc_id = 4"))
+    assert toxicity.train_on(again, marks, "doc_id", "text", "toxic", 4, 2)[0].weight == lexicon.weight
+    for few in (marks.limit(0), marks.filter("toxic = 0")):
+        bare, flat = toxicity.train_on(docs, few, "doc_id", "text", "toxic", 4, 2)
+        assert bare.weight == {} and {r["score"] for r in toxicity.score(docs, bare, flat).collect()} == {0.0}
+    assert toxicity.train_on(docs.limit(0), marks, "doc_id", "text", "toxic", 4, 2)[0].weight == {}
