@@ -54,37 +54,30 @@ def drops(word: str, limit: int) -> set[str]:
 
 
 class Automaton:
-    """The words within `limit` edits of `word`, as states of (position, edits) pairs, one pair for each reachable position."""
-
-    def __init__(self, word: str, limit: int):
-        self.word, self.limit = word, limit
-
-    def start(self) -> tuple[tuple[int, int], ...]:
-        return tuple((i, i) for i in range(min(self.limit, len(self.word)) + 1))
-
-    def step(self, state: tuple[tuple[int, int], ...], letter: str) -> tuple[tuple[int, int], ...]:
-        cost: dict[int, int] = {}
-        limit, word, size = self.limit, self.word, len(self.word)
-        for at, e in state:
-            if e < limit and e + 1 < cost.get(at, 99):
-                cost[at] = e + 1  # the term has one letter more
-            if at < size:
-                c = e if word[at] == letter else e + 1
-                if c <= limit and c < cost.get(at + 1, 99):
-                    cost[at + 1] = c
-        for at in sorted(cost):  # the word has letters more
-            e, nxt = cost[at], at + 1
-            while e < limit and nxt <= size:
-                e += 1
-                if e >= cost.get(nxt, 99):
-                    break
-                cost[nxt] = e
-                nxt += 1
-        return tuple(sorted(cost.items()))
-
-    def accepts(self, state: tuple[tuple[int, int], ...]) -> int | None:
+    """The words within two edits of `word`. A state holds three sets of positions of the word as bits: those reached with no, at
+    most one and at most two edits; a step moves all positions at once."""
+
+    def __init__(self, word: str):
+        self.end = 1 << len(word)
+        self.all = 2 * self.end - 1
+        self.places: dict[str, int] = {}
+        for i, c in enumerate(word):
+            self.places[c] = self.places.get(c, 0) | 1 << i
+
+    def start(self) -> tuple[int, int, int]:
+        return 1, 3 & self.all, 7 & self.all
+
+    def step(self, state: tuple[int, int, int], letter: str) -> tuple[int, int, int]:
+        """Equal letters move on; an edit stays (the term has one letter more), moves on (another letter) or skips a letter of the word."""
+        same = self.places.get(letter, 0)
+        none, one, two = state
+        x = (none & same) << 1
+        y = ((one & same) << 1 | none | (none | x) << 1) & self.all
+        return x, y, ((two & same) << 1 | one | (one | y) << 1) & self.all
+
+    def accepts(self, state: tuple[int, int, int]) -> int | None:
         """Edits of a match that ends here."""
-        return next((e for at, e in state if at == len(self.word)), None)
+        return next((e for e, at in enumerate(state) if at & self.end), None)
 
 
 class Lexicon:
@@ -97,11 +90,13 @@ class Lexicon:
         self.dropped: dict[int, set[str]] = {1: set(), 2: set()}  # strings that terms become by dropping letters, by their edits
         self.sizes: dict[int, set[int]] = {1: set(), 2: set()}
         for t in terms:
+            d = edits(t)
             node = self.trie
             for c in t:
                 node = node.setdefault(c, {})
+                least, most, limit = node.get(None, (len(t), len(t), d))  # letters and edits of the terms below
+                node[None] = min(least, len(t)), max(most, len(t)), max(limit, d)
             node[""] = t
-            d = edits(t)
             if d:
                 self.dropped[d] |= drops(t, d)
                 self.sizes[d].update(range(len(t) - d, len(t) + d + 1))
@@ -125,7 +120,7 @@ class Lexicon:
         if not self.near(word):
             return None
         best: tuple[int, str] | None = None
-        automaton = Automaton(word, 2)
+        size, automaton = len(word), Automaton(word)
         todo = [(self.trie, automaton.start())]
         while todo:
             node, state = todo.pop()
@@ -134,10 +129,12 @@ class Lexicon:
                     e = automaton.accepts(state)
                     if e is not None and e <= edits(child) and (best is None or (e, child) < best):
                         best = (e, child)
-                else:
-                    after = automaton.step(state, letter)
-                    if after:
-                        todo.append((child, after))
+                elif letter is not None:
+                    least, most, limit = child[None]
+                    if least - limit <= size <= most + limit:
+                        after = automaton.step(state, letter)
+                        if after[limit]:
+                            todo.append((child, after))
         return (best[1], best[0]) if best else None
 
 
@@ -151,7 +148,8 @@ class Matches(dict):
     def __missing__(self, word: str):
         if len(self) > CACHE:
             self.clear()
-        found = self[word] = self.lexicon.match(word)
+        bare = _EDGE.sub("", word)
+        found = self[word] = self.lexicon.match(word) if bare == word else self[bare]
         return found
 
 
