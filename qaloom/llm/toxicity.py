@@ -3,8 +3,9 @@
 1. Lexicon. Words that labelled texts of class 1 hold far more often than others (documents counted, equal texts once): their odds
    are `LEAST_ODDS` or more, and a likelihood-ratio test lets about one word in by chance, however many words there are.
 2. Matching. The terms form a trie. A word's Levenshtein automaton is walked along the trie, so one walk finds all terms within
-   one edit (two for terms of `LONG` letters or more, none for terms under four). Only words that become
-   the same string as a term when each drops as many letters as there may be edits, as near ones must, are walked.
+   one edit (two for terms of `LONG` letters or more, none for terms under four); the automata of many words walk together, level
+   by level. A word and a term that is near become the same string when each drops as many letters as there may be edits; these
+   strings are compared by 64-bit hashes, and a walk leaves subtrees without a term that the word shares one with.
 3. Context. Every match looks at `SPAN` words on either side. Quotation marks around the match and reporting words raise its
    quotation score, words of address lower it. Matches add their abuse share and their quotation share to separate features.
 4. A logistic regression over these features gives the score.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from qaloom.llm.common import fold, stored
+from qaloom.llm.common import chunks, fold, mix, powers, stored
 
 SAMPLE = 20_000
 LEAST_TEXTS = 5
@@ -34,6 +35,8 @@ LONG = 8
 SPAN = 6
 THRESHOLD = 0.3
 CACHE = 500_000
+LETTERS = 61  # longest word whose automaton fits 64 bits
+FRONT = 20_000  # words that are walked together
 QUOTES = "\"'‘’“”«»„`"
 REPORTING = frozenset("said says say called calls call wrote writes quoted quote quotes term word words phrase slur insult told claimed alleged dit disait sagte nannte dijo".split())
 ADDRESS = frozenset("you your youre u ur yourself du dich dein tu te toi vous usted eres".split())
@@ -44,13 +47,57 @@ def edits(term: str) -> int:
     return 2 if len(term) >= LONG else 1 if len(term) >= 4 else 0
 
 
-def drops(word: str, limit: int) -> set[str]:
-    """The word and all it becomes by dropping up to `limit` letters."""
-    out = last = {word}
-    for _ in range(limit):
-        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
-        out = out | last
-    return out
+def code_points(words: list[str]) -> np.ndarray:
+    """Words of one length as a matrix, a row for each."""
+    return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), -1)
+
+
+def by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    """The lengths of the words and the places of those that have it."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    for size in np.unique(sizes).tolist():
+        yield size, np.flatnonzero(sizes == size)
+
+
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = np.uint64(pow(_BASE, -1, 1 << 64))
+_SPREAD = np.uint64(0xD6E8FEB86659FD93)
+
+
+def drop_hashes(letters: np.ndarray, limit: int) -> Iterator[np.ndarray]:
+    """Hashes of words of one length and of all they become by dropping up to `limit` letters (2 at most), one array for each choice."""
+    n, size = letters.shape
+    values = mix(letters.astype(np.uint64) + np.uint64(_BASE)) * powers(_BASE, size)
+    upto = np.zeros((size + 1, n), dtype=np.uint64)  # sums of the letters before each place
+    np.cumsum(values.T, axis=0, out=upto[1:])
+    whole = upto[size]
+    yield whole
+    once, twice = upto * _INVERSE, upto * _INVERSE * _INVERSE  # letters behind a dropped one move to the place before
+    for i in range(size if limit else 0):
+        first = upto[i] - once[i + 1]
+        yield first + once[size]
+        for j in range(i + 1, size if limit > 1 else 0):
+            yield first + once[j] - twice[j + 1] + twice[size]
+
+
+class Hashes:
+    """64-bit hashes and a number for each; a table of bits keeps most others from being searched."""
+
+    def __init__(self, values: np.ndarray, numbers: np.ndarray):
+        order = np.argsort(values, kind="stable")
+        self.values, self.numbers = values[order], numbers[order]
+        bits = max(10, int(16 * len(values)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, dtype=bool)
+        self.table[self.values * _SPREAD >> self.shift] = True
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in `values` and the numbers of equal hashes."""
+        at = np.flatnonzero(self.table[values * _SPREAD >> self.shift])
+        lo = np.searchsorted(self.values, values[at])
+        at, lo = at[(same := self.values[np.minimum(lo, len(self.values) - 1)] == values[at])], lo[same]
+        times = np.searchsorted(self.values, values[at], side="right") - lo
+        return np.repeat(at, times), self.numbers[np.arange(times.sum()) + np.repeat(lo - (np.cumsum(times) - times), times)]
 
 
 class Automaton:
@@ -85,94 +132,193 @@ class Lexicon:
 
     def __init__(self, terms: dict[str, float]):
         self.weight = terms
-        self.trie: dict = {}
-        parts: set[str] = set()
-        self.dropped: dict[int, set[str]] = {1: set(), 2: set()}  # strings that terms become by dropping letters, by their edits
-        self.sizes: dict[int, set[int]] = {1: set(), 2: set()}
-        for t in terms:
-            d = edits(t)
-            node = self.trie
+        self.terms = sorted(terms)
+        self.edits = np.array([edits(t) for t in self.terms], dtype=np.int64)
+        self.size = np.array([len(t) for t in self.terms], dtype=np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.trie: list[dict[str, int]] = [{}]
+        about: list[list[int]] = [[0, 0, 0, -1]]  # letters, fewest and most, and edits of the terms below; the term that ends here
+        path: list[int] = []  # the nodes of each term, term after term
+        for rank, t in enumerate(self.terms):
+            at, d = 0, edits(t)
             for c in t:
-                node = node.setdefault(c, {})
-                least, most, limit = node.get(None, (len(t), len(t), d))  # letters and edits of the terms below
-                node[None] = min(least, len(t)), max(most, len(t)), max(limit, d)
-            node[""] = t
-            if d:
-                self.dropped[d] |= drops(t, d)
-                self.sizes[d].update(range(len(t) - d, len(t) + d + 1))
-            if d == 2:
-                cuts = [round(i * len(t) / 3) for i in range(4)]  # two edits leave one of three parts as it is
-                parts.update(t[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True))
-        self.parts = re.compile("|".join(map(re.escape, sorted(parts)))) if parts else None
-
-    def near(self, word: str) -> bool:
-        """False only if no term is within its edits: words d edits apart have a common string after dropping d letters each."""
-        size = len(word)
-        if size in self.sizes[1] and not self.dropped[1].isdisjoint(drops(word, 1)):
-            return True
-        return size in self.sizes[2] and bool(self.parts.search(word)) and not self.dropped[2].isdisjoint(drops(word, 2))
+                if c not in self.trie[at]:
+                    self.trie[at][c] = len(self.trie)
+                    self.trie.append({})
+                    about.append([len(t), len(t), d, -1])
+                at = self.trie[at][c]
+                least, most, limit, ends = about[at]
+                about[at] = [min(least, len(t)), max(most, len(t)), max(limit, d), ends]
+                path.append(at)
+            about[at][3] = rank
+        self.about, self.path = np.array(about, dtype=np.int64), np.array(path, dtype=np.int64)
+        codes = np.array([ord(c) for t in self.terms for c in t], dtype=np.uint32)
+        self.alphabet = np.unique(codes)
+        self.letter = np.zeros(len(self.trie), dtype=np.int64)  # that leads to each node
+        self.letter[self.path] = np.searchsorted(self.alphabet, codes)
+        self.dropped: dict[int, Hashes] = {}  # what terms become by dropping letters, by their edits
+        self.sizes: dict[int, set[int]] = {}
+        for d in (1, 2):
+            ranks = np.flatnonzero(self.edits == d)
+            if len(ranks):
+                of = [self.terms[i] for i in ranks.tolist()]
+                hashes = [(h, ranks[at]) for _, at in by_length(of) for h in drop_hashes(code_points([of[i] for i in at.tolist()]), d)]
+                self.dropped[d] = Hashes(np.concatenate([h for h, _ in hashes]), np.concatenate([r for _, r in hashes]))
+                self.sizes[d] = {n for t in of for n in range(len(t) - d, len(t) + d + 1)}
+
+    def near(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of words, in order, and terms (numbers) that may be within their edits; those that are, are among them: words d
+        edits apart have a common string after dropping d letters each."""
+        pairs = [np.zeros(0, dtype=np.int64)]
+        for size, at in by_length(words):
+            held = [d for d in (1, 2) if size and size in self.sizes.get(d, ())]
+            codes = code_points([words[i] for i in at.tolist()]) if held else None
+            for d in held:
+                for h in drop_hashes(codes, d):
+                    found, ranks = self.dropped[d].find(h)
+                    if len(found):
+                        pairs.append(at[found] * len(self.terms) + ranks)
+        both = np.unique(np.concatenate(pairs))
+        return np.divmod(both, max(1, len(self.terms)))
+
+    def walk(self, words: list[str], word: np.ndarray, rank: np.ndarray) -> list[tuple[str, int] | None]:
+        """The nearest terms of words of up to `LETTERS` letters, of the pairs (word, rank) in order. All automata go down the trie
+        together, level by level; one leaves a subtree that has none of its terms, or when no position is left."""
+        n, size = len(words), np.fromiter(map(len, words), np.int64, len(words))
+        letters = np.zeros((n, len(self.alphabet) + 1), dtype=np.uint64)  # places of each letter of the alphabet in each word, as bits
+        for length, rows in by_length(words):
+            codes = code_points([words[i] for i in rows.tolist()])
+            at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+            at = np.where(self.alphabet[at] == codes, at, len(self.alphabet))
+            for i in range(length):
+                letters[rows, at[:, i]] |= np.uint64(1 << i)
+        one_bit = np.uint64(1)
+        end = one_bit << size.astype(np.uint64)
+        every = (end << one_bit) - one_bit
+        none_found = 3 * len(self.terms)
+        best = np.full(n, none_found, dtype=np.int64)
+        at, depth = word, 0  # where each pair's state is; it starts at the root, one state for each word
+        states = [np.full(n, 1, dtype=np.uint64), every & np.uint64(3), every & np.uint64(7)]
+        while len(word):
+            node = self.path[self.start[rank] + depth]
+            new = np.append(True, (word[1:] != word[:-1]) | (node[1:] != node[:-1]))  # pairs on one way share a state
+            first = np.flatnonzero(new)
+            none, one, two = (s[at[first]] for s in states)
+            same, all_of = letters[word[first], self.letter[node[first]]], every[word[first]]
+            # equal letters move on; an edit stays (the term has one letter more), moves on (another letter) or skips a letter of the word
+            x = (none & same) << one_bit
+            y = ((one & same) << one_bit | none | (none | x) << one_bit) & all_of
+            z = ((two & same) << one_bit | one | (one | y) << one_bit) & all_of
+            states, at, depth = [x, y, z], np.cumsum(new) - 1, depth + 1
+            ended = self.size[rank] == depth
+            for e, state in enumerate(states):
+                got = np.flatnonzero(ended & (state[at] & end[word] > 0) & (self.edits[rank] >= e))
+                np.minimum.at(best, word[got], e * len(self.terms) + rank[got])
+            on = np.flatnonzero(~ended & (z[at] > 0))
+            word, rank, at = word[on], rank[on], at[on]
+        return [None if b == none_found else (self.terms[b % len(self.terms)], b // len(self.terms)) for b in best.tolist()]
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term (ties: the first in the alphabet) and its number of edits."""
-        word = _EDGE.sub("", word)
-        if word in self.weight:
-            return word, 0
-        if not self.near(word):
-            return None
-        best: tuple[int, str] | None = None
+        return self.match_all([_EDGE.sub("", word)])[0]
+
+    def match_all(self, words: list[str]) -> list[tuple[str, int] | None]:
+        """`match` for words without signs at their ends."""
+        out: list[tuple[str, int] | None] = [(w, 0) if w in self.weight else None for w in words]
+        left = [i for i, found in enumerate(out) if found is None]
+        word, rank = self.near([words[i] for i in left])
+        near, word = np.unique(word, return_inverse=True)
+        left = [left[i] for i in near.tolist()]
+        short = np.array([len(words[i]) <= LETTERS for i in left], dtype=bool)
+        for i in np.flatnonzero(~short).tolist():
+            out[left[i]] = self.match_long(words[left[i]])
+        rank, word = rank[short[word]], (np.cumsum(short) - 1)[word[short[word]]]
+        left = [i for i, s in zip(left, short.tolist(), strict=True) if s]
+        for lo in range(0, len(left), FRONT):
+            a, z = np.searchsorted(word, [lo, lo + FRONT])
+            for i, found in zip(left[lo : lo + FRONT], self.walk([words[i] for i in left[lo : lo + FRONT]], word[a:z] - lo, rank[a:z]), strict=True):
+                out[i] = found
+        return out
+
+    def match_long(self, word: str) -> tuple[str, int] | None:
+        """The nearest term of a word of any length, by an automaton of its own."""
+        best: tuple[int, int] | None = None
         size, automaton = len(word), Automaton(word)
-        todo = [(self.trie, automaton.start())]
+        todo = [(0, automaton.start())]
         while todo:
-            node, state = todo.pop()
-            for letter, child in node.items():
-                if letter == "":
-                    e = automaton.accepts(state)
-                    if e is not None and e <= edits(child) and (best is None or (e, child) < best):
-                        best = (e, child)
-                elif letter is not None:
-                    least, most, limit = child[None]
-                    if least - limit <= size <= most + limit:
-                        after = automaton.step(state, letter)
-                        if after[limit]:
-                            todo.append((child, after))
-        return (best[1], best[0]) if best else None
+            at, state = todo.pop()
+            for letter, child in self.trie[at].items():
+                least, most, limit, rank = self.about[child].tolist()
+                if least - limit <= size <= most + limit:
+                    after = automaton.step(state, letter)
+                    e = automaton.accepts(after) if rank >= 0 else None
+                    if e is not None and e <= self.edits[rank] and (best is None or (e, rank) < best):
+                        best = (e, rank)
+                    if after[limit]:
+                        todo.append((child, after))
+        return (self.terms[best[1]], best[0]) if best else None
+
+
+def bare_word(word: str) -> str:
+    """The word without signs at its ends; letters and digits are no signs."""
+    return word if word and word[0].isalnum() and word[-1].isalnum() else _EDGE.sub("", word)
 
 
 class Matches(dict):
-    """Matches of words, each looked up once."""
+    """Matches of words, each looked up once, many at a time."""
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
-        self.lexicon = lexicon
+        self.lexicon, self.signs = lexicon, Signs()
 
-    def __missing__(self, word: str):
+    def learn(self, words: set[str]) -> None:
+        """Look up the words that are not known yet."""
         if len(self) > CACHE:
             self.clear()
-        bare = _EDGE.sub("", word)
-        found = self[word] = self.lexicon.match(word) if bare == word else self[bare]
+        new = [w for w in words if w not in self]
+        bare = [bare_word(w) for w in new]
+        missing = list({b for b in bare if b not in self})
+        self.update(zip(missing, self.lexicon.match_all(missing), strict=True))
+        self.update((w, self[b]) for w, b in zip(new, bare, strict=True))
+
+
+OPENS, CLOSES, REPORTS, ADDRESSES = 1, 2, 4, 8
+
+
+class Signs(dict):
+    """What a word says about the matches near it, each word looked up once."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > CACHE:
+            self.clear()
+        bare, end = bare_word(word), word.rstrip(".,;:!?")
+        found = self[word] = (
+            OPENS * (word[0] in QUOTES) | CLOSES * (end != "" and end[-1] in QUOTES) | REPORTS * (bare in REPORTING) | ADDRESSES * (bare in ADDRESS)
+        )
         return found
 
 
-def quotation(words: list[str], at: int) -> float:
+def quotation(words: list[str], at: int, signs: Signs | None = None) -> float:
     """0 (abuse) to 1 (quotation): how far the words around a match speak of it rather than use it."""
-    lo, hi = max(0, at - SPAN), min(len(words), at + SPAN + 1)
-    opened = any(w[0] in QUOTES for w in words[lo : at + 1])
-    closed = any(w.rstrip(".,;:!?")[-1:] in QUOTES and w.rstrip(".,;:!?") != "" for w in words[at:hi])
-    near = [_EDGE.sub("", w) for w in words[lo:hi]]
-    value = 0.6 * (opened and closed) + 0.3 * any(w in REPORTING for w in near) - 0.3 * any(w in ADDRESS for w in near)
+    signs = Signs() if signs is None else signs
+    before = after = signs[words[at]]
+    for w in words[max(0, at - SPAN) : at]:
+        before |= signs[w]
+    for w in words[at + 1 : at + SPAN + 1]:
+        after |= signs[w]
+    value = 0.6 * bool(before & OPENS and after & CLOSES) + 0.3 * bool((before | after) & REPORTS) - 0.3 * bool((before | after) & ADDRESSES)
     return min(1.0, max(0.0, value))
 
 
 FEATURES = 6
 
 
-def features(text: str, matches: Matches) -> list[float]:
-    words = text.lower().split()
-    hits = [i for i, w in enumerate(words) if matches[w] is not None]
+def features(words: list[str], matches: Matches) -> list[float]:
+    hits = [i for i, found in enumerate(map(matches.__getitem__, words)) if found is not None]
     abuse = quoted = edited = weight = 0.0
     for i in hits:
         term, e = matches[words[i]]
-        q = quotation(words, i)
+        q = quotation(words, i, matches.signs)
         share = 1.0 if e == 0 else 0.0
         abuse += (1.0 - q) * share
         quoted += q
@@ -181,6 +327,15 @@ def features(text: str, matches: Matches) -> list[float]:
     return [np.log1p(abuse), float(abuse >= 1), np.log1p(edited), np.log1p(quoted), np.log1p(weight), np.log1p(1000 * (abuse + edited) / (len(words) + 50))]
 
 
+def all_features(texts: list[str | None], matches: Matches) -> list[list[float]]:
+    out = []
+    for lo, hi in chunks([len(t or "") for t in texts]):
+        words = [(t or "").lower().split() for t in texts[lo:hi]]
+        matches.learn(set().union(*words))
+        out += [features(w, matches) for w in words]
+    return out
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 50) -> np.ndarray:
     """Weights of a logistic regression with an intercept, by Newton's method."""
     x = np.column_stack([x, np.ones(len(x))])
@@ -204,7 +359,7 @@ class Stripped(dict):
     def __missing__(self, word: str) -> str:
         if len(self) > CACHE:
             self.clear()
-        found = self[word] = _EDGE.sub("", word)
+        found = self[word] = bare_word(word)
         return found
 
 
@@ -271,7 +426,7 @@ def described(lexicon: Lexicon):
 
         matches = Matches(lexicon)
         for b in batches:
-            x = pa.array([features(t or "", matches) for t in b.column(b.num_columns - 1).to_pylist()], pa.list_(pa.float64()))
+            x = pa.array(all_features(b.column(b.num_columns - 1).to_pylist(), matches), pa.list_(pa.float64()))
             yield pa.record_batch([*b.columns[:-1], x], names=[*b.schema.names[:-1], "x"])
 
     return describe
@@ -331,7 +486,7 @@ def score(docs: DataFrame, lexicon: Lexicon, weights: np.ndarray, text: str = "t
 
         matches = Matches(lexicon)
         for b in batches:
-            x = np.array([features(t or "", matches) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, FEATURES)
+            x = np.array(all_features(b.column(b.num_columns - 1).to_pylist(), matches), dtype=np.float64).reshape(-1, FEATURES)
             z = x @ weights[:-1] + weights[-1]
             with np.errstate(over="ignore"):
                 p = 1 / (1 + np.exp(-z))
