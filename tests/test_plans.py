@@ -48,3 +48,16 @@ def test_partition_filter_and_pruned_columns(spark, sf):
 def test_attempts_shuffle_once(spark, sf):
     for name in ("attempts_effective", "final_attempt", "run_severity", "report_summary"):
         assert plan_of(spark, name, sf).count("Exchange hashpartitioning") == 1, name
+
+
+@pytest.mark.parametrize("name", ["illegal_jumps", "status_progress"])
+def test_attempts_of_a_large_table_are_dealt_to_more_tasks(spark, monkeypatch, sf, name):
+    """Rows of a task stay bounded when the number of shuffle partitions does not grow with the table."""
+    from qaloom.plans import views
+
+    want = sorted(map(tuple, QUERIES[name](spark, sf).collect()), key=repr)
+    monkeypatch.setattr(views, "ROWS_PER_TASK", 200, raising=False)
+    df = QUERIES[name](spark, sf)
+    assert df.rdd.getNumPartitions() >= 20 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, df.collect()), key=repr) == want
+    assert plan_of(spark, name, sf).count("Exchange hashpartitioning") == 1
