@@ -61,3 +61,9 @@ def test_attempts_of_a_large_table_are_dealt_to_more_tasks(spark, monkeypatch, s
     assert df.rdd.getNumPartitions() >= 20 > int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sorted(map(tuple, df.collect()), key=repr) == want
     assert plan_of(spark, name, sf).count("Exchange hashpartitioning") == 1
+
+
+@pytest.mark.parametrize("name,most", [("retry_context", 1), ("report_documents_refreshed", 0)])
+def test_attempts_are_not_made_again_for_every_reader(spark, sf, name, most):
+    """Logs and facts that several steps read are written once; what is left reads the line items at most once."""
+    assert plan_of(spark, name, sf).count("ReadSchema: struct<l_orderkey") <= most
