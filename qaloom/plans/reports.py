@@ -9,6 +9,7 @@ from qaloom.operators import reports, runs, visual
 from qaloom.plans.execution import _ARTIFACTS, CLASSIFIED, TOP, effective, explained, with_artifacts, with_run
 from qaloom.plans.registry import CHECKS, filled, query, quoted
 from qaloom.plans.views import view, with_views
+from qaloom.session import written
 
 STAMP = "2024-02-01 00:00:00 UTC"
 
@@ -120,9 +121,8 @@ def answers(spark, d, kind):
     return reports.newest_answers(view(spark, d, "fx_answers").filter(F.col("kind") == kind))
 
 
-def asked(spark, d):
+def asked(facts):
     """Requests that the model got: analyses of attempts that are not clean, reviews of larger differences."""
-    facts = severities(spark, d)
     analyses = facts.filter("severity <> 'info'").select(F.lit("analysis").alias("kind"), "run_id", "attempt")
     return analyses.unionByName(facts.filter("ask_model").select(F.lit("review").alias("kind"), "run_id", "attempt"))
 
@@ -133,7 +133,7 @@ SELECT coalesce(a.kind, n.kind) AS kind, coalesce(a.run_id, n.run_id) AS run_id,
 FROM (SELECT 'analysis' AS kind, run_id, attempt FROM sev WHERE severity <> 'info' UNION ALL SELECT 'review', run_id, attempt FROM diffs WHERE ask_model) a
 FULL JOIN newest n ON n.kind = a.kind AND n.run_id = a.run_id AND n.attempt = a.attempt""", _severity_ctes("observed") + "," + ANSWERS))
 def answer_ledger(spark, d):
-    return reports.answer_ledger(asked(spark, d), view(spark, d, "fx_answers"))
+    return reports.answer_ledger(asked(severities(spark, d)), view(spark, d, "fx_answers"))
 
 
 @query("analysis_results", with_views(f"""
@@ -196,9 +196,10 @@ def report_facts(spark, d):
 # the reports written before any answer, brought up to date by a batch of answers that touches some of them
 @query("report_documents_refreshed", CHECKS["report_documents"])
 def report_documents_refreshed(spark, d):
-    facts = unanswered_facts(spark, d)
+    # the reports so far, the requests and the reports to build anew are all read from the facts, so these are made once
+    facts = written(unanswered_facts(spark, d), "facts")
     build = lambda f: reports.report_documents(f, STAMP)
-    ledger = reports.answer_ledger(asked(spark, d), view(spark, d, "fx_answers")).filter("state = 'answered'")
+    ledger = reports.answer_ledger(asked(facts), view(spark, d, "fx_answers")).filter("state = 'answered'")
     touched = facts.join(ledger.select("run_id", "attempt").distinct(), ["run_id", "attempt"], "left_semi")
     return reports.refreshed(build(facts), answered(spark, d, touched), ledger, build)
 
