@@ -67,3 +67,9 @@ def test_attempts_of_a_large_table_are_dealt_to_more_tasks(spark, monkeypatch, s
 def test_attempts_are_not_made_again_for_every_reader(spark, sf, name, most):
     """Logs and facts that several steps read are written once; what is left reads the line items at most once."""
     assert plan_of(spark, name, sf).count("ReadSchema: struct<l_orderkey") <= most
+
+
+def test_page_texts_join_prompts_last(spark, sf):
+    """The text of a page, the same for many attempts, is not shuffled with each of them: the topmost join is the one of the page."""
+    plan = QUERIES["prompt_rows"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "page_id" in next(line for line in plan.split("\n") if "Join " in line)
