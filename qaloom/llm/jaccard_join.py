@@ -100,9 +100,10 @@ def prefixes(docs: DataFrame, text: str, k: int, percent: int) -> DataFrame:
 
 def memberships(docs: DataFrame, nodes: DataFrame, text: str, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(leader, node, m): the groups in which all linked nodes meet, of m nodes each, two at least."""
-    rows = prefixes(docs, text, k, percent)
-    leaders = rows.groupBy("shingle").agg(F.min("node").alias("leader"), F.max("node").alias("top")).filter("leader <> top").drop("top")
-    shared = rows.join(leaders, "shingle").groupBy("node", "leader").agg(F.countDistinct("shingle").alias("c"))
+    # the rows move once: the nodes of a shingle are sorted together, and its leader is written beside each
+    same = W.partitionBy("shingle")
+    rows = prefixes(docs, text, k, percent).withColumn("leader", F.min("node").over(same)).withColumn("top", F.max("node").over(same))
+    shared = rows.filter("leader <> top").groupBy("node", "leader").agg(F.countDistinct("shingle").alias("c"))
     least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / PART))
     by_node = W.partitionBy("node")
     shared = (

@@ -133,6 +133,19 @@ def test_jaccard_join(spark, rows, docs, none):
     assert kept.columns == docs.columns and {1, 10}.issubset(ids) and not {2, 3, 16}.intersection(ids) and ids.count(None) == 2 and ids.count(15) == 1
 
 
+def test_jaccard_join_moves_its_prefixes_once(spark, docs, monkeypatch):
+    plans, write = [], jaccard_join.stored
+
+    def stored(df, name):
+        if name == "shared-shingles":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(jaccard_join, "stored", stored)
+    jaccard_join.classes(docs).collect()
+    assert [p.count("MapInArrow cut") for p in plans] == [1] and plans[0].count("Exchange hashpartitioning(shingle") == 1
+
+
 def test_jaccard_join_on_random_families(spark):
     rng = random.Random(1)
     rows = []
