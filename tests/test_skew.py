@@ -84,3 +84,12 @@ def test_joined_text_across_slices(spark):
 def test_first_n_limits_before_the_shuffle(spark):
     plan = first_n(facts(spark), ["k"], ["id"], 2)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_large_scans_are_dealt_without_holding_them(spark):
+    """More tasks than Spark writes straight to files for make each task of the scan hold its rows."""
+    from qaloom.operators.skew import deal_by_key
+
+    parts = lambda n: deal_by_key(spark.range(5000), "id", n).rdd.getNumPartitions()
+    assert [parts(n) for n in (1000, 100, 10, 2)] == [spark.range(5000).rdd.getNumPartitions(), 50, 200, 313]
+    assert deal_by_key(spark.range(5000), "id", 10).distinct().count() == 5000
