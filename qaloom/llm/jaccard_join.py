@@ -220,7 +220,8 @@ def linked_nodes(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, k: i
                     ints = [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int32())]
                     yield pa.record_batch([*ints, pa.array([rep] * len(some), pa.int64()), pa.array([s.tobytes()] * len(some), pa.binary())], names=["leader", "i", "j", "rep", "items"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(dealt, "rep")
+    # both sides move at every size: a list of groups small enough to broadcast would leave the texts in place for small tables only
+    rows = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text")).join(dealt.hint("merge"), "rep")
     sets = rows.select("rep", "text", "node", "groups").mapInArrow(build, "leader long, i int, j int, rep long, items binary")
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:

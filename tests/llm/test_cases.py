@@ -44,3 +44,12 @@ def test_toxicity_learns_the_same_where_texts_stay_in_place(spark):
         bare, flat = toxicity.train_on(docs, few, "doc_id", "text", "toxic", 4, 2)
         assert bare.weight == {} and {r["score"] for r in toxicity.score(docs, bare, flat).collect()} == {0.0}
     assert toxicity.train_on(docs.limit(0), marks, "doc_id", "text", "toxic", 4, 2)[0].weight == {}
+
+
+def test_texts_of_the_shingle_join_move_at_every_size(spark, capsys):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j + i // 2}" for j in range(60))) for i in range(20)], "doc_id long, text string")
+    nodes = jaccard_join.node_table(docs, "doc_id", "text")
+    capsys.readouterr()
+    jaccard_join.linked_nodes(docs, nodes, "text", "doc_id").explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
