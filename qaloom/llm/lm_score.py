@@ -14,6 +14,9 @@ probabilities add up to one at most (but for false positives, about one probe in
 Every word and bigram of the training rows is in the filter, however rare. The filter is a table of segments whose number grows
 with the n-grams; it is never held whole. Texts are cut into blocks, a block's different probes travel to the pieces (groups of `PIECE`
 segments) that answer them, and the answers return to the block. A piece that is asked too often is repeated.
+The query scores the rows it learns from, and more: there (`learn_and_score`) a block's pairs travel once, to parts that count them, build
+the segments of their words and answer by them, so neither bigrams nor segments are written. Words of more than `HOT` of all tokens are
+counted exactly there.
 
 Exact counts: words with at least `HEAD` of all tokens (at most 1 / HEAD words) are broadcast, the
 others are joined; no such word is a hot key. Words are compared by 64-bit hashes.
@@ -33,7 +36,7 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from qaloom.llm.common import Shipped, Words, as_bytes, chunks, fold, mix, stored
+from qaloom.llm.common import Shipped, Words, as_bytes, chunks, fold, giving_back, mix, packed, stored, unpacked
 
 HEAD = 1e-6
 BASE = 1.2
@@ -43,6 +46,8 @@ SEGMENT = 1 << 16
 PIECE = 16  # segments that are probed together
 BLOCK = 4_000_000  # bytes of text that are scored together
 ASKED = 2_000_000  # probes that one copy of a piece answers
+PART = 2_000_000  # tokens of the rows for each part that counts and answers
+HOT = 1e-3  # share of all tokens from which a word's pairs are dealt by their second words
 DISCOUNT = 0.75
 _END = np.uint64(0x5851F42D4C957F2D)
 _PAIR = np.uint64(0x2545F4914F6CDD1D)
@@ -412,13 +417,268 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, doc_id: str = "doc_i
     return blocks.groupBy("block").cogroup(answers.select("block", "at", "levels", "j", "c").groupBy("block")).applyInArrow(rate, schema)
 
 
+# ---- rows that are scored and learned from at once: what a block asks is also what it adds, so its pairs travel once
+
+
+@dataclass
+class Hot:
+    """Words that are so frequent that their pairs are dealt by the second word, and what all parts have counted of them."""
+
+    words: np.ndarray  # hashes, sorted
+    counts: np.ndarray | None = None
+    follow: np.ndarray | None = None  # different words after each
+
+    def within(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of hot words in `words` (sorted), and their places in the list."""
+        found, at, which = np.intersect1d(words, self.words, assume_unique=True, return_indices=True)
+        return at, which
+
+
+def levels_of(c: np.ndarray) -> np.ndarray:
+    """Levels at which an n-gram of count c is entered."""
+    c = np.asarray(c, dtype=np.float64)
+    return np.where(c > 0, np.floor(np.log(np.maximum(c, 1)) / math.log(BASE) + 1e-9) + 1, 0).astype(np.int64)
+
+
+def filled(keys: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, int]:
+    """Bits of a filter of its own of all keys, an empty segment behind them, and the number of its segments."""
+    segments = math.ceil(int(levels.sum()) * BITS / SEGMENT)
+    bits = np.zeros((segments + 1) * SEGMENT, dtype=bool)
+    start = segment_of(keys, max(1, segments)).astype(np.uint64) * np.uint64(SEGMENT)
+    for level in range(int(levels.max(initial=0))):
+        at = np.flatnonzero(levels > level)
+        for lo in range(0, len(at), 200_000):
+            some = at[lo : lo + 200_000]
+            bits[(Filter.places(keys[some], level) + start[some]).ravel().astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little"), segments
+
+
+def pairs_of(seq: np.ndarray, bounds: np.ndarray, end: int, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(h, w, which): the different pairs of a block as places of their words, in order, and the pair of each token."""
+    first = np.empty_like(seq)
+    first[1:] = seq[:-1]
+    first[bounds[:-1]] = end
+    codes, which = np.unique(first * words + seq, return_inverse=True)
+    return codes // words, codes % words, which
+
+
+def dealt_pairs(h: np.ndarray, w: np.ndarray, cuts: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of a block's pairs by part, and the bounds of the parts in it. Part i has the pairs of words from cuts[i] to cuts[i + 1], and
+    behind them those pairs of hot words whose second word stands there."""
+    is_hot = hot[h]
+    part = np.searchsorted(cuts, np.where(is_hot, w, h), side="right") - 1
+    order = np.argsort(2 * part + is_hot, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(len(cuts)))
+
+
+def cuts_of(words: np.ndarray, parts: int) -> np.ndarray:
+    """Where the ranges of hashes of the parts begin in sorted `words`, and their end."""
+    step = (1 << 64) // parts
+    return np.concatenate([[0], np.searchsorted(words, np.array([i * step for i in range(1, parts)], dtype=np.uint64)), [len(words)]]).astype(np.int64)
+
+
+def _text_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of the texts of docs (doc_id, text, learn): sizes, marks, sorted word hashes, their counts, and the words in text order by rank."""
+
+    @giving_back
+    def cut(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        part, made, names, texts, marks, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+
+        def block():
+            nonlocal made
+            hashes, bounds = tokens(texts)
+            words, at, count = np.unique(hashes, return_inverse=True, return_counts=True)
+            rank = np.empty(len(words), dtype=np.int64)
+            rank[np.argsort(-count, kind="stable")] = np.arange(len(words))
+            made += 1
+            arrays = [packed(np.diff(bounds)), packed(np.array(marks)), packed(np.diff(words, prepend=np.uint64(0))), packed(count), packed(rank[at])]
+            codes = [pa.array([x], pa.binary()) for x in arrays]
+            columns = [pa.array([(part << 33) + made]), pa.array([names], pa.list_(pa.int64())), *codes, pa.array([len(hashes)])]
+            return pa.record_batch(columns, names=["block", "ids", "sizes", "marks", "words", "count", "seq", "n"])
+
+        for b in batches:
+            for name, t, learn in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist(), strict=True):
+                if texts and size + len(t) > BLOCK:
+                    yield block()
+                    names, texts, marks, size = [], [], [], 0
+                names.append(name)
+                texts.append(t)
+                marks.append(bool(learn))
+                size += len(t) + 1
+        if texts:
+            yield block()
+
+    return stored(docs.mapInArrow(cut, "block long, ids array<long>, sizes binary, marks binary, words binary, count binary, seq binary, n long"), "blocks")
+
+
+def opened(sizes: bytes, count: bytes, seq: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of a block's texts and the places of their words among its sorted words."""
+    return np.append(0, np.cumsum(unpacked(sizes))), np.argsort(-unpacked(count), kind="stable")[unpacked(seq)]
+
+
+def hashes_of(words: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(words).view(np.uint64), dtype=np.uint64)
+
+
+def learn_and_score(docs: DataFrame, learn, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """What `score` gives for every row of `docs` by the model of those rows where the column `learn` is true.
+
+    A block sends each part (a range of word hashes) its words there, their different pairs and how often rows that are learned from have them.
+    A part counts its pairs, which gives C(h) and T(h) too, enters all in a filter of its own, and answers what was asked by probing it.
+    Second words travel as the first 40 bits of their hashes; two that are equal there are one after the same word.
+    """
+    spark = docs.sparkSession
+    mark = F.coalesce(learn, F.lit(False))
+    blocks = _text_blocks(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), mark.alias("learn")))
+    total = blocks.agg(F.sum("n")).first()[0] or 0
+    parts = max(1, math.ceil(total / PART))
+
+    def frequent(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for words, count in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words, count = hashes_of(words), unpacked(count)
+                often = count >= HOT * count.sum() / 2
+                yield pa.record_batch([pa.array(words[often].view(np.int64)), pa.array(count[often])], names=["key", "c"])
+
+    heavy = blocks.select("words", "count").mapInArrow(frequent, "key long, c long").groupBy("key").agg(F.sum("c").alias("c")).filter(F.col("c") >= HOT * total)
+    hot = Shipped(spark, Hot(np.sort(heavy.toArrow().column("key").to_numpy().view(np.uint64))))  # at most 1 / HOT words
+
+    @giving_back
+    def ask(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for block, sizes, marks, words, count, seq in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                (bounds, at), words = opened(sizes, count, seq), hashes_of(words)
+                h, w, which = pairs_of(at, bounds, int(np.searchsorted(words, _END)), len(words))
+                learned = np.repeat(unpacked(marks), np.diff(bounds)) > 0
+                c = np.bincount(which[learned], minlength=len(h))
+                cuts, is_hot = cuts_of(words, parts), np.zeros(len(words), dtype=bool)
+                is_hot[hot.value.within(words)[0]] = True
+                order, ends = dealt_pairs(h, w, cuts, is_hot)
+                h, w, c = h[order], (words[w[order]] >> np.uint64(24)), c[order]
+                rows = []
+                for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                    if hi > lo:
+                        new = np.append(True, h[lo + 1 : hi] != h[lo : hi - 1])
+                        first = words[h[lo:hi][new]]
+                        runs = np.diff(np.append(np.flatnonzero(new), hi - lo))
+                        second = w[lo:hi]
+                        step = np.diff(second, prepend=np.uint64(0))
+                        step[new] = second[new]  # a run begins anew
+                        rows.append((i, block, packed(np.diff(first, prepend=np.uint64(0))), packed(runs), packed(step), packed(c[lo:hi])))
+                columns = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), [pa.int64()] * 2 + [pa.binary()] * 4, strict=True)]
+                yield pa.record_batch(columns, names=["part", "block", "first", "runs", "second", "c"])
+
+    def count(asked):
+        import pyarrow as pa
+
+        firsts = [hashes_of(x) for x in asked.column("first").to_pylist()]
+        runs = [unpacked(x) for x in asked.column("runs").to_pylist()]
+        keys, first = np.unique(np.concatenate(firsts), return_inverse=True)
+        ends = np.cumsum([len(x) for x in firsts])
+        pairs = []
+        for step, run, hi in zip(asked.column("second").to_pylist(), runs, ends, strict=True):
+            whole = np.cumsum(unpacked(step))
+            before_run = np.cumsum(run) - run
+            second = whole - np.repeat(np.where(before_run > 0, whole[before_run - 1], 0), run)
+            pairs.append(np.repeat(first[hi - len(run) : hi].astype(np.int64) << 40, run) | second)
+        sizes = [len(x) for x in pairs]
+        pairs, which = np.unique(np.concatenate(pairs), return_inverse=True)
+        c = np.bincount(which, np.concatenate([unpacked(x) for x in asked.column("c").to_pylist()])).astype(np.int64)
+        h = pairs >> 40
+        named = mix(mix(keys[h] * _PAIR + np.uint64(1)) + (pairs & ((1 << 40) - 1)).view(np.uint64))
+        n, follow = np.bincount(h, c, len(keys)).astype(np.int64), np.bincount(h[c > 0], minlength=len(keys))
+        is_hot = np.isin(keys, hot.value.words)
+        some = np.flatnonzero((n > 0) & ~is_hot)
+        entered = np.concatenate([named[c > 0], keys[some], rest_key(keys[some])])
+        bits, segments = filled(entered, np.concatenate([levels_of(c[c > 0]), levels_of(n[some]), levels_of(follow[some])]))
+
+        def found(x: np.ndarray) -> np.ndarray:
+            out = [probe(bits, segment_of(y, max(1, segments)) * SEGMENT, y) for y in np.array_split(x, len(x) // 500_000 + 1)]
+            return np.concatenate(out)
+
+        joint, alone, rest = found(named), found(keys), found(rest_key(keys))
+        rows, at = [], 0
+        for block, hi, group, size in zip(asked.column("block").to_pylist(), ends, firsts, sizes, strict=True):
+            mine = first[hi - len(group) : hi]
+            mine = mine[~is_hot[mine]]
+            rows.append((block, packed(joint[which[at : at + size]]), packed(n[mine]), packed(alone[mine]), packed(rest[mine])))
+            at += size
+        rows = list(zip(*rows, strict=True))
+        part = asked.column("part")[0].as_py()
+        answers = pa.table([pa.array(rows[0], pa.int64()), pa.array([part] * len(rows[0]), pa.int64()), *[pa.array(x, pa.binary()) for x in rows[1:]]], names=["block", "part", "joint", "n", "alone", "rest"])
+        heavy = np.flatnonzero(is_hot)
+        sums = pa.table([pa.array([None, *keys[heavy].view(np.int64).tolist()], pa.int64()), pa.array(np.append(n.sum(), n[heavy])), pa.array(np.append(len(some), follow[heavy]))], names=["key", "c", "t"])
+        return pa.concat_tables([answers, sums], promote_options="default").select(["block", "part", "joint", "n", "alone", "rest", "key", "c", "t"])
+
+    asked = blocks.select("block", "sizes", "marks", "words", "count", "seq").mapInArrow(ask, "part long, block long, first binary, runs binary, second binary, c binary")
+    answered = asked.groupBy("part").applyInArrow(count, "block long, part long, joint binary, n binary, alone binary, rest binary, key long, c long, t long")
+    answered = stored(answered, "answers")
+    sums = answered.filter("block is null").groupBy("key").agg(F.sum("c"), F.sum("t")).collect()  # a row for each hot word
+    counted = {r[0]: (r[1], r[2]) for r in sums}
+    n, v = counted.pop(None, (0, 0))
+    each = np.array([counted.get(k, (0, 0)) for k in hot.value.words.view(np.int64).tolist()], dtype=np.int64).reshape(-1, 2)
+    v += int((each[:, 0] > 0).sum())
+    known = Shipped(spark, Hot(hot.value.words, each[:, 0], each[:, 1]))
+    below = math.log10(n + 0.5 * (v + 1))
+
+    def slim(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            words = [hashes_of(x) for x in b.column("words").to_pylist()]
+            more = [[cuts_of(x, parts), *known.value.within(x), np.searchsorted(x, np.array([_END]))] for x in words]
+            codes = [pa.array([packed(x[i]) for x in more], pa.binary()) for i in range(4)]
+            yield pa.record_batch([*(b.column(c) for c in ("block", "ids", "sizes", "count", "seq")), *codes], names=["block", "ids", "sizes", "count", "seq", "cuts", "hot", "which", "end"])
+
+    def rate(blocks, answers):
+        import pyarrow as pa
+
+        out = []
+        answers = answers.sort_by("part")
+        levels, exact, one, after = ([unpacked(x) for x in answers.column(c).to_pylist()] for c in ("joint", "n", "alone", "rest"))
+        for row in blocks.to_pylist():
+            bounds, at = opened(row["sizes"], row["count"], row["seq"])
+            cuts, places, hots = unpacked(row["cuts"]), unpacked(row["hot"]), unpacked(row["which"])
+            is_hot = np.zeros(cuts[-1], dtype=bool)
+            is_hot[places] = True
+            h, w, which = pairs_of(at, bounds, int(unpacked(row["end"])[0]), len(is_hot))
+            joint = np.empty(len(h), dtype=np.int64)
+            joint[dealt_pairs(h, w, cuts, is_hot)[0]] = np.concatenate(levels)
+            c, alone, rest = (np.empty(len(is_hot), dtype=np.int64) for _ in range(3))
+            for x, others, own in ((c, exact, known.value.counts), (alone, one, levels_of(known.value.counts)), (rest, after, levels_of(known.value.follow))):
+                x[~is_hot] = np.concatenate(others)
+                x[places] = own[hots]
+            log_p = log_probability(n, joint, rest[h], c[h].astype(np.float64), alone[w])
+            base, starts = np.log10(c + 0.5) - below, bounds[:-1]
+            out.append(
+                pa.table(
+                    [
+                        pa.array(row["ids"], pa.int64()), pa.array(np.diff(bounds)), pa.array(np.add.reduceat((c > 0)[at].astype(np.int64), starts)),
+                        pa.array(np.full(len(starts), n, dtype=np.int64)), pa.array(np.add.reduceat(base[at], starts)), pa.array(np.add.reduceat(log_p[which], starts)),
+                    ],
+                    names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+                )
+            )
+        return pa.concat_tables(out)
+
+    slimmed = blocks.mapInArrow(slim, "block long, ids array<long>, sizes binary, count binary, seq binary, cuts binary, hot binary, which binary, end binary")
+    answers = answered.filter("block is not null").drop("key", "c", "t")
+    schema = "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return slimmed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(rate, schema)
+
+
 def op1_lm_score(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents by a model of those outside fold 1 of 5."""
     from qaloom.session import table
 
     docs = table(spark, sf_dir, "documents")
-    model, counts = train(docs.filter(fold("doc_id", 5) != 1).select("text"))
-    out = score(docs, model, counts)
+    out = learn_and_score(docs, fold("doc_id", 5) != 1)
     return out.select("doc_id", F.coalesce(fold("doc_id", 5) == 1, F.lit(False)).alias("held_out"), *out.columns[1:])
 
 

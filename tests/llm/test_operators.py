@@ -1,9 +1,11 @@
 """The dealt operators against brute force on small tables, odd inputs included."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from qaloom.llm import ann, contamination, jaccard_join, language_id, licenses, lm_score, packing, suffix_array, suffix_tree, toxicity
+from qaloom.llm import ann, common, contamination, jaccard_join, language_id, licenses, lm_score, packing, suffix_array, suffix_tree, toxicity
 from qaloom.llm.common import Words, fold, shingle_hashes
 from tests_llm_brute import brute_classes, shingles, windows_removed
 
@@ -249,6 +251,38 @@ def test_lm_score(spark, docs, rows, none):
     assert {r[3] for r in got(lm_score.score(docs, empty, no_counts))} == {0}
 
 
+def test_lm_learns_and_scores_in_one_pass(spark, docs, none, monkeypatch):
+    model, counts = lm_score.train(docs.filter(fold("doc_id", 5) != 1).select("text"))
+    by = lambda df: sorted(map(tuple, df.collect()), key=lambda r: (str(r[0]), *r[1:]))
+    want = by(lm_score.score(docs, model, counts))
+    for part, hot, block in ((2_000_000, 1e-3, 4_000_000), (300, 0.02, 2_000), (300, 2.0, 4_000_000)):  # one part, hot words over many parts, none hot
+        monkeypatch.setattr(lm_score, "PART", part)
+        monkeypatch.setattr(lm_score, "HOT", hot)
+        monkeypatch.setattr(lm_score, "BLOCK", block)
+        out = by(lm_score.learn_and_score(docs, fold("doc_id", 5) != 1))
+        assert [r[:4] for r in out] == [r[:4] for r in want]
+        assert np.allclose([r[4] for r in out], [r[4] for r in want])
+        assert all(abs(a[5] - b[5]) < 0.05 * a[1] for a, b in zip(out, want, strict=True))  # but for false positives of the filters
+    unlearned = by(lm_score.learn_and_score(docs, F.lit(False)))
+    assert {r[2:4] for r in unlearned} == {(0, 0)} and all(np.isfinite(r[5]) for r in unlearned)
+    assert got(lm_score.learn_and_score(none, fold("doc_id", 5) != 1)) == []
+
+
+def test_lm_query_writes_less_than_its_texts(spark, sf, monkeypatch):
+    written = []
+
+    def stored(df, name):
+        out = common.stored(df, name)
+        written.extend(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(lm_score, "stored", stored)
+    assert lm_score.op1_lm_score(spark, sf).count()
+    texts = spark.read.parquet(f"{sf}/documents.parquet").agg(F.sum(F.octet_length("text"))).first()[0]
+    size = sum(os.path.getsize(unquote(urlparse(x).path)) for x in written)
+    assert 0 < size < texts
+
+
 def test_lm_probabilities_add_up_to_at_most_one(spark):
     rng = random.Random(3)
     text = " ".join(rng.choice(["a", "b", "c", "d", "e"]) for _ in range(3000))
