@@ -20,9 +20,9 @@ null; an empty table gives no rows; ties of scores go to the earlier tail; other
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 from pyspark import TaskContext
@@ -34,40 +34,43 @@ WINDOW = 1024
 SHARD = 1024
 END = 0
 K1, B = 1.2, 0.75
-CACHE = 700_000
 # how a byte-level tokenizer splits text before its merges
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_CUT = re.compile(r"(?= \S)")
-_STOPS = re.compile(r"[0-9A-Za-z\u00df-\u024f]([.,;:!?]+)$")
+# units that white space ends, or that hold any but one blank in front
+_ODD = r"^ $|[\t-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 class Encoder:
-    """Token ids of texts, with the ids of units that occurred before kept.
+    """Token ids of texts; the units of many texts are encoded once each.
 
-    In a byte-level BPE a token starts at every blank before a character that isn't white space, before and after a single line
-    feed between two such characters, and at stops that follow a Latin letter or a digit. So what lies between is encoded
-    alone; new units are encoded many at a time, as lines. Texts with other white space are cut before blanks only.
+    In a byte-level BPE a token starts at every blank before a character that isn't white space, and before and after a single line
+    feed between two such characters. So what lies between is encoded alone: the different units of all texts at once, as lines of one
+    text. Texts with other white space are encoded whole, and so is everything with a vocabulary of another kind.
     """
 
     def __init__(self, tokenizer_json: str):
+        self.spec = tokenizer_json
+        spec = json.loads(tokenizer_json)
+        size = max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec.get("added_tokens") or [])], default=0) + 1 if isinstance(spec["model"].get("vocab"), dict) else None
+        self.fast = self._ranked(spec)
+        self.kind = np.dtype("<u2") if (size or self.model.get_vocab_size()) <= 65_536 else np.dtype("<u4")
+        self.feed = self.ids("\n")
+
+    @cached_property
+    def model(self):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_str(tokenizer_json)
-        self.model.encode_special_tokens = True
-        self.kind = np.dtype("<u2") if self.model.get_vocab_size() <= 65_536 else np.dtype("<u4")
-        self.fast = self._ranked(tokenizer_json)
-        self.feed = self.ids("\n")
-        self.known: dict[str, bytes] = {}
-        self.odd: dict[str, bytes] = {}
+        model = Tokenizer.from_str(self.spec)
+        model.encode_special_tokens = True
+        return model
 
     @staticmethod
-    def _ranked(tokenizer_json: str):
+    def _ranked(spec: dict):
         """The same merges for tiktoken, which is several times as fast, where the vocabulary allows it: a plain byte-level BPE
         whose ids are in the order of its merges. None otherwise."""
         import tiktoken
         from tokenizers import pre_tokenizers
 
-        spec = json.loads(tokenizer_json)
         model, split = spec["model"], spec.get("pre_tokenizer") or {}
         same = model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
         if not same or spec.get("normalizer") or model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix"):
@@ -89,80 +92,47 @@ class Encoder:
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.kind)
         return np.array(self.model.encode(text, add_special_tokens=False).ids, dtype=self.kind)
 
-    def _learn(self, units: list[str]) -> None:
-        known, cut, simple = self.known, {}, set()
-        for u in units:
-            stop = None if u[-1].isalnum() else _STOPS.search(u)
-            if stop:
-                cut[u] = pieces = (u[: stop.start(1)], stop[1])
-                simple.update(pieces)
-            else:
-                simple.add(u)
-        simple.difference_update(known)
-        lines = []
-        for x in simple:
-            w = x.split()
-            if len(w) == 1 and (len(w[0]) == len(x) or len(w[0]) + 1 == len(x) and x[0] == " "):
-                lines.append(x)
-            else:
-                known[x] = self.ids(x).tobytes()
-        size = self.kind.itemsize
-        for lo in range(0, len(lines), 100):
-            some = lines[lo : lo + 100]
-            ids = self.ids("\n".join(some))
-            ends = np.flatnonzero(ids == self.feed[0]).tolist()
-            if len(self.feed) != 1 or len(ends) != len(some) - 1:  # a vocabulary that joins line feeds with their neighbours
-                known.update((x, self.ids(x).tobytes()) for x in some)
-                continue
-            raw, at = ids.tobytes(), 0
-            for x, end in zip(some, [*ends, len(ids)], strict=True):
-                known[x] = raw[at * size : end * size]
-                at = end + 1
-        for u, (stem, stops) in cut.items():
-            known[u] = known[stem] + known[stops]
-
-    def _other(self, text: str) -> bytes:
-        out = []
-        for u in _CUT.split(text):
-            if u not in self.odd:
-                self.odd[u] = self.ids(u).tobytes()
-            out.append(self.odd[u])
-        return b"".join(out)
-
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if len(self.known) + len(self.odd) > CACHE:
-            self.known, self.odd = {}, {}
+        if self.fast is None or len(self.feed) != 1 or not texts:
+            return [self.ids(t) for t in texts]
         plain = ["" if "\0" in t else t.replace(" ", "\0 ").replace("\n", "\0\n\0") for t in texts]
         parts = pc.split_pattern(pa.array(plain, pa.large_string()), "\0")
         bounds, coded = parts.offsets.to_numpy(), parts.flatten().dictionary_encode()
-        unit, names = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        known = self.known
-        known["\n"], known[""] = self.feed.tobytes(), b""
-        new = [u for u in names if u not in known]
-        strange = {u for u in new if u[-1].isspace() or (u[0] != " " and u[0].isspace())}
-        self._learn([u for u in new if u not in strange])
-        size = self.kind.itemsize
-        ids = [known.get(u, b"") for u in names]
-        count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // size
-        start = np.cumsum(count) - count
-        each = count[unit]
-        total = np.concatenate([[0], np.cumsum(each)])
-        flat = np.frombuffer(b"".join(ids), dtype=self.kind)[np.arange(total[-1]) + np.repeat(start[unit] - total[:-1], each)]
+        unit, names = coded.indices.to_numpy(), coded.dictionary
+        feed, nothing = pc.equal(names, "\n").to_numpy(zero_copy_only=False), pc.binary_length(names).to_numpy() == 0
+        odd = pc.match_substring_regex(names, _ODD).to_numpy(zero_copy_only=False) & ~feed
+        lines = np.flatnonzero(~(feed | nothing | odd))
+        ids, sizes = np.zeros(0, dtype=self.kind), np.zeros(len(names), dtype=np.int64)
+        if len(lines):
+            some = names.take(pa.array(lines)).cast(pa.string())
+            one = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), "\n")[0].as_py()
+            ids = self.ids(one)
+            ends = np.append(np.flatnonzero(ids == self.feed[0]), len(ids))
+            if len(ends) != len(lines):  # a vocabulary that joins line feeds with their neighbours
+                return [self.ids(t) for t in texts]
+            sizes[lines] = np.diff(ends, prepend=-1) - 1
+            ids = np.delete(ids, ends[:-1])
+        at_feed = np.flatnonzero(feed)
+        if len(at_feed):
+            ids = np.insert(ids, sizes[: at_feed[0]].sum(), self.feed[0])
+            sizes[at_feed] = 1
+        width = self.kind.itemsize
+        at = np.append(0, np.cumsum(sizes))
+        known = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(names), [None, pa.py_buffer(at * width), pa.py_buffer(np.ascontiguousarray(ids))])
+        taken = known.take(coded.indices)
+        total = np.frombuffer(taken.buffers()[1], np.int64)[: len(unit) + 1] // width
+        flat = np.frombuffer(taken.buffers()[2] or b"", self.kind)
         # other white space: a unit that can't be cut so, or nothing between two units (but at the ends of a text)
-        wrong = np.array([u in strange for u in names], dtype=bool)[unit]
-        nothing = np.array([u == "" for u in names], dtype=bool)[unit]
-        nothing[bounds[:-1]] = nothing[bounds[1:] - 1] = False
-        wrong = np.add.reduceat((wrong | nothing).astype(np.int64), bounds[:-1]) > 0 if len(texts) else ()
-        out = []
-        for i, t in enumerate(texts):
-            if wrong[i] or (t and not plain[i]):
-                out.append(np.frombuffer(self._other(t), dtype=self.kind))
-            else:
-                out.append(flat[total[bounds[i]] : total[bounds[i + 1]]])
-        return out
+        wrong, empty = odd[unit], nothing[unit]
+        empty[bounds[:-1]] = empty[bounds[1:] - 1] = False
+        wrong = np.add.reduceat((wrong | empty).astype(np.int64), bounds[:-1]) > 0
+        return [
+            self.ids(t) if wrong[i] or (t and not plain[i]) else flat[total[bounds[i]] : total[bounds[i + 1]]]
+            for i, t in enumerate(texts)
+        ]
 
 
 class Tail:
@@ -268,11 +238,17 @@ def powers_of_two(n: int) -> list[int]:
     return [1 << i for i in range(n.bit_length() - 1, -1, -1) if n >> i & 1]
 
 
-def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids, sorted, and how often each occurs."""
-    ids = np.sort(ids)
-    last = np.flatnonzero(np.append(ids[1:] != ids[:-1], True))
-    return ids[last], np.diff(last, prepend=-1)
+def counted(ids: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct ids of each text, sorted, and how often each occurs; of all texts in one sort."""
+    if not ids:
+        return []
+    whose = np.repeat(np.arange(len(ids), dtype=np.uint64) << np.uint64(32), [len(x) for x in ids])
+    whose |= np.concatenate(ids).astype(np.uint64)
+    whose.sort()
+    last = np.flatnonzero(np.append(whose[1:] != whose[:-1], True)[: len(whose)])
+    tf, terms = np.diff(last, prepend=-1).astype("<u4"), whose[last].astype(np.uint32).astype(ids[0].dtype)
+    bounds = np.searchsorted(whose[last], np.arange(len(ids) + 1, dtype=np.uint64) << np.uint64(32)).tolist()
+    return [(terms[lo:hi], tf[lo:hi]) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 def signature(terms: np.ndarray, tf: np.ndarray, statistics: Statistics) -> list[int]:
@@ -311,24 +287,22 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
         encoder, part, made = Encoder(model), TaskContext.get().partitionId(), 0
         df, docs_seen, tokens_seen = np.zeros(1 << 16, dtype=np.int64), 0, 0
-
-        def add(terms: np.ndarray, size: int) -> None:
-            nonlocal df, docs_seen, tokens_seen
-            if terms[-1] >= len(df):
-                df = np.append(df, np.zeros(int(terms[-1]) + 1 - len(df) + len(df), dtype=np.int64))
-            df[terms] += 1
-            docs_seen += 1
-            tokens_seen += size
+        last = np.array([end], dtype=encoder.kind)
 
         def none(n: int) -> list:
             return [pa.nulls(n, pa.int64())] * 3
 
         for b in batches:
             names, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for lo, hi in chunks([len(t) for t in texts], 4_000_000):
+            for lo, hi in chunks([len(t) for t in texts], 8_000_000):
                 rows, tails = [], []
-                for name, ids in zip(names[lo:hi], encoder.encode(texts[lo:hi]), strict=True):
-                    ids = np.append(ids, np.array([end], dtype=encoder.kind))
+                ended = [np.append(ids, last) for ids in encoder.encode(texts[lo:hi])]
+                for name, ids, (terms, tf) in zip(names[lo:hi], ended, counted(ended), strict=True):
+                    if terms[-1] >= len(df):
+                        df = np.append(df, np.zeros(int(terms[-1]) + 1, dtype=np.int64))
+                    df[terms] += 1
+                    docs_seen += 1
+                    tokens_seen += len(ids)
                     whole = len(ids) // window * window
                     for at in range(0, whole, window):
                         piece = ids[at : at + window]
@@ -336,12 +310,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
                         tails.append((None, None, None))
                         made += 1
                     if whole < len(ids):
-                        terms, tf = counted(ids)
                         rows.append((name, whole, None, None, len(ids), None, None, ids[whole:].tobytes()))
-                        tails.append((terms.tobytes(), tf.astype("<u4").tobytes(), encoder.kind.str))
-                        add(terms, len(ids))
-                    else:
-                        add(np.unique(ids), len(ids))
+                        tails.append((terms.tobytes(), tf.tobytes(), encoder.kind.str))
                 columns = list(zip(*tails, strict=True)) if tails else [[], [], []]
                 yield pa.record_batch(
                     [*_pieces(rows), *none(len(rows)), pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.string())],

@@ -489,3 +489,19 @@ def test_words_and_shingles():
     assert [w.raw[a:b] for a, b in zip(w.start, w.end)] == [b"a", b"b", b"c", b"d"] and w.first.tolist() == [0, 3, 3, 4]
     h, bounds = shingle_hashes(w.hashes(), w.first, 2)
     assert bounds.tolist() == [0, 2, 2, 3] and len(set(h.tolist())) == 3
+
+
+def test_units_of_a_batch_are_encoded_at_once():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    mine = packing.Encoder(open(path, encoding="utf-8").read())
+    rng = random.Random(8)
+    texts = ["".join(f"word{rng.randrange(3000)}" + rng.choice([" ", ". ", "\n"]) for _ in range(60)) + "end" for _ in range(300)]
+    texts += ["", "\n", " a", "a\n", "x\ty plain", "two  blanks", "a \n b", "nul\0", "  b"]
+    calls, ids = [], mine.ids
+    mine.ids = lambda text: calls.append(text) or ids(text)
+    out = [x.tolist() for x in mine.encode(texts)]
+    odd = len([t for t in texts if "\n " in t or "\t" in t or "  " in t or "\0" in t or " " in t])
+    assert len(calls) <= 1 + odd  # one for all units, and one for each text with other white space
+    assert out == [mine.model.encode(t, add_special_tokens=False).ids for t in texts]
+    got = packing.counted([np.array(x, dtype=np.uint16) for x in out])
+    assert [(t.tolist(), f.tolist()) for t, f in got] == [tuple(map(list, zip(*sorted(Counter(x).items())))) if x else ([], []) for x in out]
