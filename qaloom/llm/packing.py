@@ -153,9 +153,12 @@ class Statistics:
     def __init__(self, n: int, mean: float, df: np.ndarray):
         self.n, self.mean, self.df = n, mean, df
 
+    @cached_property
+    def weights(self) -> np.ndarray:
+        return np.log1p((self.n - self.df + 0.5) / (self.df + 0.5))
+
     def idf(self, terms: np.ndarray) -> np.ndarray:
-        df = self.df[terms]
-        return np.log1p((self.n - df + 0.5) / (df + 0.5))
+        return self.weights[terms]
 
 
 class Index:
@@ -254,7 +257,11 @@ def counted(ids: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
 def signature(terms: np.ndarray, tf: np.ndarray, statistics: Statistics) -> list[int]:
     """The three tokens that weigh most in a document, the heaviest first; -1 where there are fewer."""
     weight = tf / (tf + K1) * statistics.idf(terms)
-    return ([int(t) for t in terms[np.lexsort((terms, -weight))[:3]]] + [-1, -1, -1])[:3]
+    out = [-1, -1, -1]
+    for i in range(min(3, len(terms))):
+        at = int(weight.argmax())  # of equal weights the first, that is the smallest token
+        out[i], weight[at] = int(terms[at]), -np.inf
+    return out
 
 
 def _crc(ids: np.ndarray) -> int:

@@ -505,3 +505,9 @@ def test_units_of_a_batch_are_encoded_at_once():
     assert out == [mine.model.encode(t, add_special_tokens=False).ids for t in texts]
     got = packing.counted([np.array(x, dtype=np.uint16) for x in out])
     assert [(t.tolist(), f.tolist()) for t, f in got] == [tuple(map(list, zip(*sorted(Counter(x).items())))) if x else ([], []) for x in out]
+
+
+def test_signature_takes_the_heaviest_tokens_and_of_equal_ones_the_smallest():
+    statistics = packing.Statistics(100, 40.0, np.array([50, 3, 3, 3, 90, 3]))
+    assert packing.signature(np.array([0, 1, 2, 3, 4, 5]), np.array([1, 2, 2, 2, 1, 2]), statistics) == [1, 2, 3]
+    assert packing.signature(np.array([0, 5]), np.array([1, 1]), statistics) == [5, 0, -1]
