@@ -73,3 +73,26 @@ def test_page_texts_join_prompts_last(spark, sf):
     """The text of a page, the same for many attempts, is not shuffled with each of them: the topmost join is the one of the page."""
     plan = QUERIES["prompt_rows"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert "page_id" in next(line for line in plan.split("\n") if "Join " in line)
+
+
+@pytest.mark.parametrize("name", ["prompt_rows", "retry_context"])
+def test_prompts_meet_everything_by_run(no_broadcast, monkeypatch, sf, name):
+    """Attempts are made in one pass over the line items, and what belongs to them joins by run: the rows don't move anew for each join."""
+    from qaloom.plans import views
+
+    passes = []
+    monkeypatch.setattr(views, "deal_by_key", lambda scan, *rest: passes.append(rest) or scan)
+    plan = plan_of(no_broadcast, name, sf)
+    assert len(passes) == 1 and "struct<l_orderkey" not in plan
+    assert not re.search(r"SortMergeJoin(\(.*?\))? \[run_id#\d+L?, attempt", plan)
+
+
+def test_joins_by_run_have_bounded_tasks(spark, monkeypatch, sf):
+    """The stage that joins everything by run gets more tasks as attempts grow, whatever the number of shuffle partitions."""
+    from qaloom.plans import execution
+
+    want = sorted(map(tuple, QUERIES["retry_context"](spark, sf).collect()), key=repr)
+    monkeypatch.setattr(execution, "ROWS_PER_TASK", 50, raising=False)
+    df = QUERIES["retry_context"](spark, sf)
+    assert df.rdd.getNumPartitions() >= 20 > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sorted(map(tuple, df.collect()), key=repr) == want

@@ -45,6 +45,16 @@ def test_retry_context(spark):
     assert got[("a", 1)] == (False, None, None) and got[("b", 3)] == (True, 2, "e2") and len(got) == 7
 
 
+def test_retry_context_marked_and_raw(spark):
+    """Attempts that never ran stay, told apart, and columns are handed on as they were logged."""
+    df = log(spark).withColumn("raw_error", F.concat(F.lit("e"), F.col("attempt").cast("string")))
+    plain = {(r.run_id, r.attempt): r.attempt_number for r in runs.retry_context(df, unique=True).collect()}
+    rows = runs.retry_context(df, unique=True, raw=["raw_error", "passed"], mark="ran").collect()
+    assert len(rows) == len(LOG) and {(r.run_id, r.attempt): r.attempt_number for r in rows if r.ran} == plain
+    got = {(r.run_id, r.attempt): (r.previous_raw_error, r.previous_passed) for r in rows if r.ran}
+    assert got[("a", 1)] == (None, None) and got[("b", 3)] == ("e2", False)
+
+
 def test_status(spark):
     status = runs.status_log(log(spark))
     assert {r.run_id: r.status for r in runs.current_status(status).collect()} == {"a": "completed", "b": "completed", "c": "queued", "d": "completed"}

@@ -2,7 +2,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from qaloom.operators.skew import asof, first_n, hot_keys, joined_text, lookup_join, ordinal, slices
+from qaloom.operators.skew import asof, first_n, hot_keys, join_within, joined_text, lookup_join, ordinal, slices
 
 
 def facts(spark, n=3000):
@@ -93,3 +93,22 @@ def test_large_scans_are_dealt_without_holding_them(spark):
     parts = lambda n: deal_by_key(spark.range(5000), "id", n).rdd.getNumPartitions()
     assert [parts(n) for n in (1000, 100, 10, 2)] == [spark.range(5000).rdd.getNumPartitions(), 50, 200, 313]
     assert deal_by_key(spark.range(5000), "id", 10).distinct().count() == 5000
+
+
+def test_facts_of_hot_keys_move_once(spark):
+    """The lists of hot keys, cuts and first marks are short and known to be: the facts are shuffled for the sweep only."""
+    sec = F.timestamp_seconds
+    left, marks = facts(spark).withColumn("at", sec("id")), spark.range(400).select(F.lit("hot").alias("k"), sec(F.col("id") * 8).alias("since"), F.col("id").alias("n"))
+    plan = asof(left, marks, ["k"], "at", "since", ["n"], ["id"], rows_per_part=60)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_join_within_deals_by_the_first_key(spark):
+    left = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, None, "c"), (2, 1, "d"), (None, 1, "e")], "run_id int, attempt int, l string")
+    right = spark.createDataFrame([(1, 1, "A"), (1, 3, "B"), (2, None, "C"), (None, 1, "D")], "run_id int, attempt int, r string")
+    for how in ("left", "inner"):
+        got = join_within(left, right, "run_id", "attempt", how)
+        assert got.columns == ["run_id", "attempt", "l", "r"]
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, left.join(right, ["run_id", "attempt"], how).select(*got.columns).collect()))
+    plan = join_within(left.hint("merge"), right, "run_id", "attempt")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and ", attempt#" not in "".join(part.split(")")[0] for part in plan.split("hashpartitioning(")[1:])
